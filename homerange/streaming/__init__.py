@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analysis reads its JSON files as a batch (``stream_in`` is a line-by-line
+file reader, not a stream source) and has no streaming, watermark or
+stateful operator, so there is nothing to express with Structured Streaming
+here. Every operator in :mod:`homerange.operators` is a plain DataFrame
+transformation and would run unchanged inside ``foreachBatch``.
+"""
