@@ -13,6 +13,9 @@ from __future__ import annotations
 
 DIGITS = 9
 
+# The names looked up by the user query on the driver tables.
+LOOKUP_NAMES = ("Customer#000000007", "Customer#000000024", "Customer#000000035", "Customer#000000100")
+
 # name -> (dependencies, body)
 _CTE: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -44,6 +47,13 @@ def sql(select: str, *needs: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+def _self_contained(name: str, template: str, source: str) -> None:
+    """A CTE whose body embeds the whole statement for ``source``: DuckDB
+    expands dynamic PIVOT/UNPIVOT while binding, where other CTEs of the
+    statement are not visible."""
+    _cte(name, (), template.format(src=f"({sql(f'SELECT * FROM {source}', source)})"))
+
+
 def rounded(select_from: str, cols: list[str], digits: int = DIGITS) -> str:
     """``SELECT * REPLACE (round(c, digits) AS c ...) FROM <cte or table>``."""
     rep = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in cols)
@@ -171,6 +181,197 @@ FROM visit_hits h LEFT JOIN business b ON h.business_id = b.business_id
 GROUP BY b.city, b.state""",
 )
 
+# ------------------------------------------------- what locals like
+_cte(
+    "local_reviews",
+    ("review", "local_users", "businesses_in_radius"),
+    """SELECT user_id, business_id, stars FROM review
+WHERE user_id IN (SELECT user_id FROM local_users)
+  AND business_id IN (SELECT business_id FROM businesses_in_radius)""",
+)
+_cte(
+    "business_ratings",
+    ("local_reviews",),
+    """SELECT business_id, avg(stars) AS AVG_stars, count(stars) AS Counts
+FROM local_reviews GROUP BY business_id HAVING count(stars) >= 3""",
+)
+_cte(
+    "highly_liked",
+    ("business_ratings",),
+    """SELECT *, CASE WHEN AVG_stars >= (SELECT quantile_cont(AVG_stars, 0.8) FROM business_ratings) - 1e-6
+                 THEN 'Y' ELSE 'N' END AS Highly_Liked
+FROM business_ratings""",
+)
+
+# ------------------------------------------------------ categories
+_cte(
+    "rated_business",
+    ("business", "highly_liked"),
+    "SELECT * FROM business WHERE business_id IN (SELECT business_id FROM highly_liked)",
+)
+_cte(
+    "category_edges",
+    ("rated_business",),
+    """SELECT DISTINCT business_id,
+  unnest(coalesce(string_split(CASE WHEN len(categories) > 0 THEN array_to_string(categories, ', ') END, ','),
+                  [NULL])) AS categories
+FROM rated_business""",
+)
+_cte("restaurants", ("category_edges",), "SELECT * FROM category_edges WHERE contains(lower(categories), 'ring')")
+_cte(
+    "co_categories",
+    ("category_edges", "restaurants"),
+    """SELECT * FROM category_edges
+WHERE business_id IN (SELECT business_id FROM restaurants) AND NOT contains(lower(categories), 'ring')""",
+)
+_cte(
+    "category_vocabulary",
+    ("co_categories",),
+    """SELECT DISTINCT lower(trim(categories)) AS category FROM co_categories
+WHERE categories IS NOT NULL AND lower(trim(categories)) <> ''""",
+)
+_cte(
+    "flag_long",
+    ("co_categories", "category_vocabulary"),
+    """SELECT c.business_id,
+  trim(regexp_replace('category_' || v.category, '[^0-9A-Za-z]+', '_', 'g'), '_') AS name,
+  max(CASE WHEN contains(lower(c.categories), v.category) THEN 1 ELSE 0 END) AS flag
+FROM co_categories c CROSS JOIN category_vocabulary v
+GROUP BY ALL""",
+)
+_self_contained("category_flags", "PIVOT {src} ON name USING max(flag) GROUP BY business_id", "flag_long")
+
+# -------------------------------------------------------- features
+_cte(
+    "business_features",
+    ("business",),
+    """SELECT business_id, hrs, wifi AS attributes_Wi_Fi, brand AS attributes_Brand,
+  konst AS attributes_konst, rare AS attributes_rare, mostly AS attributes_mostly
+FROM business""",
+)
+_cte(
+    "feature_frame",
+    ("highly_liked", "category_flags", "business_features"),
+    """SELECT h.business_id, h.Highly_Liked, f.* EXCLUDE (business_id), b.* EXCLUDE (business_id)
+FROM highly_liked h
+LEFT JOIN category_flags f ON h.business_id = f.business_id
+LEFT JOIN business_features b ON h.business_id = b.business_id""",
+)
+_self_contained(
+    "missing_profile",
+    """UNPIVOT (SELECT avg(CASE WHEN COLUMNS(*) IS NULL THEN 1.0 ELSE 0.0 END) FROM {src})
+ON COLUMNS(*) INTO NAME column_name VALUE na_share""",
+    "feature_frame",
+)
+# The pruned frames are rebuilt from a long (row id, column, text) form, so the
+# kept columns follow from the data; their values come back as text.
+_self_contained(
+    "feature_long",
+    """SELECT * FROM (SELECT business_id AS __id, COLUMNS(*)::VARCHAR FROM {src})
+UNPIVOT INCLUDE NULLS (value FOR column_name IN (COLUMNS(* EXCLUDE (__id))))""",
+    "feature_frame",
+)
+_cte(
+    "sparse_long",
+    ("feature_long", "missing_profile"),
+    """SELECT * FROM feature_long
+WHERE column_name IN (SELECT column_name FROM missing_profile WHERE na_share <= 0.75)""",
+)
+_self_contained(
+    "drop_sparse",
+    """SELECT * EXCLUDE (__id) REPLACE (CAST(business_id AS BIGINT) AS business_id)
+FROM (PIVOT {src} ON column_name USING first(value) GROUP BY __id)""",
+    "sparse_long",
+)
+_cte(
+    "value_counts",
+    ("sparse_long",),
+    "SELECT column_name, value, count(*) AS cnt FROM sparse_long GROUP BY column_name, value",
+)
+_cte(
+    "nzv_profile",
+    ("value_counts",),
+    """SELECT column_name, freqRatio, percentUnique, zeroVar,
+  zeroVar OR (freqRatio > 19.0 AND percentUnique <= 10.0) AS nzv
+FROM (
+  SELECT column_name,
+    CASE WHEN count(value) <= 1 THEN 0.0::DOUBLE
+         ELSE max(CASE WHEN rk = 1 THEN cnt END) / max(CASE WHEN rk = 2 THEN cnt END) END AS freqRatio,
+    100.0::DOUBLE * count(value) / sum(cnt) AS percentUnique,
+    count(value) <= 1 AS zeroVar
+  FROM (SELECT *, CASE WHEN value IS NULL THEN NULL
+                       ELSE row_number() OVER (PARTITION BY column_name, value IS NULL ORDER BY cnt DESC) END AS rk
+        FROM value_counts)
+  GROUP BY column_name)""",
+)
+_cte(
+    "nzv_long",
+    ("sparse_long", "nzv_profile"),
+    """SELECT * FROM sparse_long
+WHERE column_name IN (SELECT column_name FROM nzv_profile WHERE NOT nzv OR column_name = 'Highly_Liked')""",
+)
+_self_contained(
+    "drop_nzv",
+    """SELECT * EXCLUDE (__id) REPLACE (CAST(business_id AS BIGINT) AS business_id)
+FROM (PIVOT {src} ON column_name USING first(value) GROUP BY __id)""",
+    "nzv_long",
+)
+# At the check scale the pruned frame is (business_id, Highly_Liked, hrs,
+# attributes_Wi_Fi, attributes_Brand); imputation names them.
+_cte(
+    "filled",
+    ("drop_nzv",),
+    """SELECT business_id, Highly_Liked, coalesce(hrs, '0') AS hrs,
+  coalesce(attributes_Wi_Fi, '0') AS attributes_Wi_Fi, coalesce(attributes_Brand, '0') AS attributes_Brand
+FROM drop_nzv""",
+)
+_cte(
+    "imputed",
+    ("filled",),
+    """SELECT business_id, Highly_Liked,
+  TRY_CAST(substr(CASE WHEN hrs = '0'
+                       THEN (SELECT hrs FROM filled GROUP BY hrs ORDER BY count(*) DESC, hrs ASC LIMIT 1)
+                       ELSE hrs END, 1, 2) AS DOUBLE) AS hrs,
+  attributes_Wi_Fi, attributes_Brand
+FROM filled""",
+)
+_cte(
+    "split",
+    ("imputed",),
+    """SELECT *, CASE WHEN row_number() OVER (PARTITION BY Highly_Liked
+                                        ORDER BY md5(CAST(business_id AS VARCHAR) || '#1900'), business_id)
+                  <= ceil(0.6 * count(*) OVER (PARTITION BY Highly_Liked))
+             THEN 'train' ELSE 'test' END AS split
+FROM imputed""",
+)
+_cte(
+    "rule_counts",
+    ("split",),
+    """SELECT count_if(Highly_Liked = 'N' AND p = 'N')::BIGINT AS tp,
+  count_if(Highly_Liked = 'N' AND p <> 'N')::BIGINT AS fn,
+  count_if(Highly_Liked <> 'N' AND p = 'N')::BIGINT AS fp,
+  count_if(Highly_Liked <> 'N' AND p <> 'N')::BIGINT AS tn
+FROM (SELECT Highly_Liked, CASE WHEN attributes_Wi_Fi = 'free' THEN 'Y' ELSE 'N' END AS p
+      FROM split WHERE split = 'test')""",
+)
+
+# ----------------------------------------------------------- stats
+_cte(
+    "cells",
+    ("users",),
+    """SELECT count_if(f AND NOT c)::BIGINT AS tl, count_if(f AND c)::BIGINT AS tr,
+  count_if(NOT f AND NOT c)::BIGINT AS bl, count_if(NOT f AND c)::BIGINT AS br
+FROM (SELECT coalesce(fans, 0) > 1 AS f, coalesce(compliments_funny, 0) > 1 AS c FROM users)""",
+)
+_cte(
+    "fisher_support",
+    ("cells",),
+    """SELECT *, sum(ln(r1 - x) - ln(x + 1) + ln(c1 - x) - ln(r2 - c1 + x + 1))
+               OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS L
+FROM (SELECT *, unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS x
+      FROM (SELECT *, tl + tr AS r1, bl + br AS r2, tl + bl AS c1 FROM cells))""",
+)
+
 DISPERSION_DOUBLES = [
     "longitude_Centroid",
     "latitude_Centroid",
@@ -215,4 +416,69 @@ def queries() -> dict[str, str]:
     q["tight_users"] = sql(rounded("tight_users", DISPERSION_DOUBLES), "tight_users")
     q["unique_visits"] = sql("SELECT * FROM unique_visits", "unique_visits")
     q["local_users"] = sql(rounded("local_users", DISPERSION_DOUBLES), "local_users")
+    q["local_reviews"] = sql("SELECT * FROM local_reviews", "local_reviews")
+    q["business_ratings"] = sql(rounded("business_ratings", ["AVG_stars"]), "business_ratings")
+    q["rating_quantiles"] = sql(
+        f"""SELECT 'mean' AS stat, round(avg(AVG_stars), {DIGITS}) AS value FROM business_ratings
+UNION ALL
+SELECT unnest(['p80', 'p85', 'p90', 'p95', 'p99']) AS stat,
+       round(unnest(quantile_cont(AVG_stars, [0.8, 0.85, 0.9, 0.95, 0.99]::DOUBLE[])), {DIGITS}) AS value
+FROM business_ratings""",
+        "business_ratings",
+    )
+    q["highly_liked"] = sql(rounded("highly_liked", ["AVG_stars"]), "highly_liked")
+    q["elbow_k1"] = sql(
+        f"""SELECT 1 AS k, round((count(*) - 1) * (var_samp(longitude_Centroid) + var_samp(latitude_Centroid)),
+                     {DIGITS}) AS wss
+FROM local_users""",
+        "local_users",
+    )
+    for name in ("category_edges", "restaurants", "co_categories", "category_vocabulary", "category_flags"):
+        q[name] = sql(f"SELECT * FROM {name}", name)
+    q["feature_frame"] = sql("SELECT * FROM feature_frame", "feature_frame")
+    q["missing_profile"] = sql(rounded("missing_profile", ["na_share"]), "missing_profile")
+    q["drop_sparse"] = sql("SELECT * FROM drop_sparse", "drop_sparse")
+    q["nzv_profile"] = sql(rounded("nzv_profile", ["freqRatio", "percentUnique"]), "nzv_profile")
+    q["drop_nzv"] = sql("SELECT * FROM drop_nzv", "drop_nzv")
+    q["imputed_hours"] = sql("SELECT * FROM imputed", "imputed")
+    q["stratified_split"] = sql("SELECT * FROM split", "split")
+    q["confusion_rates"] = sql(
+        f"""SELECT tp + fn + fp + tn AS n, tp, fn, fp, tn,
+  round(CASE WHEN tp + fn + fp + tn > 0 THEN (tp + tn) / (tp + fn + fp + tn) END, {DIGITS}) AS accuracy,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, {DIGITS}) AS sensitivity,
+  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, {DIGITS}) AS specificity,
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, {DIGITS}) AS ppv,
+  round(CASE WHEN tn + fn > 0 THEN tn / (tn + fn) END, {DIGITS}) AS npv,
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, {DIGITS}) AS published_sensitivity,
+  round(CASE WHEN tn + fn > 0 THEN tn / (tn + fn) END, {DIGITS}) AS published_specificity
+FROM rule_counts""",
+        "rule_counts",
+    )
+    q["share_five_star"] = sql(
+        f"SELECT round(avg(CASE WHEN stars = 5 THEN 1.0 ELSE 0.0 END), {DIGITS}) AS share FROM review", "review"
+    )
+    q["share_free_wifi"] = sql(
+        f"""SELECT round(avg(CASE WHEN wifi IS NOT NULL THEN CASE WHEN wifi = 'free' THEN 1.0 ELSE 0.0 END END),
+             {DIGITS}) AS share FROM business""",
+        "business",
+    )
+    names = ", ".join(f"'{n}'" for n in LOOKUP_NAMES)
+    q["find_users"] = sql(f"SELECT * FROM users WHERE votes_funny > 9000 AND name IN ({names})", "users")
+    q["association_2x2"] = sql(
+        f"""SELECT tl, tr, bl, br,
+  round(coalesce(sum(CASE WHEN d <= dobs * (1 + 1e-7) THEN d END) / sum(d), 0.0), {DIGITS}) AS p_value
+FROM (SELECT *, exp(L - max(L) OVER ()) AS d FROM
+        (SELECT * REPLACE (coalesce(L, 0.0) AS L) FROM fisher_support))
+CROSS JOIN (SELECT exp(coalesce(L, 0.0) - (SELECT max(coalesce(L, 0.0)) FROM fisher_support)) AS dobs
+            FROM fisher_support WHERE x = tl)
+GROUP BY tl, tr, bl, br""",
+        "fisher_support",
+    )
+    flat = f"""SELECT business_id, longitude, latitude, city, state, hrs, wifi AS "attributes.Wi-Fi",
+  brand AS "attributes.Brand", konst AS "attributes.konst", rare AS "attributes.rare",
+  mostly AS "attributes.mostly" FROM business"""
+    q["flatten_nested"] = sql(rounded(f"({flat})", ["longitude", "latitude"]), "business")
+    q["sample_head"] = sql(
+        rounded(f"({flat} ORDER BY business_id LIMIT 10)", ["longitude", "latitude"]), "business"
+    )
     return q

@@ -14,8 +14,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from homerange.operators import geo, visits
+from pyspark.sql import functions as F
+
+from homerange.operators import categories, clusters, features, geo, model, ratings, stats, visits
 from homerange.sources import standin
+from homerange.sources.reviews import flatten, sample_head
 
 
 @dataclass(frozen=True)
@@ -42,8 +45,13 @@ class Params:
     kmeans_seed: int = 1986
     elbow_ks: tuple[int, ...] = tuple(range(2, 11))
     min_funny: int = 9000
-    names: tuple[str, ...] = field(default=())
+    names: tuple[str, ...] = field(default=())  # empty: no name filter
     split_rows: int = 1_000_000
+    feature_columns: tuple[str, ...] = ("hours", "hrs", "attributes")
+    num_trees: int = 100
+    max_depth: int = 15
+    forest_seed: int = model.FOREST_SEED
+    wifi_column: str = "attributes_Wi_Fi"
 
 
 class LocalMarket:
@@ -129,3 +137,148 @@ class LocalMarket:
         return visits.local_users(
             self.tight_users, self.located_hits, self.p.min_businesses, self.p.max_businesses
         )
+
+    # ----------------------------------------------------- what locals like
+    @cached_property
+    def local_reviews(self) -> DataFrame:
+        return ratings.local_reviews(self.review, self.local_users, self.businesses_in_radius)
+
+    @cached_property
+    def business_ratings(self) -> DataFrame:
+        return ratings.business_ratings(self.local_reviews, self.p.min_ratings)
+
+    @cached_property
+    def rating_quantiles(self) -> DataFrame:
+        return ratings.rating_summary(self.business_ratings)
+
+    @cached_property
+    def highly_liked(self) -> DataFrame:
+        return ratings.flag_highly_liked(self.business_ratings, self.p.liked_prob)
+
+    # ----------------------------------------------------- area clusters
+    @cached_property
+    def user_clusters(self) -> DataFrame:
+        return clusters.cluster_users(self.local_users, self.p.kmeans_k, self.p.kmeans_seed)
+
+    @cached_property
+    def local_reviews_clustered(self) -> DataFrame:
+        return ratings.local_reviews(
+            self.review, self.local_users, self.businesses_in_radius, clusters=self.user_clusters
+        )
+
+    @cached_property
+    def elbow_k1(self) -> DataFrame:
+        return clusters.total_sse(self.local_users)
+
+    @cached_property
+    def elbow_curve(self) -> DataFrame:
+        return clusters.elbow(self.local_users, self.p.elbow_ks, seed=self.p.kmeans_seed)
+
+    # ----------------------------------------------------- categories
+    @cached_property
+    def rated_businesses(self) -> DataFrame:
+        return self.business.join(self.highly_liked.select("business_id"), "business_id", "left_semi")
+
+    @cached_property
+    def category_edges(self) -> DataFrame:
+        return categories.category_edges(self.rated_businesses)
+
+    @cached_property
+    def restaurants(self) -> DataFrame:
+        return categories.restaurants(self.category_edges, self.p.restaurant)
+
+    @cached_property
+    def co_categories(self) -> DataFrame:
+        return categories.co_categories(self.category_edges, self.p.restaurant)
+
+    @cached_property
+    def category_vocabulary(self) -> DataFrame:
+        return categories.category_vocabulary(self.co_categories)
+
+    @cached_property
+    def category_flags(self) -> DataFrame:
+        return categories.category_flags(self.co_categories)
+
+    # ----------------------------------------------------- features
+    @cached_property
+    def feature_frame(self) -> DataFrame:
+        return features.feature_frame(
+            self.highly_liked, self.category_flags, self.business, self.p.feature_columns
+        )
+
+    @cached_property
+    def missing_profile(self) -> DataFrame:
+        return features.missing_profile(self.feature_frame)
+
+    @cached_property
+    def drop_sparse(self) -> DataFrame:
+        return features.drop_sparse(self.feature_frame, self.p.na_share)
+
+    @cached_property
+    def nzv_profile(self) -> DataFrame:
+        return features.near_zero_variance(self.drop_sparse)
+
+    @cached_property
+    def drop_nzv(self) -> DataFrame:
+        return features.drop_nzv(self.drop_sparse)
+
+    @cached_property
+    def imputed_hours(self) -> DataFrame:
+        return features.impute_hours(self.drop_nzv)
+
+    # ----------------------------------------------------- model
+    @cached_property
+    def stratified_split(self) -> DataFrame:
+        return model.stratified_split(self.imputed_hours, p=self.p.split_p, seed=self.p.split_seed)
+
+    @cached_property
+    def forest_scores(self) -> DataFrame:
+        split = self.stratified_split
+        train = split.filter(F.col("split") == "train").drop("split")
+        test = split.filter(F.col("split") == "test").drop("split")
+        fitted = model.fit_forest(
+            train, num_trees=self.p.num_trees, max_depth=self.p.max_depth, seed=self.p.forest_seed
+        )
+        return model.score(fitted, test)
+
+    @cached_property
+    def confusion(self) -> DataFrame:
+        return model.confusion(self.forest_scores)
+
+    @cached_property
+    def rule_scores(self) -> DataFrame:
+        """A fixed rule (free Wi-Fi -> liked) on the held-out rows, so the
+        confusion arithmetic can be checked against SQL."""
+        test = self.stratified_split.filter(F.col("split") == "test")
+        pred = F.when(F.col(self.p.wifi_column) == "free", F.lit("Y")).otherwise(F.lit("N"))
+        return test.select("business_id", "Highly_Liked", pred.alias("prediction"))
+
+    @cached_property
+    def confusion_rates(self) -> DataFrame:
+        return model.confusion_rates(self.rule_scores, positive="N")
+
+    # ----------------------------------------------------- profile questions
+    @cached_property
+    def share_five_star(self) -> DataFrame:
+        return stats.share_of(self.review, F.col("stars") == 5)
+
+    @cached_property
+    def share_free_wifi(self) -> DataFrame:
+        wifi = F.col("attributes.`Wi-Fi`")
+        return stats.share_of(self.business, wifi == "free", among=wifi.isNotNull())
+
+    @cached_property
+    def find_users(self) -> DataFrame:
+        return stats.find_users(self.user, self.p.min_funny, self.p.names or None)
+
+    @cached_property
+    def association_2x2(self) -> DataFrame:
+        return stats.association_2x2(self.user, "fans", "compliments_funny")
+
+    @cached_property
+    def flatten_nested(self) -> DataFrame:
+        return flatten(self.business.drop("categories"))
+
+    @cached_property
+    def sample_head(self) -> DataFrame:
+        return sample_head(self.flatten_nested, "business_id", 10)

@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.oracle import DIGITS
+from homerange.oracle import DIGITS, LOOKUP_NAMES
 from homerange.plans import LocalMarket, Params
 
+# Parameters of the registered queries on the driver tables.
+PARAMS = Params(names=LOOKUP_NAMES)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,7 +34,7 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def _market(spark: SparkSession, sf_dir: str, params: Params | None = None) -> LocalMarket:
-    return LocalMarket.from_standin(spark, sf_dir, params)
+    return LocalMarket.from_standin(spark, sf_dir, params or PARAMS)
 
 
 def _attr(name: str) -> Query:
@@ -58,6 +61,35 @@ MARKET_QUERIES = [
     "tight_users",
     "unique_visits",
     "local_users",
+    "local_reviews",
+    "business_ratings",
+    "rating_quantiles",
+    "highly_liked",
+    "elbow_k1",
+    "elbow_curve",
+    "user_clusters",
+    "local_reviews_clustered",
+    "category_edges",
+    "restaurants",
+    "co_categories",
+    "category_vocabulary",
+    "category_flags",
+    "feature_frame",
+    "missing_profile",
+    "drop_sparse",
+    "nzv_profile",
+    "drop_nzv",
+    "imputed_hours",
+    "stratified_split",
+    "forest_scores",
+    "confusion",
+    "confusion_rates",
+    "share_five_star",
+    "share_free_wifi",
+    "find_users",
+    "association_2x2",
+    "flatten_nested",
+    "sample_head",
 ]
 
 
