@@ -12,8 +12,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from homerange.operators import categories, clusters, features, geo, model, ratings, stats, visits
@@ -54,6 +54,14 @@ class Params:
     wifi_column: str = "attributes_Wi_Fi"
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    """Persist a narrow waist of the flow: a frame sized by users or
+    businesses (not by visits) that several later jobs read -- the
+    vocabulary, the column profiles, the quantile cut, the model fits. Kept
+    in memory and spilled to disk; a lost block is recomputed from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class LocalMarket:
     """All steps over one set of review tables."""
 
@@ -134,8 +142,8 @@ class LocalMarket:
 
     @cached_property
     def local_users(self) -> DataFrame:
-        return visits.local_users(
-            self.tight_users, self.located_hits, self.p.min_businesses, self.p.max_businesses
+        return _keep(
+            visits.local_users(self.tight_users, self.located_hits, self.p.min_businesses, self.p.max_businesses)
         )
 
     # ----------------------------------------------------- what locals like
@@ -153,7 +161,7 @@ class LocalMarket:
 
     @cached_property
     def highly_liked(self) -> DataFrame:
-        return ratings.flag_highly_liked(self.business_ratings, self.p.liked_prob)
+        return _keep(ratings.flag_highly_liked(self.business_ratings, self.p.liked_prob))
 
     # ----------------------------------------------------- area clusters
     @cached_property
@@ -202,8 +210,8 @@ class LocalMarket:
     # ----------------------------------------------------- features
     @cached_property
     def feature_frame(self) -> DataFrame:
-        return features.feature_frame(
-            self.highly_liked, self.category_flags, self.business, self.p.feature_columns
+        return _keep(
+            features.feature_frame(self.highly_liked, self.category_flags, self.business, self.p.feature_columns)
         )
 
     @cached_property
@@ -229,7 +237,7 @@ class LocalMarket:
     # ----------------------------------------------------- model
     @cached_property
     def stratified_split(self) -> DataFrame:
-        return model.stratified_split(self.imputed_hours, p=self.p.split_p, seed=self.p.split_seed)
+        return _keep(model.stratified_split(self.imputed_hours, p=self.p.split_p, seed=self.p.split_seed))
 
     @cached_property
     def forest_scores(self) -> DataFrame:
