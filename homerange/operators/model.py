@@ -72,14 +72,16 @@ def forest_pipeline(
     df: DataFrame,
     label: str = "Highly_Liked",
     exclude=("business_id", "split"),
-    num_trees: int = 100,
-    max_depth: int = 15,
+    num_trees: int = NUM_TREES,
+    max_depth: int = 30,
     seed: int = FOREST_SEED,
     features_per_split: str = "sqrt",
+    max_bins: int = 32,
 ) -> Pipeline:
     """Index text features and the label, assemble, fit a forest. Text
     columns are categorical (string indexed, unseen values kept); numbers
-    are used as they are."""
+    are used as they are. ``max_depth`` 30 is Spark's cap (the analysis grows
+    trees fully); ``max_bins`` must exceed the largest number of categories."""
     feats = [f for f in df.schema.fields if f.name not in exclude and f.name != label]
     stages = []
     inputs = []
@@ -98,7 +100,7 @@ def forest_pipeline(
             featuresCol="__features",
             numTrees=num_trees,
             maxDepth=max_depth,
-            maxBins=64,
+            maxBins=max_bins,
             featureSubsetStrategy=features_per_split,
             seed=seed,
         )
@@ -107,7 +109,16 @@ def forest_pipeline(
 
 
 def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineModel:
-    return forest_pipeline(train, label=label, **kw).fit(train)
+    """Fit :func:`forest_pipeline`. The indexers are fitted first (one
+    distinct-count job each, results bounded by the number of categories) so
+    that ``maxBins`` can be set above the widest categorical feature."""
+    pipe = forest_pipeline(train, label=label, **kw)
+    stages = pipe.getStages()
+    indexers = Pipeline(stages=stages[:-2]).fit(train)
+    widest = max((len(m.labels) + 1 for m in indexers.stages), default=2)
+    forest = stages[-1].copy().setMaxBins(max(kw.get("max_bins", 32), widest))
+    rest = Pipeline(stages=[stages[-2], forest]).fit(indexers.transform(train))
+    return PipelineModel(stages=list(indexers.stages) + list(rest.stages))
 
 
 def score(model: PipelineModel, test: DataFrame, label: str = "Highly_Liked", key: str = "business_id") -> DataFrame:

@@ -48,8 +48,8 @@ class Params:
     names: tuple[str, ...] = field(default=())  # empty: no name filter
     split_rows: int = 1_000_000
     feature_columns: tuple[str, ...] = ("hours", "hrs", "attributes")
-    num_trees: int = 100
-    max_depth: int = 15
+    num_trees: int = 50
+    max_depth: int = 10
     forest_seed: int = model.FOREST_SEED
     wifi_column: str = "attributes_Wi_Fi"
 
