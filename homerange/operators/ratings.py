@@ -3,9 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from homerange.operators.quantiles import exact_quantiles, quantile_scalar
+
 # Fixed values of the analysis: probabilities of the rating quantiles, the
 # one that defines "highly liked", and the tolerance that lets a tie with
 # the printed cut (4.363636, just under 48/11) count as liked.
@@ -46,26 +48,14 @@ def business_ratings(reviews: DataFrame, min_ratings: int = 10) -> DataFrame:
     )
 
 
-def quantile_value(df: DataFrame, col: str, prob: float) -> Column:
-    """Exact quantile (linear interpolation) of ``col`` as a scalar subquery
-    column: Spark computes the one-row aggregate once and uses its value in
-    the outer plan, with no join."""
-    return df.select(F.percentile(F.col(col).cast("double"), F.lit(float(prob)))).scalar()
-
-
 def rating_summary(ratings: DataFrame, probs=RATING_QUANTILE_PROBS) -> DataFrame:
     """Mean of the business means and its quantiles, as rows
     (stat, value) with stat ``mean`` or ``p80``, ``p85``, ..."""
     probs = [float(p) for p in probs]
-    names = [f"p{round(p * 100):d}" for p in probs]
-    one = ratings.agg(
-        F.avg("AVG_stars").alias("mean"),
-        F.percentile(F.col("AVG_stars"), F.array(*[F.lit(p) for p in probs])).alias("q"),
-    )
-    pairs = [F.struct(F.lit("mean").alias("stat"), F.col("mean").alias("value"))] + [
-        F.struct(F.lit(n).alias("stat"), F.col("q")[i].alias("value")) for i, n in enumerate(names)
-    ]
-    return one.select(F.explode(F.array(*pairs)).alias("s")).select("s.stat", "s.value")
+    names = F.create_map(*[x for p in probs for x in (F.lit(p), F.lit(f"p{round(p * 100):d}"))])
+    mean = ratings.agg(F.lit("mean").alias("stat"), F.avg("AVG_stars").alias("value"))
+    qs = exact_quantiles(ratings, "AVG_stars", probs).select(names[F.col("prob")].alias("stat"), "value")
+    return mean.unionByName(qs)
 
 
 def flag_highly_liked(
@@ -76,7 +66,7 @@ def flag_highly_liked(
 ) -> DataFrame:
     """``Highly_Liked`` = "Y" when the mean is at or above the cut, else
     "N". The cut is the ``prob`` quantile of the means unless given."""
-    cut_col = F.lit(float(cut)) if cut is not None else quantile_value(ratings, "AVG_stars", prob)
+    cut_col = F.lit(float(cut)) if cut is not None else quantile_scalar(ratings, "AVG_stars", prob)
     return ratings.withColumn(
         "Highly_Liked",
         F.when(F.col("AVG_stars") >= cut_col - F.lit(tolerance), F.lit("Y")).otherwise(F.lit("N")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homerange.operators.geo import LOCAL_SPREAD_DEG
+from homerange.operators.quantiles import exact_quantiles
 
 # Fixed values of the analysis: probabilities of the city-count quantiles.
 CITY_QUANTILE_PROBS = (0.8, 0.85, 0.9, 0.95, 0.96, 0.97, 0.99)
@@ -36,13 +37,9 @@ def businesses_by_city(businesses: DataFrame) -> DataFrame:
 
 
 def quantiles_long(df: DataFrame, col: str, probs=CITY_QUANTILE_PROBS, name: str = "value") -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics
-    (the common default, R type 7) as rows (prob, value)."""
-    probs = [float(p) for p in probs]
-    q = df.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("__q"))
-    return q.select(
-        F.posexplode(F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("prob"), F.col("__q").alias(name)))
-    ).select(F.col("col.prob").alias("prob"), F.col(f"col.{name}").alias(name))
+    """Exact quantiles (linear interpolation, R type 7) as rows (prob, value);
+    see :mod:`homerange.operators.quantiles`."""
+    return exact_quantiles(df, col, probs, name=name)
 
 
 def top_cities(city_counts: DataFrame, min_count: int = 25000) -> DataFrame:

@@ -12,10 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from homerange.session import materialize
 from homerange.operators import categories, clusters, features, geo, model, ratings, stats, visits
 from homerange.sources import standin
 from homerange.sources.reviews import flatten, sample_head
@@ -54,12 +54,12 @@ class Params:
     wifi_column: str = "attributes_Wi_Fi"
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """Persist a narrow waist of the flow: a frame sized by users or
-    businesses (not by visits) that several later jobs read -- the
-    vocabulary, the column profiles, the quantile cut, the model fits. Kept
-    in memory and spilled to disk; a lost block is recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _keep(df: DataFrame, name: str) -> DataFrame:
+    """A narrow waist of the flow -- a frame sized by users or businesses,
+    not by visits, that several later jobs read (the vocabulary, the column
+    profiles, the quantile cut, the model fits) -- written once to the shared
+    checkpoint folder and read back (see :func:`homerange.session.materialize`)."""
+    return materialize(df, name)
 
 
 class LocalMarket:
@@ -143,7 +143,8 @@ class LocalMarket:
     @cached_property
     def local_users(self) -> DataFrame:
         return _keep(
-            visits.local_users(self.tight_users, self.located_hits, self.p.min_businesses, self.p.max_businesses)
+            visits.local_users(self.tight_users, self.located_hits, self.p.min_businesses, self.p.max_businesses),
+            "local_users",
         )
 
     # ----------------------------------------------------- what locals like
@@ -161,7 +162,7 @@ class LocalMarket:
 
     @cached_property
     def highly_liked(self) -> DataFrame:
-        return _keep(ratings.flag_highly_liked(self.business_ratings, self.p.liked_prob))
+        return _keep(ratings.flag_highly_liked(self.business_ratings, self.p.liked_prob), "highly_liked")
 
     # ----------------------------------------------------- area clusters
     @cached_property
@@ -211,7 +212,8 @@ class LocalMarket:
     @cached_property
     def feature_frame(self) -> DataFrame:
         return _keep(
-            features.feature_frame(self.highly_liked, self.category_flags, self.business, self.p.feature_columns)
+            features.feature_frame(self.highly_liked, self.category_flags, self.business, self.p.feature_columns),
+            "feature_frame",
         )
 
     @cached_property
@@ -237,7 +239,9 @@ class LocalMarket:
     # ----------------------------------------------------- model
     @cached_property
     def stratified_split(self) -> DataFrame:
-        return _keep(model.stratified_split(self.imputed_hours, p=self.p.split_p, seed=self.p.split_seed))
+        return _keep(
+            model.stratified_split(self.imputed_hours, p=self.p.split_p, seed=self.p.split_seed), "stratified_split"
+        )
 
     @cached_property
     def forest_scores(self) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +53,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    return it read back.
+
+    This cuts the lineage at a narrow waist of the flow: later plans start
+    from files (small plans, exact size statistics for broadcast decisions),
+    and a lost executor costs a re-read, not a recomputation of everything
+    upstream. One write job; the folder is the one the session names."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/homerange/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "homerange") -> SparkSession:
     """Local session for tests, benchmarks and the driver contract."""
     builder = (

@@ -262,3 +262,19 @@ def test_confusion_rates_orientation(spark):
 def test_safe_name():
     assert safe_name("attributes.Wi-Fi") == "attributes_Wi_Fi"
     assert safe_name("category_American (New)") == "category_American_New"
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+
+    from homerange.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.integers(0, 50, 3000), np.full(2000, 17), rng.normal(size=500) * 100]).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double")
+    probs = [0.0, 0.1, 0.5, 0.8, 0.85, 0.97, 0.99, 1.0]
+    got = {r.prob: r.value for r in exact_quantiles(df, "x", probs, buckets=16).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-9)
+    one = spark.createDataFrame([(4.0,)], "x double")
+    assert exact_quantiles(one, "x", [0.8]).first().value == 4.0
