@@ -22,6 +22,11 @@ def share_of(df: DataFrame, cond: Column, among: Column | None = None, name: str
     return df.agg(F.avg(hit).alias(name))
 
 
+def distinct_values(df: DataFrame, col: str, name: str = "value") -> DataFrame:
+    """The distinct values of one column (NULL included), as rows."""
+    return df.select(F.col(col).alias(name)).distinct()
+
+
 def find_users(
     users: DataFrame,
     min_funny: int = 10000,

@@ -21,13 +21,18 @@ def visit_hits(reviews: DataFrame, tips: DataFrame) -> DataFrame:
 def visits_by_city(hits: DataFrame, businesses: DataFrame) -> DataFrame:
     """K6: visits per (city, state) of the visited business. Visits to
     unknown businesses form the NULL group with count 0 (the count is over
-    ``state``, which is NULL there)."""
+    ``state``, which is NULL there).
+
+    Visits are first counted per business (map-side combined, so a business
+    holding a third of all visits is one row per task), and only those
+    per-business counts are joined to the businesses and summed by city."""
+    per_business = hits.groupBy("business_id").agg(F.count(F.lit(1)).alias("__n"))
     loc = businesses.select("business_id", "city", "state")
+    counted = F.when(F.col("state").isNotNull(), F.col("__n"))
     return (
-        hits.select("business_id")
-        .join(loc, "business_id", "left")
+        per_business.join(loc, "business_id", "left")
         .groupBy("city", "state")
-        .agg(F.count("state").alias("Counts"))
+        .agg(F.coalesce(F.sum(counted), F.lit(0)).cast("long").alias("Counts"))
     )
 
 

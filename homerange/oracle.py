@@ -457,6 +457,7 @@ FROM rule_counts""",
     q["share_five_star"] = sql(
         f"SELECT round(avg(CASE WHEN stars = 5 THEN 1.0 ELSE 0.0 END), {DIGITS}) AS share FROM review", "review"
     )
+    q["wifi_values"] = sql("SELECT DISTINCT wifi AS value FROM business", "business")
     q["share_free_wifi"] = sql(
         f"""SELECT round(avg(CASE WHEN wifi IS NOT NULL THEN CASE WHEN wifi = 'free' THEN 1.0 ELSE 0.0 END END),
              {DIGITS}) AS share FROM business""",

@@ -274,6 +274,10 @@ class LocalMarket:
     def share_five_star(self) -> DataFrame:
         return stats.share_of(self.review, F.col("stars") == 5)
 
+    @cached_property
+    def wifi_values(self) -> DataFrame:
+        return stats.distinct_values(self.business, "attributes.`Wi-Fi`")
+
     @cached_property
     def share_free_wifi(self) -> DataFrame:
         wifi = F.col("attributes.`Wi-Fi`")

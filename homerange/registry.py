@@ -85,6 +85,7 @@ MARKET_QUERIES = [
     "confusion",
     "confusion_rates",
     "share_five_star",
+    "wifi_values",
     "share_free_wifi",
     "find_users",
     "association_2x2",

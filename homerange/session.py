@@ -39,8 +39,10 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    A cluster sets ``spark.checkpoint.dir`` to a shared file system. Only when
-    it is unset (local runs, tests) a scratch folder is made.
+    A cluster sets ``spark.checkpoint.dir`` to a shared file system and that
+    is used. Only when it is unset a folder is chosen: a scratch folder for a
+    local master (tests), otherwise a folder under the warehouse directory,
+    which a cluster keeps on shared storage -- never a machine-local one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,7 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="homerange-ckpt-")
+        if sc.master.startswith("local"):
+            configured = tempfile.mkdtemp(prefix="homerange-ckpt-")
+        else:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            configured = f"{warehouse}/_homerange_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
