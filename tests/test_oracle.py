@@ -41,3 +41,21 @@ def test_entry(spark):
         "AVG_Distance_From_Centroid",
         "STDEV_Distance_From_Centroid",
     ]
+
+
+@pytest.mark.parametrize("name", ["hit_distances", "user_dispersion", "local_users"])
+def test_hot_user_path_matches_duckdb(spark, duck_small, name):
+    """With split_rows=3 most users take the salted join path; results must
+    not change."""
+    from dataclasses import replace
+
+    from homerange import registry
+    from homerange.plans import LocalMarket
+
+    params = replace(registry.PARAMS, split_rows=3)
+
+    def q(s, d):
+        return registry.round_doubles(getattr(LocalMarket.from_standin(s, d, params), name))
+
+    ok, msg = check(spark, SF_SMALL, name, q, SQL[name], duck_small)
+    assert ok, msg
