@@ -278,3 +278,30 @@ def test_exact_quantiles_match_numpy(spark):
         assert got[p] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-9)
     one = spark.createDataFrame([(4.0,)], "x double")
     assert exact_quantiles(one, "x", [0.8]).first().value == 4.0
+
+
+def test_far_away_distance_stays_double(spark):
+    # over 100 degrees apart: a decimal(10,8) cast would overflow; doubles do not
+    loc = spark.createDataFrame(
+        [("u", "a", -111.9, 33.4), ("u", "b", 100.0, -40.0)], "user_id string, business_id string, longitude double, latitude double"
+    )
+    d = geo.user_dispersion(geo.distance_from_centroid(loc)).first()
+    assert d.AVG_Distance_From_Centroid == pytest.approx(math.dist((-111.9, 33.4), (100.0, -40.0)) / 2)
+
+
+def test_feature_frame_non_restaurant_and_restaurants_only(spark, biz):
+    liked = spark.createDataFrame([("b1", "Y"), ("b3", "N")], "business_id string, Highly_Liked string")
+    attrs = biz.select(
+        "business_id",
+        F.struct(F.lit("free").alias("Wi-Fi"), F.lit(True).alias("BYOB")).alias("attributes"),
+        F.struct(F.struct(F.lit("08:00").alias("open")).alias("Monday")).alias("hours"),
+    )
+    co = categories.co_categories(categories.category_edges(biz), "Restaurant")
+    flags = categories.category_flags(co)
+    ff = features.feature_frame(liked, flags, attrs)
+    assert {"attributes_Wi_Fi", "attributes_BYOB", "hours_Monday_open", "category_food"} <= set(ff.columns)
+    got = {r.business_id: r for r in ff.collect()}
+    assert got["b3"]["category_food"] is None and got["b1"]["category_food"] == 1  # rated, not a restaurant
+    assert got["b1"]["attributes_BYOB"] == "true" and got["b1"]["hours_Monday_open"] == "08:00"
+    only = features.feature_frame(liked, flags, attrs, restaurants_only=True)
+    assert [r.business_id for r in only.collect()] == ["b1"]
