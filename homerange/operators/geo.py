@@ -70,17 +70,28 @@ def distance_from_centroid(located: DataFrame, split_rows: int = 1_000_000) -> D
     )
 
 
-def user_dispersion(distances: DataFrame) -> DataFrame:
+BUSINESS_COUNT = "Business_Count"
+
+
+def user_dispersion(distances: DataFrame, count_businesses: bool = False) -> DataFrame:
     """K5: per user the centroid, number of located visits, and mean and
-    sample standard deviation of the distance (0 for a single visit)."""
+    sample standard deviation of the distance (0 for a single visit).
+
+    With ``count_businesses`` the same pass also counts each user's distinct
+    businesses (``Business_Count``), which is what the local-user rule needs;
+    that saves a separate pass over all visits. Where the column is not used,
+    Catalyst prunes the distinct count away."""
     d = F.col("Distance_From_Centroid")
-    return distances.groupBy("user_id").agg(
+    aggs = [
         F.max("longitude_Centroid").alias("longitude_Centroid"),
         F.max("latitude_Centroid").alias("latitude_Centroid"),
         F.count(d).alias("Tip_or_Review_Count"),
         F.avg(d).alias("AVG_Distance_From_Centroid"),
         stdev_or_zero(d).alias("STDEV_Distance_From_Centroid"),
-    )
+    ]
+    if count_businesses:
+        aggs.append(F.countDistinct("business_id").alias(BUSINESS_COUNT))
+    return distances.groupBy("user_id").agg(*aggs)
 
 
 def within_radius(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from homerange.operators.geo import LOCAL_SPREAD_DEG
+from homerange.operators.geo import BUSINESS_COUNT, LOCAL_SPREAD_DEG
 from homerange.operators.quantiles import exact_quantiles
 
 # Fixed values of the analysis: probabilities of the city-count quantiles.
@@ -85,3 +85,18 @@ def local_users(
     if max_businesses is not None:
         keep = keep & (F.col("Counts") <= max_businesses)
     return tight.join(counts.filter(keep).select("user_id"), "user_id", "left_semi")
+
+
+def local_users_counted(
+    tight: DataFrame,
+    min_businesses: int = 3,
+    max_businesses: int | None = None,
+    count_col: str = BUSINESS_COUNT,
+) -> DataFrame:
+    """K12 when the tight users already carry their distinct-business count
+    (``user_dispersion(..., count_businesses=True)``): a filter, no join and
+    no further pass over the visits. Same rows as :func:`local_users`."""
+    keep: Column = F.col(count_col) >= min_businesses
+    if max_businesses is not None:
+        keep = keep & (F.col(count_col) <= max_businesses)
+    return tight.filter(keep).drop(count_col)

@@ -101,9 +101,14 @@ class LocalMarket:
     def hit_distances(self) -> DataFrame:
         return geo.distance_from_centroid(self.located_hits, split_rows=self.p.split_rows)
 
+    @cached_property
+    def counted_dispersion(self) -> DataFrame:
+        """Dispersion plus each user's distinct-business count, one pass."""
+        return geo.user_dispersion(self.hit_distances, count_businesses=True)
+
     @cached_property
     def user_dispersion(self) -> DataFrame:
-        return geo.user_dispersion(self.hit_distances)
+        return self.counted_dispersion.drop(geo.BUSINESS_COUNT)
 
     @cached_property
     def visits_by_city(self) -> DataFrame:
@@ -142,9 +147,11 @@ class LocalMarket:
 
     @cached_property
     def local_users(self) -> DataFrame:
+        counted = visits.tight_users(
+            geo.users_in_radius(self.counted_dispersion, **self._radius()), self.p.local_spread_deg, self.p.n_sd
+        )
         return _keep(
-            visits.local_users(self.tight_users, self.located_hits, self.p.min_businesses, self.p.max_businesses),
-            "local_users",
+            visits.local_users_counted(counted, self.p.min_businesses, self.p.max_businesses), "local_users"
         )
 
     # ----------------------------------------------------- what locals like

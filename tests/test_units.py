@@ -305,3 +305,13 @@ def test_feature_frame_non_restaurant_and_restaurants_only(spark, biz):
     assert got["b1"]["attributes_BYOB"] == "true" and got["b1"]["hours_Monday_open"] == "08:00"
     only = features.feature_frame(liked, flags, attrs, restaurants_only=True)
     assert [r.business_id for r in only.collect()] == ["b1"]
+
+
+def test_local_users_counted_equals_join_form(spark, hits, biz):
+    loc = geo.locate_hits(hits, biz)
+    disp = geo.user_dispersion(geo.distance_from_centroid(loc), count_businesses=True)
+    assert {r.user_id: r.Business_Count for r in disp.collect()} == {"u1": 1, "u2": 2, "u3": 1, "u4": 2}
+    for k in (1, 2, 3):
+        a = rows(visits.local_users_counted(disp, k), "user_id")
+        b = rows(visits.local_users(disp.drop("Business_Count"), loc, k), "user_id")
+        assert a == b
