@@ -138,6 +138,20 @@ def fill_missing(df: DataFrame, exclude=()) -> DataFrame:
     return df.select(*out)
 
 
+def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Most common value of each column (ties -> lowest), as one row
+    with a column per input column.
+
+    Values are counted per (column, value) with map-side partial
+    aggregation; the winner per column is a ``min`` over (-count, value),
+    also partial -- no task ever holds a column's whole value distribution."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("k"), _q(c).cast("string").alias("v")) for c in cols])
+    counts = df.select(F.explode(pairs).alias("e")).groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("v").alias("v"))).alias("b"))
+    # one row per column in, one row out: the pivot values are given, so no extra job
+    return best.groupBy().pivot("k", list(cols)).agg(F.first("b.v"))
+
+
 def impute_hours(
     df: DataFrame,
     hour_cols: list[str] | None = None,
@@ -149,16 +163,15 @@ def impute_hours(
     mode is taken after the fill, so it can be "0" itself), then keep the
     hour as a number from the first ``width`` characters.
 
-    The modes are one aggregate row used as a scalar subquery (no join);
-    ``mode`` keeps a count per distinct value, which for hours is at most a
-    few dozen."""
+    The modes (:func:`column_modes`) are one row used as a scalar subquery,
+    so no join is needed."""
     if hour_cols is None:
         hour_cols = [c for c in df.columns if c.startswith("hours") or c == "hrs"]
     filled = fill_missing(df, exclude=exclude)
     if not hour_cols:
         return filled
-    modes = filled.agg(F.struct(*[F.mode(_q(c), True).alias(c) for c in hour_cols]).alias("m"))
-    mode_row = modes.select("m").scalar()
+    modes = column_modes(filled, hour_cols)
+    mode_row = modes.select(F.struct(*[_q(c) for c in hour_cols]).alias("m")).select("m").scalar()
     out = []
     for c in filled.columns:
         col = _q(c)

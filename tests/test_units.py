@@ -315,3 +315,9 @@ def test_local_users_counted_equals_join_form(spark, hits, biz):
         a = rows(visits.local_users_counted(disp, k), "user_id")
         b = rows(visits.local_users(disp.drop("Business_Count"), loc, k), "user_id")
         assert a == b
+
+
+def test_column_modes_ties_lowest(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "y"), ("b", "y"), ("a", "x"), ("c", "x")], "p string, q string")
+    m = features.column_modes(df, ["p", "q"]).first()
+    assert (m.p, m.q) == ("a", "x")  # p: a and b tie at 2 -> lowest; q: x wins 3-2
