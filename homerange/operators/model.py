@@ -68,7 +68,7 @@ def stratified_split(
     return j.select(*out_cols, F.when(train, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
-def forest_pipeline(
+def forest_estimator(
     df: DataFrame,
     label: str = "Highly_Liked",
     exclude=("business_id", "split"),
@@ -109,10 +109,10 @@ def forest_pipeline(
 
 
 def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineModel:
-    """Fit :func:`forest_pipeline`. The indexers are fitted first (one
+    """Fit :func:`forest_estimator`. The indexers are fitted first (one
     distinct-count job each, results bounded by the number of categories) so
     that ``maxBins`` can be set above the widest categorical feature."""
-    pipe = forest_pipeline(train, label=label, **kw)
+    pipe = forest_estimator(train, label=label, **kw)
     stages = pipe.getStages()
     indexers = Pipeline(stages=stages[:-2]).fit(train)
     widest = max((len(m.labels) + 1 for m in indexers.stages), default=2)
