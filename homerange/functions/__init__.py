@@ -2,6 +2,7 @@
 
 from homerange.functions.expressions import (
     contains_ci,
+    exact_mean,
     leading_number,
     planar_distance,
     safe_name,
@@ -11,6 +12,7 @@ from homerange.functions.expressions import (
 
 __all__ = [
     "contains_ci",
+    "exact_mean",
     "leading_number",
     "planar_distance",
     "safe_name",

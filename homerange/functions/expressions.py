@@ -65,3 +65,17 @@ def safe_name(name: str) -> str:
     ("attributes.Wi-Fi" -> "attributes_Wi_Fi", "American (New)" ->
     "American_New")."""
     return _UNSAFE.sub("_", name).strip("_")
+
+
+def exact_mean(c: ColumnOrName, units_per_degree: float = 1e10) -> Column:
+    """Aggregate: mean of a coordinate, independent of summation order.
+
+    Values are taken in whole units of 1/``units_per_degree`` (1e-10 degree,
+    about 0.01 mm), summed exactly as decimals, and only the final sum is
+    turned into a double and divided. A plain double average depends on the
+    order in which partitions are added, so the same data could give
+    centroids that differ in the last bit from run to run; this one cannot.
+    NULLs are skipped, as in ``avg``."""
+    scale = F.lit(float(units_per_degree))
+    units = F.round(_col(c) * scale, 0).cast("decimal(20,0)")
+    return (F.sum(units).cast("double") / scale) / F.count(_col(c))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homerange.functions import planar_distance, stdev_or_zero, within_box
+from homerange.functions import exact_mean, planar_distance, stdev_or_zero, within_box
 from homerange.operators.skew import join_per_key
 
 # Fixed values of the analysis: the centre of the study area (a campus in
@@ -38,10 +38,11 @@ def locate_hits(hits: DataFrame, businesses: DataFrame) -> DataFrame:
 def user_centroids(located: DataFrame, with_count: bool = False) -> DataFrame:
     """K3: mean longitude and latitude of each user's located visits. One
     aggregate with map-side partial sums, so a hot user costs nothing
-    extra."""
+    extra. The means are exact sums (:func:`exact_mean`), so a centroid does
+    not change with the partitioning."""
     aggs = [
-        F.avg("longitude").alias("longitude_Centroid"),
-        F.avg("latitude").alias("latitude_Centroid"),
+        exact_mean("longitude").alias("longitude_Centroid"),
+        exact_mean("latitude").alias("latitude_Centroid"),
     ]
     if with_count:
         aggs.append(F.count(F.lit(1)).alias("__rows"))

@@ -11,7 +11,7 @@ order differ in the last bit).
 
 from __future__ import annotations
 
-DIGITS = 9
+DIGITS = 6
 
 # The names looked up by the user query on the driver tables.
 LOOKUP_NAMES = ("Customer#000000007", "Customer#000000024", "Customer#000000035", "Customer#000000100")
@@ -54,9 +54,24 @@ def _self_contained(name: str, template: str, source: str) -> None:
     _cte(name, (), template.format(src=f"({sql(f'SELECT * FROM {source}', source)})"))
 
 
+def _round(expr: str, digits: int = DIGITS) -> str:
+    """Round with the same IEEE steps as the Spark side (scale, round half
+    away from zero, unscale), so equal doubles give equal results."""
+    scale = f"1e{digits}::DOUBLE"
+    return f"(round(({expr}) * {scale}) / {scale})"
+
+
+def _mean(col: str) -> str:
+    """The exact, order-independent coordinate mean of the Spark side."""
+    return (
+        f"((CAST(CAST(sum(CAST(round({col} * 1e10::DOUBLE) AS BIGINT)) AS BIGINT) AS DOUBLE)"
+        f" / 1e10::DOUBLE) / count({col}))"
+    )
+
+
 def rounded(select_from: str, cols: list[str], digits: int = DIGITS) -> str:
     """``SELECT * REPLACE (round(c, digits) AS c ...) FROM <cte or table>``."""
-    rep = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in cols)
+    rep = ", ".join(f'{_round(chr(34) + c + chr(34), digits)} AS "{c}"' for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM {select_from}"
 
 
@@ -117,7 +132,7 @@ FROM visit_hits h LEFT JOIN business b ON h.business_id = b.business_id""",
 _cte(
     "centroids",
     ("located",),
-    """SELECT user_id, avg(longitude) AS longitude_Centroid, avg(latitude) AS latitude_Centroid
+    f"""SELECT user_id, {_mean("longitude")} AS longitude_Centroid, {_mean("latitude")} AS latitude_Centroid
 FROM located GROUP BY user_id""",
 )
 _cte(
@@ -386,7 +401,7 @@ CITY_PROBS = [0.8, 0.85, 0.9, 0.95, 0.96, 0.97, 0.99]
 def _quantiles_sql(table: str, col: str, probs: list[float]) -> str:
     lst = "[" + ", ".join(repr(p) for p in probs) + "]::DOUBLE[]"
     return (
-        f"SELECT unnest({lst}) AS prob, round(unnest(quantile_cont({col}::DOUBLE, {lst})), {DIGITS}) AS value "
+        f"SELECT unnest({lst}) AS prob, ((round((unnest(quantile_cont({col}::DOUBLE, {lst}))) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS value "
         f"FROM {table}"
     )
 
@@ -419,17 +434,16 @@ def queries() -> dict[str, str]:
     q["local_reviews"] = sql("SELECT * FROM local_reviews", "local_reviews")
     q["business_ratings"] = sql(rounded("business_ratings", ["AVG_stars"]), "business_ratings")
     q["rating_quantiles"] = sql(
-        f"""SELECT 'mean' AS stat, round(avg(AVG_stars), {DIGITS}) AS value FROM business_ratings
+        f"""SELECT 'mean' AS stat, ((round((avg(AVG_stars)) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS value FROM business_ratings
 UNION ALL
 SELECT unnest(['p80', 'p85', 'p90', 'p95', 'p99']) AS stat,
-       round(unnest(quantile_cont(AVG_stars, [0.8, 0.85, 0.9, 0.95, 0.99]::DOUBLE[])), {DIGITS}) AS value
+       ((round((unnest(quantile_cont(AVG_stars, [0.8, 0.85, 0.9, 0.95, 0.99]::DOUBLE[]))) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS value
 FROM business_ratings""",
         "business_ratings",
     )
     q["highly_liked"] = sql(rounded("highly_liked", ["AVG_stars"]), "highly_liked")
     q["elbow_k1"] = sql(
-        f"""SELECT 1 AS k, round((count(*) - 1) * (var_samp(longitude_Centroid) + var_samp(latitude_Centroid)),
-                     {DIGITS}) AS wss
+        f"""SELECT 1 AS k, ((round(((count(*) - 1) * (var_samp(longitude_Centroid) + var_samp(latitude_Centroid))) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS wss
 FROM local_users""",
         "local_users",
     )
@@ -444,30 +458,29 @@ FROM local_users""",
     q["stratified_split"] = sql("SELECT * FROM split", "split")
     q["confusion_rates"] = sql(
         f"""SELECT tp + fn + fp + tn AS n, tp, fn, fp, tn,
-  round(CASE WHEN tp + fn + fp + tn > 0 THEN (tp + tn) / (tp + fn + fp + tn) END, {DIGITS}) AS accuracy,
-  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, {DIGITS}) AS sensitivity,
-  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, {DIGITS}) AS specificity,
-  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, {DIGITS}) AS ppv,
-  round(CASE WHEN tn + fn > 0 THEN tn / (tn + fn) END, {DIGITS}) AS npv,
-  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, {DIGITS}) AS published_sensitivity,
-  round(CASE WHEN tn + fn > 0 THEN tn / (tn + fn) END, {DIGITS}) AS published_specificity
+  ((round((CASE WHEN tp + fn + fp + tn > 0 THEN (tp + tn) / (tp + fn + fp + tn) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS accuracy,
+  ((round((CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS sensitivity,
+  ((round((CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS specificity,
+  ((round((CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS ppv,
+  ((round((CASE WHEN tn + fn > 0 THEN tn / (tn + fn) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS npv,
+  ((round((CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS published_sensitivity,
+  ((round((CASE WHEN tn + fn > 0 THEN tn / (tn + fn) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS published_specificity
 FROM rule_counts""",
         "rule_counts",
     )
     q["share_five_star"] = sql(
-        f"SELECT round(avg(CASE WHEN stars = 5 THEN 1.0 ELSE 0.0 END), {DIGITS}) AS share FROM review", "review"
+        f"SELECT ((round((avg(CASE WHEN stars = 5 THEN 1.0 ELSE 0.0 END)) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS share FROM review", "review"
     )
     q["wifi_values"] = sql("SELECT DISTINCT wifi AS value FROM business", "business")
     q["share_free_wifi"] = sql(
-        f"""SELECT round(avg(CASE WHEN wifi IS NOT NULL THEN CASE WHEN wifi = 'free' THEN 1.0 ELSE 0.0 END END),
-             {DIGITS}) AS share FROM business""",
+        f"""SELECT ((round((avg(CASE WHEN wifi IS NOT NULL THEN CASE WHEN wifi = 'free' THEN 1.0 ELSE 0.0 END END)) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS share FROM business""",
         "business",
     )
     names = ", ".join(f"'{n}'" for n in LOOKUP_NAMES)
     q["find_users"] = sql(f"SELECT * FROM users WHERE votes_funny > 9000 AND name IN ({names})", "users")
     q["association_2x2"] = sql(
         f"""SELECT tl, tr, bl, br,
-  round(coalesce(sum(CASE WHEN d <= dobs * (1 + 1e-7) THEN d END) / sum(d), 0.0), {DIGITS}) AS p_value
+  ((round((coalesce(sum(CASE WHEN d <= dobs * (1 + 1e-7) THEN d END) / sum(d), 0.0)) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS p_value
 FROM (SELECT *, exp(L - max(L) OVER ()) AS d FROM
         (SELECT * REPLACE (coalesce(L, 0.0) AS L) FROM fisher_support))
 CROSS JOIN (SELECT exp(coalesce(L, 0.0) - (SELECT max(coalesce(L, 0.0)) FROM fisher_support)) AS dobs

@@ -28,7 +28,8 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits)
+            # the same IEEE steps as the SQL side: scale, round half away, unscale
+            c = F.round(c * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

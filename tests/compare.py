@@ -38,6 +38,17 @@ def _norm(v):
     return v
 
 
+_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "smallint": "SMALLINT",
+    "float": "FLOAT",
+}
+
+
 def check(spark, sf_dir: str, name: str, query, sql: str, con=None) -> tuple[bool, str]:
     con = con or duck(sf_dir)
     sdf = query(spark, sf_dir)
@@ -48,6 +59,11 @@ def check(spark, sf_dir: str, name: str, query, sql: str, con=None) -> tuple[boo
     d_rows = [tuple(_norm(x) for x in r) for r in rel.fetchall()]
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={s_cols} duck={d_cols}"
+    s_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    d_types = dict(zip(d_cols, (str(t) for t in rel.types)))
+    if s_types != d_types:
+        diff = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]}
+        return False, f"types differ (spark, duck): {diff}"
     perm = [d_cols.index(c) for c in s_cols]
     d_rows = [tuple(r[i] for i in perm) for r in d_rows]
     if len(s_rows) != len(d_rows):
