@@ -112,7 +112,7 @@ class LocalMarket:
 
     @cached_property
     def visits_by_city(self) -> DataFrame:
-        return visits.visits_by_city(self.visit_hits, self.business)
+        return _keep(visits.visits_by_city(self.visit_hits, self.business), "visits_by_city")
 
     @cached_property
     def visits_by_city_quantiles(self) -> DataFrame:
@@ -161,7 +161,7 @@ class LocalMarket:
 
     @cached_property
     def business_ratings(self) -> DataFrame:
-        return ratings.business_ratings(self.local_reviews, self.p.min_ratings)
+        return _keep(ratings.business_ratings(self.local_reviews, self.p.min_ratings), "business_ratings")
 
     @cached_property
     def rating_quantiles(self) -> DataFrame:
