@@ -66,15 +66,22 @@ def business(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
     """Every tip or review: (user_id, business_id, kind, stars).
 
     A line item is a visit by the order's customer to the part; it is kept
     when the part is in the customer's home region, or as an occasional trip
-    (line 7 of every third customer's orders)."""
+    (line 7 of every third customer's orders). Returned items are tips, the
+    rest reviews; with ``kind`` only one of them is read, and that filter is
+    on a stored column, so it reaches the Parquet scan."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
     )
+    is_tip = F.col("l_returnflag") == "R"
+    if kind == "tip":
+        li = li.filter(is_tip)
+    elif kind == "review":
+        li = li.filter(~F.coalesce(is_tip, F.lit(False)))
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = li.join(od, li["l_orderkey"] == od["o_orderkey"])
     keep = ((F.col("l_partkey") % 4) == (F.col("o_custkey") % 4)) | (
@@ -83,17 +90,17 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.filter(keep).select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("business_id"),
-        F.when(F.col("l_returnflag") == "R", F.lit("tip")).otherwise(F.lit("review")).alias("kind"),
+        F.when(is_tip, F.lit("tip")).otherwise(F.lit("review")).alias("kind"),
         (F.lit(1) + F.col("l_quantity").cast("int") % 5).alias("stars"),
     )
 
 
 def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).filter(F.col("kind") == "tip").select("user_id", "business_id")
+    return hits(spark, sf_dir, "tip").select("user_id", "business_id")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).filter(F.col("kind") == "review").select("user_id", "business_id", "stars")
+    return hits(spark, sf_dir, "review").select("user_id", "business_id", "stars")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,10 +126,9 @@ class StandIn:
 
 
 def load(spark: SparkSession, sf_dir: str) -> StandIn:
-    visits = hits(spark, sf_dir)
     return StandIn(
         business=business(spark, sf_dir),
-        review=visits.filter(F.col("kind") == "review").select("user_id", "business_id", "stars"),
-        tip=visits.filter(F.col("kind") == "tip").select("user_id", "business_id"),
+        review=reviews(spark, sf_dir),
+        tip=tips(spark, sf_dir),
         user=users(spark, sf_dir),
     )
