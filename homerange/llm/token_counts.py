@@ -184,6 +184,12 @@ class PrefixCounter:
         return out
 
 
+@lru_cache(maxsize=1)
+def prefix_counter(path: str) -> PrefixCounter:
+    """One counter per Python worker, so that its memo serves all of its tasks."""
+    return PrefixCounter(path)
+
+
 def fitting(counts: np.ndarray, budget: int) -> int:
     """Code points of the longest prefix of at most ``budget`` tokens."""
     ok = np.nonzero(counts <= budget)[0]
@@ -205,7 +211,7 @@ def count_tokens(
         fields.append(T.StructField("prefix_tokens", T.ArrayType(T.IntegerType())))
 
     def make():
-        counter = PrefixCounter(vocabulary_path(vocabulary))
+        counter = prefix_counter(vocabulary_path(vocabulary))
 
         def fn(texts):
             all_counts = counter.counts(texts)
