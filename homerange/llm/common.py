@@ -8,7 +8,10 @@ the input row travels as one untouched struct next to the new columns.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,24 @@ ROW, VALUE = "_row", "_value"
 STEP_CHARS = 4_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors through the session's own file service,
+    once per application, so that Python tasks can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="homerange-")) / "homerange_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of one table; the scan reads no other column."""
     frame = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -55,6 +76,7 @@ def append_columns(df: DataFrame, value: Column, make: Callable[[], Callable], s
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), value.alias(VALUE))
     out_schema = T.StructType([T.StructField(ROW, inner.schema[ROW].dataType), *schema.fields])
     new = list(to_arrow_schema(schema))
