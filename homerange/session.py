@@ -40,9 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
     A cluster sets ``spark.checkpoint.dir`` to a shared file system and that
-    is used. Only when it is unset a folder is chosen: a scratch folder for a
-    local master (tests), otherwise a folder under the warehouse directory,
-    which a cluster keeps on shared storage -- never a machine-local one.
+    is used. Only a local master without the setting (tests) gets a scratch
+    folder; on a cluster the missing setting is an error, since any folder
+    chosen here could be local to one machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,15 +50,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if sc.master.startswith("local"):
-            configured = tempfile.mkdtemp(prefix="homerange-ckpt-")
-        else:
-            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-            configured = f"{warehouse}/_homerange_checkpoints"
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="homerange-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialize(df, name: str):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     return it read back.
@@ -66,12 +69,26 @@ def materialize(df, name: str):
     This cuts the lineage at a narrow waist of the flow: later plans start
     from files (small plans, exact size statistics for broadcast decisions),
     and a lost executor costs a re-read, not a recomputation of everything
-    upstream. One write job; the folder is the one the session names."""
+    upstream. One write job; the folder is the one the session names, and it
+    is removed when the application ends, or by :func:`discard`."""
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/homerange/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._homerange_table = path
+    return out
+
+
+def discard(df) -> None:
+    """Remove the table behind a frame from :func:`materialize`, once no plan
+    that reads it will run again."""
+    path = getattr(df, "_homerange_table", None)
+    if path:
+        fs, where = _file_system(df.sparkSession, path)
+        fs.delete(where, True)
 
 
 def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "homerange") -> SparkSession:
