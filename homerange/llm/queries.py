@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from homerange.llm import language_id, packing, quality_rules, sentence_pieces, token_counts, toxicity
+from homerange.llm import language_id, packing, quality_rules, sentence_pieces, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.query,
         "op3_packing": packing.query,
+        "op4_simhash": simhash.query,
         "op6_toxicity": toxicity.query,
         "op7_quality_rules": quality_rules.query,
         "op8_sentence_pieces": sentence_pieces.query,
