@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from homerange.llm import language_id, packing, quality_rules, sentence_pieces, simhash, token_counts, toxicity
+from homerange.llm import embedding_dedup, language_id, packing, quality_rules, sentence_pieces, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.query,
+        "op2_embedding_dedup": embedding_dedup.query,
         "op3_packing": packing.query,
         "op4_simhash": simhash.query,
         "op6_toxicity": toxicity.query,
