@@ -53,7 +53,7 @@ def fold(id_col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def steps(values: list, size: Callable = lambda v: len(v) if v else 0) -> Iterator[tuple[int, int]]:
+def steps(values: list, size: Callable = lambda v: len(v.get("text") or "") if isinstance(v, dict) else len(v or "")) -> Iterator[tuple[int, int]]:
     """Slices of ``values`` of about :data:`STEP_CHARS` characters, so that a
     task's memory does not follow the length of an Arrow batch's texts."""
     start, held = 0, 0

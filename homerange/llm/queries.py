@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from homerange.llm import embedding_dedup, language_id, packing, quality_rules, sentence_pieces, simhash, token_counts, toxicity
+from homerange.llm import embedding_dedup, language_id, packing, quality_rules, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_embedding_dedup": embedding_dedup.query,
         "op3_packing": packing.query,
         "op4_simhash": simhash.query,
+        "op5_suffix_dedup": suffix_dedup.query,
         "op6_toxicity": toxicity.query,
         "op7_quality_rules": quality_rules.query,
         "op8_sentence_pieces": sentence_pieces.query,
