@@ -282,7 +282,7 @@ def _places(docs: pa.Table, notes: pa.Table, min_bytes: int) -> pa.Table:
     side = min_bytes - ANCHOR
     out: dict[str, list] = {c: [] for c in ("anchor", "id", "print", "at", "left", "right")}
     for i, p, c, at, h in _documents_of(docs, notes, min_bytes) if len(wanted) else ():
-        hit = np.isin(h, wanted)
+        hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
         here, raw = at[hit].tolist(), c.raw
         out["anchor"] += h[hit].view(np.int64).tolist()
         out["id"] += [i] * len(here)
@@ -405,7 +405,7 @@ def _hot_windows(places: DataFrame, min_bytes: int) -> DataFrame:
     )
     low = each.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     hit = each.join(low, "window").filter(F.col("id") > F.col("low"))
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col("j"))
+    bit = F.expr("shiftleft(1L, j)")
     return hit.groupBy(*_KEY, "at").agg(F.bit_or(bit).alias("removed"))
 
 
