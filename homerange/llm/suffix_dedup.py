@@ -277,8 +277,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _places(docs: pa.Table, notes: pa.Table, min_bytes: int) -> pa.Table:
     """The places of the shared anchors in a batch, with the bytes around them."""
-    lists = [np.frombuffer(x, dtype=np.int64) for x in notes.column("anchors").to_pylist() if x]
-    wanted = np.unique(np.concatenate(lists)).view(np.uint64) if lists else np.zeros(0, dtype=np.uint64)
+    lists = [np.frombuffer(x, dtype=np.uint64) for x in notes.column("anchors").to_pylist() if x]
+    wanted = np.unique(np.concatenate(lists)) if lists else np.zeros(0, dtype=np.uint64)
     side = min_bytes - ANCHOR
     out: dict[str, list] = {c: [] for c in ("anchor", "id", "print", "at", "left", "right")}
     for i, p, c, at, h in _documents_of(docs, notes, min_bytes) if len(wanted) else ():
