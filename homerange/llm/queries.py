@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from homerange.llm import embedding_dedup, language_id, packing, quality_rules, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity
+from homerange.llm import embedding_dedup, html_text, language_id, packing, quality_rules, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.query,
@@ -21,7 +27,9 @@ def queries() -> dict[str, Query]:
         "op6_toxicity": toxicity.query,
         "op7_quality_rules": quality_rules.query,
         "op8_sentence_pieces": sentence_pieces.query,
+        "op9_html_text": html_text.query,
         "op10_token_counts": token_counts.query,
+        "pipeline": pipeline,
     }
 
 
