@@ -139,8 +139,9 @@ def judge(df: DataFrame, text_col: str = "text", rules: Rules | None = None) ->
     )
 
     good = F.filter(q + "lines", lambda x: ~line_fails(x, F.col(q + "phrase"), r))
-    step6 = step5.select(
-        "_row",
+    # The measures leave through a generator of one row: a later filter on the verdict
+    # would otherwise be pushed below it, and all of this computed twice.
+    measured = F.struct(
         F.col(q + "n").cast("long").alias("n_words"),
         F.length(F.array_join(q + "words", "")).cast("long").alias("word_chars"),
         F.regexp_count(q + "text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -149,6 +150,7 @@ def judge(df: DataFrame, text_col: str = "text", rules: Rules | None = None) ->
         F.length(q + "text").alias(q + "chars"),
         F.array_join(good, "\n").alias("clean_text"),
     )
+    step6 = step5.select("_row", F.explode(F.array(measured)).alias("m")).select("_row", "m.*")
     failed = (F.col("n_words") < r.min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(r.max_repeat_pct) * F.col("n_words")
     )
