@@ -15,7 +15,9 @@ lost task is repeated, since the pieces are made straight from the scan.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 4096
 #: Distinct chunks that a Python worker remembers before it starts anew.
-MEMO = 800_000
+MEMO = 600_000
 
 # Text in which chunks between white space can be encoded one by one with the same
 # result as the whole text: no control characters that only one of the libraries
@@ -37,30 +39,83 @@ MEMO = 800_000
 PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-˿‐-‧‰-⁞]*+")
 
 
+# Marks that may stand around a word without being part of one: no apostrophe, which
+# can begin a word of its own, and none of the special tokens' characters.
+MARKS = "\"#$%&()*+,-./:;=?@[\\]^_`{}~!"
+#: Words that the library gets in one string.
+TOGETHER = 2000
+
+
 class Encoder:
     """``encode(texts)``: little-endian 32-bit ids, as the library gives them. White
     space only separates words in this vocabulary, so a text's ids are those of its
-    chunks; each distinct chunk goes through the library once."""
+    chunks; each distinct chunk is put together from its word of letters and the marks
+    around it, and each distinct word goes through the library once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: many in one string, cut after the tokens that end a
+        word."""
+        out: list[bytes] = []
+        groups = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+        for group, e in zip(
+            groups,
+            self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False),
+            strict=True,
+        ):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(group):
+                out += self._ids(group)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.words) > MEMO:
+            self.words = {"": b""}
+        odd, plain, marks, letters = [], [], set(), set()
+        for c in chunks:
+            word = c.strip(MARKS)
+            if not word.isalpha():
+                odd.append(c)
+                continue
+            at = c.index(word)
+            low = word.lower()
+            before, after = c[:at], c[at + len(word) :]
+            plain.append((c, before, low, after))
+            letters.add(low)
+            marks.update((before, after))
+        known = self.words
+        new = [w for w in letters if w not in known]
+        known.update(zip(new, self._word_ids(new), strict=True))
+        rest = [c for c in (*odd, *marks) if c not in known]
+        found = dict(zip(rest, self._ids(rest), strict=True))
+        known.update((c, found[c]) for c in marks if c in found)
+        self.chunks.update((c, found.get(c) or known.get(c, b"")) for c in odd)
+        self.chunks.update((c, known[x] + known[w] + known[y]) for c, x, w, y in plain)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [t.split() if t and PLAIN.fullmatch(t) else None for t in texts]
         if len(self.chunks) > MEMO:
             self.chunks = {}
-        new = list({c for cs in cut if cs for c in cs}.difference(self.chunks))
+        new = set(chain.from_iterable(c for c in cut if c)).difference(self.chunks)
         if new:
-            self.chunks.update(zip(new, self._ids(new), strict=True))
+            self._learn(list(new))
         odd = [k for k, (t, cs) in enumerate(zip(texts, cut, strict=True)) if t and cs is None]
         whole = dict(zip(odd, self._ids([texts[k] for k in odd]), strict=True)) if odd else {}
         get = self.chunks.__getitem__
