@@ -32,7 +32,7 @@ from homerange.llm.merge_lattice import Lattice, build
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Distinct chunks that a Python worker remembers before it starts anew.
-MEMO = 250_000
+MEMO = 600_000
 
 # The byte-level vocabulary's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
