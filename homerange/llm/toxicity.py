@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homerange.llm.common import append_columns, fold, read
+from homerange.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Leading letters that count as features besides the whole token.
@@ -300,10 +301,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def learn_tables(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
-    """The model from ``docs`` and the ``labels`` table, without the held-out fold."""
-    known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0))
-    texts = docs.select("doc_id", "text")
-    return learn(texts.join(known, "doc_id").select("text", "toxic"), "text", "toxic", s)
+    """The model from ``docs`` and the ``labels`` table, without the held-out fold. The
+    labels used are ``max_labelled`` at most (those with the least hashes of the id), so
+    they can be sent to every task and no text is shuffled to find its label."""
+    s = s or Settings()
+    known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(s.max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    return learn(materialize(rows, "labelled"), "text", "toxic", s)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
