@@ -9,8 +9,8 @@ each vector also visits, as a guest, the cells whose border is that near, and ev
 link is found in the home cell of one of its ends: the search is exact, whatever the
 centres are; good centres only make it cheaper.
 
-Within a cell, rows meet in blocks of ``block_rows`` (home rows against home rows and
-guests), each pair of blocks a matrix product of its own, so a crowded cell becomes
+Within a cell, rows meet in blocks: ``block_rows`` home rows against as many others and
+against eight times as many guests, each pair of blocks a matrix product of its own, so a crowded cell becomes
 many tasks. A block returns the number of links of each of its rows and a spanning
 forest, never the pairs. Equal vectors are collapsed first and counted by weight.
 
@@ -41,6 +41,8 @@ from homerange.session import materialize
 MIN_COSINE = 0.95
 #: Room for rounding: pairs this near the threshold are computed again on their own.
 SLACK = 1e-9
+#: Rows of one side that a product takes at a time.
+PRODUCT_ROWS = 1024
 
 
 def fit_centres(sample: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -103,10 +105,13 @@ def _meet(group: pa.Table, width: int, min_cosine: float) -> pa.Table:
     unit = _unit(cols["vector"], width)
     left = np.flatnonzero(side == 0)
     right = left if itself else np.flatnonzero(side == 1)
-    close = unit[left] @ unit[right].T
-    x, y = np.nonzero(close >= min_cosine - SLACK)
-    value = close[x, y]
-    x, y = left[x], right[y]
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    for a in range(0, len(right), PRODUCT_ROWS):
+        part = right[a : a + PRODUCT_ROWS]
+        close = unit[left] @ unit[part].T
+        r, c = np.nonzero(close >= min_cosine - SLACK)
+        found.append((left[r], part[c], close[r, c]))
+    x, y, value = (np.concatenate(f) for f in zip(*found, strict=True))
     border = np.flatnonzero(np.abs(value - min_cosine) <= SLACK)
     if len(border):
         value[border] = np.einsum("ij,ij->i", unit[x[border]], unit[y[border]])
@@ -145,7 +150,7 @@ def near_duplicates(
     cell_rows: int = 2048,
     max_cells: int = 1024,
     sample_rows: int = 8192,
-    block_rows: int = 1024,
+    block_rows: int = 2048,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector."""
     spark = vectors.sparkSession
@@ -255,9 +260,9 @@ def _search(
         F.sum((F.col("cell") != F.col("home")).cast("long")).alias("guests"),
     )
     host_blocks = F.greatest(F.ceil(F.col("hosts") / block_rows), F.lit(1)).cast("int")
-    guest_blocks = F.greatest(F.ceil(F.col("guests") / block_rows), F.lit(1)).cast("int")
+    guest_blocks = F.greatest(F.ceil(F.col("guests") / (8 * block_rows)), F.lit(1)).cast("int")
     h = F.xxhash64("node")
-    each = each.join(sizes, "cell")
+    each = each.join(F.broadcast(sizes), "cell")  # at most max_cells rows
     mine = F.pmod(h, F.when(F.col("side") == 0, host_blocks).otherwise(guest_blocks)).cast("int")
     each = each.withColumn("mine", mine)
     # host block i meets host block j >= i (j as second side) and guest block g, told
