@@ -66,8 +66,11 @@ def steps(values: list, size: Callable = lambda v: len(v.get("text") or "") if i
         yield start, len(values)
 
 
-def append_columns(df: DataFrame, value: Column, make: Callable[[], Callable], schema: T.StructType) -> DataFrame:
-    """``df`` with the columns of ``schema`` computed from ``value``.
+def append_columns(
+    df: DataFrame, value: Column, make: Callable[[], Callable], schema: T.StructType, keep: list[str] | None = None
+) -> DataFrame:
+    """``df`` (its columns ``keep``, if given) with the columns of ``schema`` computed
+    from ``value``.
 
     ``make()`` runs once per task and returns ``fn(values) -> list of columns``
     (one list, numpy array or Arrow array per field). The rows of ``df`` are
@@ -77,7 +80,8 @@ def append_columns(df: DataFrame, value: Column, make: Callable[[], Callable], s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
-    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), value.alias(VALUE))
+    names = df.columns if keep is None else keep
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(ROW), value.alias(VALUE))
     out_schema = T.StructType([T.StructField(ROW, inner.schema[ROW].dataType), *schema.fields])
     new = list(to_arrow_schema(schema))
 
@@ -93,5 +97,5 @@ def append_columns(df: DataFrame, value: Column, make: Callable[[], Callable], s
                 yield pa.RecordBatch.from_arrays([rows.slice(a, b - a), *cols], names=[ROW, *(f.name for f in new)])
 
     out = inner.mapInArrow(run, out_schema)
-    kept = [F.col(ROW)[c].alias(c) for c in df.columns if c not in set(schema.names)]
+    kept = [F.col(ROW)[c].alias(c) for c in names if c not in set(schema.names)]
     return out.select(*kept, *[F.col(n) for n in schema.names])

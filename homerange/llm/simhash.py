@@ -70,8 +70,10 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with simhash, the fingerprint as a signed 64-bit integer."""
+def fingerprints(
+    docs: DataFrame, text_col: str = "text", shingle_words: int = SHINGLE_WORDS, keep: list[str] | None = None
+) -> DataFrame:
+    """``docs`` (its columns ``keep``, if given) with simhash, the fingerprint as a signed 64-bit integer."""
     schema = T.StructType([T.StructField("simhash", T.LongType())])
 
     def make():
@@ -81,7 +83,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle_words: int = S
 
         return fn
 
-    return append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema)
+    return append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema, keep)
 
 
 def bucket_masks(n: int, max_distance: int, rows_wanted: int = 512) -> list[int]:
@@ -269,7 +271,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) of every row."""
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = materialize(fingerprints(frame, "text", shingle_words).select("id", "simhash"), "simhash")
+    prints = materialize(fingerprints(frame, "text", shingle_words, keep=["id"]), "simhash")
     found = classes(prints, "id", max_distance)
     return prints.join(found, "simhash").select(
         F.col("id").alias(id_col),
@@ -288,7 +290,7 @@ def keep_one(
     """The row with the smallest id of each class, as it is in ``docs``. Of rows with
     one id and class, one stays."""
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = materialize(fingerprints(frame, "text", shingle_words).select("id", "simhash"), "simhash")
+    prints = materialize(fingerprints(frame, "text", shingle_words, keep=["id"]), "simhash")
     found = classes(prints, "id", max_distance)
     first = prints.join(found, "simhash").filter(F.col("id").eqNullSafe(F.col("component_id")))
     stays = materialize(first.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("root")), "kept")

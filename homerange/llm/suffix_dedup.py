@@ -207,31 +207,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _dead_chunks(frame: DataFrame, min_bytes: int) -> DataFrame:
-    """(id, print, dead): the chunks whose windows a smaller document holds, all of them."""
+    """(id, print, dead): the chunks (first and end of their windows' starts) whose windows
+    a smaller document holds, all of them."""
 
     def make():
-        return lambda texts: [[Chunks(t, min_bytes).digests() for t in texts]]
+        def fn(texts):
+            each = [Chunks(t, min_bytes) for t in texts]
+            return [[c.digests() for c in each], [np.append(c.starts, c.ends[-1:]) for c in each]]
 
-    schema = T.StructType([T.StructField("digests", T.ArrayType(T.BinaryType()))])
-    rows = append_columns(frame, F.col("text"), make, schema)
-    chunks = materialize(rows.select(*_KEY, F.posexplode("digests").alias("k", "digest")), "chunks")
+        return fn
+
+    schema = _field(("digests", T.ArrayType(T.BinaryType())), ("bounds", T.ArrayType(T.LongType())))
+    rows = append_columns(frame, F.col("text"), make, schema, keep=_KEY)
+    rows = rows.select(*_KEY, "bounds", F.posexplode("digests").alias("k", "digest"))
+    start, end = F.get("bounds", F.col("k")), F.get("bounds", F.col("k") + 1)
+    chunks = materialize(rows.select(*_KEY, start.alias("start"), end.alias("end"), "digest"), "chunks")
     first = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     dead = chunks.join(first, "digest").filter(F.col("id") > F.col("first"))
-    return materialize(dead.groupBy(*_KEY).agg(F.collect_list("k").alias("dead")), "dead_chunks")
+    return materialize(dead.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("dead")), "dead_chunks")
 
 
 def _documents_of(docs: pa.Table, notes: pa.Table, min_bytes: int) -> Iterator[tuple[int, int, Chunks, np.ndarray, np.ndarray]]:
     """(id, print, chunks, positions, hashes) of the live anchors of a batch's texts."""
-    dead: dict[tuple[int, int], list[int]] = {}
-    for i, p, k in zip(*(notes.column(c).to_pylist() for c in (*_KEY, "dead")), strict=True):
-        if k is not None:
-            dead[i, p] = k
+    dead: dict[tuple[int, int], list[dict]] = {}
+    for i, p, gone in zip(*(notes.column(c).to_pylist() for c in (*_KEY, "dead")), strict=True):
+        if gone is not None:
+            dead[i, p] = gone
     ids, prints, texts = docs.column("id"), docs.column("print"), docs.column("text")
     for r in range(docs.num_rows):
         i, p = ids[r].as_py(), prints[r].as_py()
         c = Chunks(texts[r].as_py(), min_bytes)
-        gone = set(dead.get((i, p), ()))
-        at, h = _live_anchors(c, [k for k in range(len(c.starts)) if k not in gone])
+        gone = {x["start"] for x in dead.get((i, p), ())}
+        at, h = _live_anchors(c, [k for k, a in enumerate(c.starts.tolist()) if a not in gone])
         yield i, p, c, at, h
 
 
@@ -323,8 +330,8 @@ def _field(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 def _removal_notes(frame: DataFrame, min_bytes: int, batch_bytes: int, hot_places: int) -> DataFrame:
-    """(id, print, dead, places): what is known to go in each document: chunks, and
-    places of anchors with the windows around them."""
+    """(id, print, starts, ends, at, removed): what is known to go in each document: the
+    windows that start in chunks, and those around the places of anchors."""
     spark = frame.sparkSession
     ship(spark)
     frame = frame.filter("id is not null")
@@ -361,7 +368,7 @@ def _removal_notes(frame: DataFrame, min_bytes: int, batch_bytes: int, hot_place
             "batch",
             F.lit(None).cast("long").alias("id"),
             F.lit(None).cast("long").alias("print"),
-            F.lit(None).cast("array<int>").alias("dead"),
+            F.lit(None).cast(dead.schema["dead"].dataType).alias("dead"),
             "anchors",
         )
     )
@@ -387,7 +394,13 @@ def _removal_notes(frame: DataFrame, min_bytes: int, batch_bytes: int, hot_place
     if hot.limit(1).count():
         removed = removed.unionByName(_hot_windows(places.join(hot, "anchor", "left_semi"), min_bytes))
     by_place = removed.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "removed")).alias("places"))
-    return by_place.join(dead, _KEY, "full").select(*_KEY, "dead", "places")
+    return by_place.join(dead, _KEY, "full").select(
+        *_KEY,
+        F.col("dead.start").alias("starts"),
+        F.col("dead.end").alias("ends"),
+        F.col("places.at").alias("at"),
+        F.col("places.removed").alias("removed"),
+    )
 
 
 def _hot_windows(places: DataFrame, min_bytes: int) -> DataFrame:
@@ -409,30 +422,29 @@ def _hot_windows(places: DataFrame, min_bytes: int) -> DataFrame:
     return hit.groupBy(*_KEY, "at").agg(F.bit_or(bit).alias("removed"))
 
 
-def remaining(text: str | None, dead: list | None, places: list | None, min_bytes: int) -> tuple[bytes, int, int, int]:
-    """(remaining bytes, bytes, removed bytes, maximal removed runs) of one text."""
-    if not dead and not places:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        return raw, len(raw), 0, 0
-    c = Chunks(text, min_bytes)
-    n = len(c.raw)
+def remaining(r: dict, min_bytes: int) -> tuple[bytes, int, int, int]:
+    """(remaining bytes, bytes, removed bytes, maximal removed runs) of one text with
+    its notes."""
+    raw = (r["text"] or "").encode("utf-8", "surrogatepass")
+    n = len(raw)
+    if not r["starts"] and not r["at"]:
+        return raw, n, 0, 0
     change = np.zeros(n + 1, dtype=np.int64)
-    for k in dead or ():
-        change[c.starts[k]] += 1
-        change[min(c.ends[k] + min_bytes - 1, n)] -= 1
-    for x in places or ():
-        bits, j = x["removed"], 0
-        while bits:
-            if bits & 1:
-                change[x["at"] - j] += 1
-                change[x["at"] - j + min_bytes] -= 1
-            bits >>= 1
-            j += 1
+    if r["starts"]:
+        np.add.at(change, np.array(r["starts"]), 1)
+        np.add.at(change, np.array(r["ends"]) + min_bytes - 1, -1)
+    if r["at"]:
+        bits = np.array(r["removed"])[:, None] >> np.arange(min_bytes - ANCHOR + 1) & 1
+        place, j = np.nonzero(bits)
+        first = np.array(r["at"])[place] - j
+        np.add.at(change, first, 1)
+        np.add.at(change, first + min_bytes, -1)
     gone = np.cumsum(change[:n]) > 0
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
-    return c.bytes[~gone].tobytes(), n, int(gone.sum()), spans
+    return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), n, int(gone.sum()), spans
 
 
+_NOTES = ["starts", "ends", "at", "removed"]
 _NEW = T.StructType(
     [
         T.StructField("n_bytes", T.LongType()),
@@ -449,7 +461,7 @@ def _finish(min_bytes: int, with_text: bool):
         def fn(rows):
             out = []
             for r in rows:
-                kept, n, removed, spans = remaining(r["text"], r["dead"], r["places"], min_bytes)
+                kept, n, removed, spans = remaining(r, min_bytes)
                 text = kept.decode("utf-8", "ignore") if with_text else None
                 out.append((n, removed, spans, hashlib.sha256(kept).hexdigest(), text))
             return list(zip(*out, strict=True))
@@ -471,8 +483,7 @@ def removals(
     frame = _keyed(docs, id_col, text_col)
     notes = materialize(_removal_notes(frame, min_bytes, batch_bytes, hot_places), "removals")
     joined = frame.join(notes, _KEY, "left")
-    out = append_columns(joined.select("id", "text", "dead", "places"), F.struct("text", "dead", "places"),
-                         _finish(min_bytes, False), _NEW)
+    out = append_columns(joined, F.struct("text", *_NOTES), _finish(min_bytes, False), _NEW, keep=["id"])
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -492,9 +503,9 @@ def cleaned(
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     of = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     keyed = whole.select("row", F.col("row")[id_col].cast("long").alias("id"), F.xxhash64(of).alias("print"))
-    joined = keyed.join(notes, _KEY, "left").select("row", "dead", "places")
-    value = F.struct(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).alias("text"), "dead", "places")
-    out = append_columns(joined.select("row", value.alias("value")), F.col("value"), _finish(min_bytes, True), _NEW)
+    joined = keyed.join(notes, _KEY, "left")
+    value = F.struct(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).alias("text"), *_NOTES)
+    out = append_columns(joined, value, _finish(min_bytes, True), _NEW, keep=["row"])
     text = F.when(F.col("row")[text_col].isNotNull(), F.col("kept_text")).alias(text_col)
     return out.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in names])
 
