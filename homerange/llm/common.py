@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,6 +23,18 @@ ROW, VALUE = "_row", "_value"
 STEP_CHARS = 4_000_000
 
 
+_held: dict = {}
+
+
+def worker_object(key: Hashable, make: Callable):
+    """An object that a Python worker keeps for its next tasks (its memo serves them
+    too). One at a time: a worker that turns to another operator lets go of it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 _shipped: set[str] = set()
 
 

@@ -24,13 +24,12 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, fold, read
+from homerange.llm.common import append_columns, fold, read, worker_object
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -145,9 +144,8 @@ class Judge:
         return self.langs[best], 1.0 - math.exp(-margin / self.s.scale), margin >= self.s.min_margin, margin
 
 
-@lru_cache(maxsize=1)
 def worker_judge(model: tuple[tuple[str, bytes], ...], s: Settings) -> Judge:
-    return Judge(model, s)
+    return worker_object((model, s), lambda: Judge(model, s))
 
 
 def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", s: Settings | None = None) -> DataFrame:

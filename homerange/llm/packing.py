@@ -14,7 +14,6 @@ lost task is repeated, since the pieces are made straight from the scan.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, read
+from homerange.llm.common import append_columns, read, worker_object
 from homerange.llm.token_counts import vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -122,10 +121,9 @@ class Encoder:
         return [whole[k] if k in whole else b"".join(map(get, cs or ())) for k, cs in enumerate(cut)]
 
 
-@lru_cache(maxsize=1)
 def worker_encoder(path: str) -> Encoder:
     """One encoder per Python worker, so that its memo serves all of its tasks."""
-    return Encoder(path)
+    return worker_object(("words", path), lambda: Encoder(path))
 
 
 def binary_pieces(n: int, max_tokens: int = MAX_TOKENS) -> list[tuple[int, int]]:

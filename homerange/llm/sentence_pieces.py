@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, read
+from homerange.llm.common import append_columns, read, worker_object
 from homerange.llm.merge_lattice import Lattice, build
 from homerange.llm.token_counts import vocabulary_path
 
@@ -142,10 +142,9 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=1)
 def worker_codec(path: str) -> Codec:
     """One codec per Python worker, so that its memo serves all of its tasks."""
-    return Codec(path)
+    return worker_object(("pieces", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, read
+from homerange.llm.common import append_columns, read, worker_object
 from homerange.llm.merge_lattice import Lattice, build
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -184,10 +184,9 @@ class PrefixCounter:
         return out
 
 
-@lru_cache(maxsize=1)
 def prefix_counter(path: str) -> PrefixCounter:
     """One counter per Python worker, so that its memo serves all of its tasks."""
-    return PrefixCounter(path)
+    return worker_object(("prefixes", path), lambda: PrefixCounter(path))
 
 
 def fitting(counts: np.ndarray, budget: int) -> int:

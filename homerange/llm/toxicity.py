@@ -25,19 +25,20 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, fold, read
+from homerange.llm.common import append_columns, fold, read, worker_object
 from homerange.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Leading letters that count as features besides the whole token.
 PREFIXES = (6, 5, 4)
+#: Distinct tokens that a Python worker remembers before it starts anew.
+MEMO = 200_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ class Scorer:
         memo = self.memo
         new = set(words).difference(memo)
         if new:
-            if len(memo) > 500_000:
+            if len(memo) > MEMO:
                 self.memo = memo = {}
                 new = set(words)
             memo.update({w: self.token(w) for w in new})
@@ -148,9 +149,8 @@ class Scorer:
         return p, n, [{"first": a, "last": b, "score": s} for a, b, s in segments]
 
 
-@lru_cache(maxsize=2)
 def worker_scorer(model: Model) -> Scorer:
-    return Scorer(model)
+    return worker_object(model, lambda: Scorer(model))
 
 
 def _features(text_col: str):
