@@ -13,7 +13,9 @@ import zipfile
 from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,29 @@ ROW, VALUE = "_row", "_value"
 STEP_CHARS = 4_000_000
 
 
+class Memo:
+    """What a task has worked out for the keys seen lately: two generations of about
+    ``size`` keys each. When the younger one is full it becomes the older one; keys
+    that come again move over, so frequent ones stay and memory stays bounded."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """The keys not known yet; the others are in ``now`` after this call."""
+        if len(self.now) > self.size:
+            self.before, self.now = self.now, {}
+        new = keys.difference(self.now)
+        old = self.before
+        if old:
+            back = [k for k in new if k in old]
+            self.now.update((k, old[k]) for k in back)
+            new.difference_update(back)
+        return list(new)
+
+
 _held: dict = {}
 
 
@@ -65,17 +90,17 @@ def fold(id_col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def steps(values: list, size: Callable = lambda v: len(v.get("text") or "") if isinstance(v, dict) else len(v or "")) -> Iterator[tuple[int, int]]:
-    """Slices of ``values`` of about :data:`STEP_CHARS` characters, so that a
-    task's memory does not follow the length of an Arrow batch's texts."""
-    start, held = 0, 0
-    for i, v in enumerate(values):
-        held += size(v)
-        if held >= STEP_CHARS:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(values):
-        yield start, len(values)
+def steps(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of texts (or of structs with a field ``text``) of about
+    :data:`STEP_CHARS` bytes, so that a task's memory does not follow the length of an
+    Arrow batch's texts."""
+    texts = values.field("text") if pa.types.is_struct(values.type) else values
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < len(held):
+        end = min(int(np.searchsorted(held, done + STEP_CHARS)) + 1, len(held))
+        yield start, end
+        start, done = end, int(held[end - 1])
 
 
 def append_columns(
@@ -102,9 +127,8 @@ def append_columns(
         for batch in batches:
             values = batch.column(1)
             rows = batch.column(0)
-            texts = values.to_pylist()
-            for a, b in steps(texts):
-                got = fn(texts[a:b])
+            for a, b in steps(values):
+                got = fn(values.slice(a, b - a).to_pylist())
                 cols = [pa.array(x, type=f.type) for x, f in zip(got, new, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.slice(a, b - a), *cols], names=[ROW, *(f.name for f in new)])
 

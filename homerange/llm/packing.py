@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, read, worker_object
+from homerange.llm.common import Memo, append_columns, read, worker_object
 from homerange.llm.token_counts import vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 4096
-#: Distinct chunks that a Python worker remembers before it starts anew.
-MEMO = 600_000
+#: Distinct chunks that a Python worker remembers (see Memo).
+MEMO = 400_000
 
 # Text in which chunks between white space can be encoded one by one with the same
 # result as the whole text: no control characters that only one of the libraries
@@ -58,8 +58,8 @@ class Encoder:
         vocab = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.chunks = Memo(MEMO)
+        self.words = Memo(MEMO // 2)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -85,8 +85,6 @@ class Encoder:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.words) > MEMO:
-            self.words = {"": b""}
         odd, plain, marks, letters = [], [], set(), set()
         for c in chunks:
             word = c.strip(MARKS)
@@ -99,25 +97,22 @@ class Encoder:
             plain.append((c, before, low, after))
             letters.add(low)
             marks.update((before, after))
-        known = self.words
-        new = [w for w in letters if w not in known]
+        new = self.words.missing(letters)
+        known = self.words.now
         known.update(zip(new, self._word_ids(new), strict=True))
-        rest = [c for c in (*odd, *marks) if c not in known]
+        rest = [*odd, *marks]
         found = dict(zip(rest, self._ids(rest), strict=True))
-        known.update((c, found[c]) for c in marks if c in found)
-        self.chunks.update((c, found.get(c) or known.get(c, b"")) for c in odd)
-        self.chunks.update((c, known[x] + known[w] + known[y]) for c, x, w, y in plain)
+        self.chunks.now.update((c, found[c]) for c in odd)
+        self.chunks.now.update((c, found[x] + known[w] + found[y]) for c, x, w, y in plain)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [t.split() if t and PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.chunks) > MEMO:
-            self.chunks = {}
-        new = set(chain.from_iterable(c for c in cut if c)).difference(self.chunks)
+        new = self.chunks.missing(set(chain.from_iterable(c for c in cut if c)))
         if new:
-            self._learn(list(new))
+            self._learn(new)
         odd = [k for k, (t, cs) in enumerate(zip(texts, cut, strict=True)) if t and cs is None]
         whole = dict(zip(odd, self._ids([texts[k] for k in odd]), strict=True)) if odd else {}
-        get = self.chunks.__getitem__
+        get = self.chunks.now.__getitem__
         return [whole[k] if k in whole else b"".join(map(get, cs or ())) for k, cs in enumerate(cut)]
 
 

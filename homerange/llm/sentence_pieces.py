@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, read, worker_object
+from homerange.llm.common import Memo, append_columns, read, worker_object
 from homerange.llm.merge_lattice import Lattice, build
 from homerange.llm.token_counts import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Distinct words that a Python worker remembers before it starts anew.
-MEMO = 300_000
+#: Distinct words that a Python worker remembers (see Memo).
+MEMO = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +81,7 @@ class Codec:
     def __init__(self, path: str):
         self.lattice, self.symbol, self.pieces, self.byte_of, self.first_byte, self.sizes = piece_lattice(path)
         self.unknown_id = len(self.pieces)
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(MEMO)
 
     def _learn(self, words: list[str]) -> None:
         get, unknown = self.symbol.get, len(self.symbol)
@@ -98,17 +98,15 @@ class Codec:
                         full.append(i)
                         at += int(self.sizes[i])
                 ids = full
-            self.words[w] = np.array(ids, dtype="<u4").tobytes()
+            self.words.now[w] = np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.words) > MEMO:
-            self.words = {}
-        new = set(chain.from_iterable(cut)).difference(self.words)
+        new = self.words.missing(set(chain.from_iterable(cut)))
         if new:
-            self._learn(list(new))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in cut]
+            self._learn(new)
+        return [b"".join(map(self.words.now.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian ids: byte pieces in a row are read as UTF-8,

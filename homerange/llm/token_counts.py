@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, read, worker_object
+from homerange.llm.common import Memo, append_columns, read, worker_object
 from homerange.llm.merge_lattice import Lattice, build
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Distinct chunks that a Python worker remembers before it starts anew.
-MEMO = 600_000
+#: Distinct chunks that a Python worker remembers (see Memo).
+MEMO = 250_000
 
 # The byte-level vocabulary's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,23 +86,23 @@ class PrefixCounter:
     def __init__(self, path: str):
         self.lattice, self.special = byte_lattice(path)
         self.any_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.chunks: dict[str, np.ndarray] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.chunks = Memo(MEMO)
+        self.words = Memo(MEMO)
 
     def _learn_words(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         for w, r, (_, count) in zip(words, raw, self.lattice.solve(raw), strict=True):
             if len(r) == len(w):
-                self.words[w] = count[1:]
+                self.words.now[w] = count[1:]
             else:  # the counts at the ends of code points
                 starts = np.flatnonzero((np.frombuffer(r, dtype=np.uint8) & 0xC0) != 0x80)
                 starts[:-1] = starts[1:]
                 starts[-1] = len(r)
-                self.words[w] = count[starts]
+                self.words.now[w] = count[starts]
 
     def _chunk(self, chunk: str, words: list[str]) -> np.ndarray:
         """Counts at the prefixes of one chunk, from those of its words."""
-        known = self.words
+        known = self.words.now
         if len(words) == 1:
             return known[words[0]]
         parts, total = [], 0
@@ -124,28 +124,24 @@ class PrefixCounter:
         for c in chunks:
             if c[0].isspace() and (c[0] != " " or c[1:2].isspace()):
                 need.add(c[: len(c) - len(c.lstrip())])
-        if len(self.words) > MEMO:
-            self.words = {}
-        new = list(need.difference(self.words))
+        new = self.words.missing(need)
         if new:
             self._learn_words(new)
         for c, ws in zip(chunks, split, strict=True):
-            self.chunks[c] = self._chunk(c, ws)
+            self.chunks.now[c] = self._chunk(c, ws)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Counts at the prefixes of texts without special tokens."""
         cut = list(map(CHUNKS.findall, texts))
-        if len(self.chunks) > MEMO:
-            self.chunks = {}
-        new = {c for cs in cut for c in cs}.difference(self.chunks)
+        new = self.chunks.missing(set(chain.from_iterable(cut)))
         if new:
-            self._learn(list(new))
+            self._learn(new)
         out = []
         for cs in cut:
             if not cs:
                 out.append(np.zeros(0, dtype=np.int32))
                 continue
-            parts = [self.chunks[c] for c in cs]
+            parts = list(map(self.chunks.now.__getitem__, cs))
             sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
             flat = np.concatenate(parts)
             ends = np.cumsum(sizes)

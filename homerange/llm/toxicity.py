@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from homerange.llm.common import append_columns, fold, read, worker_object
+from homerange.llm.common import Memo, append_columns, fold, read, worker_object
 from homerange.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Leading letters that count as features besides the whole token.
 PREFIXES = (6, 5, 4)
-#: Distinct tokens that a Python worker remembers before it starts anew.
-MEMO = 200_000
+#: Distinct tokens that a Python worker remembers (see Memo).
+MEMO = 100_000
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.features = dict(model.scores)
-        self.memo: dict[str, float] = {}
+        self.memo = Memo(MEMO)
 
     def token(self, w: str) -> float:
         if w in self.features:
@@ -112,13 +112,9 @@ class Scorer:
 
     def scan(self, text: str | None) -> tuple[int, list[float], list[tuple[int, int, float]]]:
         words = TOKEN.findall(text.lower()) if text else []
-        memo = self.memo
-        new = set(words).difference(memo)
-        if new:
-            if len(memo) > MEMO:
-                self.memo = memo = {}
-                new = set(words)
-            memo.update({w: self.token(w) for w in new})
+        new = self.memo.missing(set(words))
+        memo = self.memo.now
+        memo.update((w, self.token(w)) for w in new)
         scores = list(map(memo.__getitem__, words))
         positions, seen = [], {}
         for i, s in enumerate(scores):
