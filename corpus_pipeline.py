@@ -32,7 +32,7 @@ def _as_struct(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn_tables(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    scored = toxicity.score(_as_struct(docs).select("row", "text"), model)
+    scored = toxicity.score(_as_struct(docs), model, keep=["row"])
     return scored.filter("score < 0.5").select("row.*")
 
 

@@ -8,6 +8,7 @@ the input row travels as one untouched struct next to the new columns.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Hashable, Iterator
@@ -56,6 +57,8 @@ def worker_object(key: Hashable, make: Callable):
     too). One at a time: a worker that turns to another operator lets go of it."""
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[key] = make()
     return _held[key]
 

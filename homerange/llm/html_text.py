@@ -316,8 +316,10 @@ def _worker_weights(tags: tuple, words: tuple) -> Weights:
     return Weights(dict(tags), dict(words))
 
 
-def extract(pages: DataFrame, weights: Weights, html_col: str = "html") -> DataFrame:
-    """``pages`` with text and n_chars (code points)."""
+def extract(
+    pages: DataFrame, weights: Weights, html_col: str = "html", keep: list[str] | None = None
+) -> DataFrame:
+    """``pages`` (its columns ``keep``, if given) with text and n_chars (code points)."""
     tags, words = tuple(sorted(weights.tags.items())), tuple(sorted(weights.words.items()))
 
     def make():
@@ -325,11 +327,11 @@ def extract(pages: DataFrame, weights: Weights, html_col: str = "html") -> DataF
         return lambda texts: [[main_text(t, w) for t in texts]]
 
     schema = T.StructType([T.StructField("text", T.StringType())])
-    out = append_columns(pages, F.col(f"`{html_col}`").cast("string"), make, schema)
+    out = append_columns(pages, F.col(f"`{html_col}`").cast("string"), make, schema, keep)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: the main text of every page."""
     pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
-    return extract(pages, learn(pages)).select("page_id", "url", "text", "n_chars")
+    return extract(pages, learn(pages), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")

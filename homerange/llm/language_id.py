@@ -148,8 +148,14 @@ def worker_judge(model: tuple[tuple[str, bytes], ...], s: Settings) -> Judge:
     return worker_object((model, s), lambda: Judge(model, s))
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", s: Settings | None = None) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1), accepted and margin."""
+def predict(
+    docs: DataFrame,
+    model: dict[str, bytes],
+    text_col: str = "text",
+    s: Settings | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``docs`` (its columns ``keep``, if given) with lang_pred, score (0 to 1), accepted and margin."""
     s = s or Settings()
     frozen = tuple(sorted(model.items()))
     schema = T.StructType(
@@ -165,7 +171,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", s:
         judge = worker_judge(frozen, s)
         return lambda texts: list(zip(*map(judge.decide, texts), strict=True))
 
-    return append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema)
+    return append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema, keep)
 
 
 def training_rows(id_col: str | Column = "doc_id") -> Column:
@@ -177,5 +183,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op1: the language of every document, learned from the other folds' labels."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = learn(docs.filter(training_rows()), "text", "lang")
-    out = predict(docs.select("doc_id", "text"), model)
+    out = predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return out.select("doc_id", (~training_rows()).alias("held_out"), "lang_pred", "score", "accepted", "margin")

@@ -14,6 +14,7 @@ lost task is repeated, since the pieces are made straight from the scan.
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -29,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 4096
 #: Distinct chunks that a Python worker remembers (see Memo).
-MEMO = 400_000
+MEMO = 180_000
 
 # Text in which chunks between white space can be encoded one by one with the same
 # result as the whole text: no control characters that only one of the libraries
@@ -52,6 +53,9 @@ class Encoder:
     around it, and each distinct word goes through the library once."""
 
     def __init__(self, path: str):
+        # one thread: Spark gives each task its own core, and the library's threads
+        # would hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -173,7 +177,7 @@ def pack(
         return fn
 
     frame = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    out = append_columns(frame, F.col("_text"), make, schema)
+    out = append_columns(frame, F.col("_text"), make, schema, keep=[id_col])
     return (
         out.select(id_col, "doc_tokens", F.explode("pieces").alias("p"))
         .select(id_col, "p.start", "p.length", "p.ids", "doc_tokens")

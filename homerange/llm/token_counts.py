@@ -197,8 +197,9 @@ def count_tokens(
     limit: int = LIMIT,
     vocabulary: str = VOCABULARY,
     store: bool = False,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with n_bytes, n_tokens, over_limit and fit_chars (code points of the
+    """``docs`` (its columns ``keep``, if given) with n_bytes, n_tokens, over_limit and fit_chars (code points of the
     longest prefix within ``limit`` tokens); with ``store`` also prefix_tokens, the
     number of tokens of every prefix, for later budget questions."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())]
@@ -218,11 +219,12 @@ def count_tokens(
 
     text = F.col(f"`{text_col}`").cast("string")
     frame = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-    out = append_columns(frame, text, make, T.StructType(fields))
+    kept = None if keep is None else [*(c for c in keep if c != "n_bytes"), "n_bytes"]
+    out = append_columns(frame, text, make, T.StructType(fields), kept)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: bytes and tokens of every document, and whether it passes 1024."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+    return count_tokens(docs, keep=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")

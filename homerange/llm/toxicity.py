@@ -256,7 +256,7 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, s: Settings | None
 
         return fn
 
-    seen = append_columns(rows, F.col("text"), make, schema).select("y", "n", "hits", "segments").collect()
+    seen = append_columns(rows, F.col("text"), make, schema, keep=["y"]).select("y", "n", "hits", "segments").collect()
     clean = [r for r in seen if r["y"] == 0]
     lam, k = _fit_law(
         sum(r["n"] for r in clean),
@@ -271,8 +271,8 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, s: Settings | None
     return Model(scores=scores, cost=s.cost, lam=lam, k=k, a=a, b=b, settings=s)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1), n_tokens and passages (first and last token and
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, if given) with score (0 to 1), n_tokens and passages (first and last token and
     score of every maximal segment)."""
     passage = T.StructType(
         [
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer = worker_scorer(model)
         return lambda texts: list(zip(*map(scorer.score, texts), strict=True))
 
-    return append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema)
+    return append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema, keep)
 
 
 def learn_tables(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
@@ -311,7 +311,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op6: the toxicity of every document, learned from the other folds' labels."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = learn_tables(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return score(docs, model).select(
+    return score(docs, model, keep=["doc_id"]).select(
         "doc_id",
         (fold("doc_id", 5) == 0).alias("held_out"),
         "score",
