@@ -58,6 +58,7 @@ NAMES = frozenset(
 # these name furniture only outside the content: an article's own header holds its title
 OUTER_NAMES = frozenset("header head".split())
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 # what the start of one element ends
 CLOSES = {
     "p": {"p"},
@@ -307,6 +308,9 @@ def main_text(page: str | None, w: Weights) -> str:
     if mark:  # all of the marked content, and what leads to it within a wider main part
         wanted = [b.content >= mark or (first <= i < end and b.content > 0) for i, b in enumerate(parts)]
     else:
+        # a heading of few words may not earn its tags; right before the region it is its title
+        while 0 < first < end and not parts[first - 1].furniture and HEADINGS & set(parts[first - 1].inside):
+            first -= 1
         wanted = [first <= i < end for i in range(len(parts))]
     return "\n\n".join(b.text for b, yes in zip(parts, wanted, strict=True) if yes and not b.furniture)
 

@@ -299,10 +299,12 @@ def keep_one(
         kept = kept.dropDuplicates([id_col])
     nameless = stays.filter("id is null").limit(1).count()
     if nameless:
-        lost = docs.filter(F.col(f"`{id_col}`").isNull())
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        lost = docs.filter(F.col(f"`{id_col}`").isNull()).select(row)
+        lost = lost.select("row", F.col("row")[text_col].alias("text"))
         only = found.filter("component_id is null").select("simhash", "root")
-        extra = fingerprints(lost, text_col, shingle_words).join(only, "simhash").dropDuplicates(["root"])
-        kept = kept.unionByName(extra.select(*docs.columns))
+        extra = fingerprints(lost, "text", shingle_words, keep=["row"]).join(only, "simhash").dropDuplicates(["root"])
+        kept = kept.unionByName(extra.select("row.*"))
     return kept
 
 
