@@ -81,6 +81,7 @@ class Codec:
     def __init__(self, path: str):
         self.lattice, self.symbol, self.pieces, self.byte_of, self.first_byte, self.sizes = piece_lattice(path)
         self.unknown_id = len(self.pieces)
+        self.table = np.array([p.replace(SPACE, " ") for p in self.pieces], dtype=object)
         self.words = Memo(MEMO)
 
     def _learn(self, words: list[str]) -> None:
@@ -128,8 +129,7 @@ class Codec:
         """:meth:`decode` of many id sequences. Texts repeat their pieces, so the
         pieces are joined from one table; only sequences with byte pieces go the
         slow way."""
-        table = np.array([p.replace(SPACE, " ") for p in self.pieces], dtype=object)
-        out = []
+        table, out = self.table, []
         for b in ids:
             a = np.frombuffer(b, dtype="<u4")
             if (self.byte_of[a] >= 0).any():
@@ -145,15 +145,33 @@ def worker_codec(path: str) -> Codec:
     return worker_object(("pieces", path), lambda: Codec(path))
 
 
-def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with n_pieces and piece_ids (little-endian unsigned 32-bit ids)."""
-    schema = T.StructType([T.StructField("piece_ids", T.BinaryType())])
+def encode(
+    docs: DataFrame,
+    text_col: str = "text",
+    vocabulary: str = VOCABULARY,
+    check: bool = False,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``docs`` (its columns ``keep``, if given) with n_pieces and piece_ids
+    (little-endian unsigned 32-bit ids); with ``check`` also round_trip, whether
+    decoding the ids gives the text back."""
+    fields = [T.StructField("piece_ids", T.BinaryType())]
+    if check:
+        fields.append(T.StructField("round_trip", T.BooleanType()))
+    schema = T.StructType(fields)
 
     def make():
         codec = worker_codec(vocabulary_path(vocabulary))
-        return lambda texts: [codec.encode(texts)]
 
-    out = append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema)
+        def fn(texts):
+            ids = codec.encode(texts)
+            if not check:
+                return [ids]
+            return [ids, [a == (b or "") for a, b in zip(codec.decode_words(ids), texts, strict=True)]]
+
+        return fn
+
+    out = append_columns(docs, F.col(f"`{text_col}`").cast("string"), make, schema, keep)
     return out.withColumn("n_pieces", (F.octet_length("piece_ids") / 4).cast("long"))
 
 
@@ -172,10 +190,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op8: pieces of every document, their checksum, and whether decoding gives the
     text back."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    out = decode(encode(docs))
-    return out.select(
-        "doc_id",
-        "n_pieces",
-        F.crc32("piece_ids").alias("ids_crc32"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    out = encode(docs, check=True, keep=["doc_id"])
+    return out.select("doc_id", "n_pieces", F.crc32("piece_ids").alias("ids_crc32"), "round_trip")
