@@ -13,7 +13,6 @@ Layout
                features, model, stats.
 ``plans``      the three end-to-end flows (who is local, what locals like,
                features + model) composed from the operators.
-``streaming``  empty on purpose: the analysis has no streaming operators.
 """
 
 from homerange.session import get_spark

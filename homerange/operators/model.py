@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ FOREST_SEED = 1950
 NUM_TREES = 5000
 
 _BUCKET_HEX = 5  # 16**5 = 1,048,576 hash buckets per class
+#: Most values that a text feature may have.
+MAX_CATEGORIES = 10_000
 
 
 def split_hash(key: str, seed: int) -> F.Column:
@@ -32,7 +36,7 @@ def stratified_split(
     key: str = "business_id",
 ) -> DataFrame:
     """Exactly ceil(p * n_c) rows of each class c go to "train", the
-    rest to "test" (column ``split``); the draw is the order of
+    rest to "test" (column ``split``); rows without a label are left out; the draw is the order of
     md5(key, seed), so it is reproducible and independent of partitioning.
 
     Without a window over a whole class (one task per class): rows are
@@ -41,7 +45,7 @@ def stratified_split(
     bucket) -- about n / 2**20 rows each -- ranks rows inside buckets.
     ``key`` must be unique (ties in the draw are broken by it)."""
     h = split_hash(key, seed)
-    rows = df.withColumn("__h", h).withColumn(
+    rows = df.filter(F.col(label).isNotNull()).withColumn("__h", h).withColumn(
         "__b", F.conv(F.substring("__h", 1, _BUCKET_HEX), 16, 10).cast("int")
     )
     buckets = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -75,7 +79,7 @@ def forest_estimator(
     num_trees: int = NUM_TREES,
     max_depth: int = 30,
     seed: int = FOREST_SEED,
-    features_per_split: str = "sqrt",
+    features_per_split: str | None = None,
     max_bins: int = 32,
 ) -> Pipeline:
     """Index text features and the label, assemble, fit a forest. Text
@@ -84,14 +88,11 @@ def forest_estimator(
     trees fully); ``max_bins`` must exceed the largest number of categories."""
     feats = [f for f in df.schema.fields if f.name not in exclude and f.name != label]
     stages = []
-    inputs = []
-    for f in feats:
-        if isinstance(f.dataType, T.StringType):
-            out = f"__idx_{f.name}"
-            stages.append(StringIndexer(inputCol=f.name, outputCol=out, handleInvalid="keep"))
-            inputs.append(out)
-        else:
-            inputs.append(f.name)
+    text = [f.name for f in feats if isinstance(f.dataType, T.StringType)]
+    if text:  # one job for all text columns
+        indexed = [f"__idx_{c}" for c in text]
+        stages.append(StringIndexer(inputCols=text, outputCols=indexed, handleInvalid="keep"))
+    inputs = [f"__idx_{f.name}" if f.name in text else f.name for f in feats]
     stages.append(StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc"))
     stages.append(VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="keep"))
     stages.append(
@@ -101,7 +102,8 @@ def forest_estimator(
             numTrees=num_trees,
             maxDepth=max_depth,
             maxBins=max_bins,
-            featureSubsetStrategy=features_per_split,
+            # the whole part of the square root, at least 1 (Spark's "sqrt" rounds up)
+            featureSubsetStrategy=features_per_split or str(max(1, math.isqrt(len(feats)))),
             seed=seed,
         )
     )
@@ -109,13 +111,21 @@ def forest_estimator(
 
 
 def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineModel:
-    """Fit :func:`forest_estimator`. The indexers are fitted first (one
-    distinct-count job each, results bounded by the number of categories) so
-    that ``maxBins`` can be set above the widest categorical feature."""
+    """Fit :func:`forest_estimator`. The indexers are fitted first (one job for
+    the features, one for the label) so that ``maxBins`` can be set above the
+    widest categorical feature. A text column of more than ``MAX_CATEGORIES``
+    values is no category; it is an error, found before any value is gathered."""
+    text = [f.name for f in train.schema.fields if isinstance(f.dataType, T.StringType) and f.name != label]
+    text = [c for c in text if c not in ("business_id", "split")]
+    if text:
+        sizes = train.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in text]).first().asDict()
+        wide = {c: n for c, n in sizes.items() if n > MAX_CATEGORIES}
+        if wide:
+            raise ValueError(f"too many categories for a forest feature: {wide}")
     pipe = forest_estimator(train, label=label, **kw)
     stages = pipe.getStages()
     indexers = Pipeline(stages=stages[:-2]).fit(train)
-    widest = max((len(m.labels) + 1 for m in indexers.stages), default=2)
+    widest = max((len(labels) + 1 for m in indexers.stages for labels in m.labelsArray), default=2)
     forest = stages[-1].copy().setMaxBins(max(kw.get("max_bins", 32), widest))
     rest = Pipeline(stages=[stages[-2], forest]).fit(indexers.transform(train))
     return PipelineModel(stages=list(indexers.stages) + list(rest.stages))
@@ -124,7 +134,8 @@ def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineM
 def score(model: PipelineModel, test: DataFrame, label: str = "Highly_Liked", key: str = "business_id") -> DataFrame:
     """Predicted label per held-out row (``prediction`` as the label
     text)."""
-    label_model = next(s for s in model.stages if getattr(s, "getOutputCol", lambda: "")() == "__label")
+    indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
+    label_model = next(s for s in indexers if s.isSet(s.outputCol) and s.getOutputCol() == "__label")
     to_text = IndexToString(inputCol="prediction", outputCol="__pred", labels=label_model.labels)
     scored = to_text.transform(model.transform(test))
     return scored.select(key, label, F.col("__pred").alias("prediction"))

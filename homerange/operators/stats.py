@@ -70,6 +70,7 @@ def fisher_exact(table: DataFrame, by: Sequence[str] = (), width_sd: float = 60.
     band has p = 0 to that precision."""
     keys = list(by) or ["__g"]
     t = table if by else table.withColumn("__g", F.lit(0))
+    # margins as doubles inside products: four of them overflow 64 bits early
     r1 = F.col("tl") + F.col("tr")
     r2 = F.col("bl") + F.col("br")
     c1 = F.col("tl") + F.col("bl")
@@ -77,11 +78,11 @@ def fisher_exact(table: DataFrame, by: Sequence[str] = (), width_sd: float = 60.
     t = t.select(*keys, "tl", "tr", "bl", "br", r1.alias("r1"), r2.alias("r2"), c1.alias("c1"), n.alias("n"))
     lo = F.greatest(F.lit(0), F.col("c1") - F.col("r2"))
     hi = F.least(F.col("r1"), F.col("c1"))
-    mode = F.floor((F.col("r1") + 1) * (F.col("c1") + 1) / (F.col("n") + 2))
+    d1, d2, dc, dn = (F.col(c).cast("double") for c in ("r1", "r2", "c1", "n"))
+    mode = F.floor((d1 + 1) * (dc + 1) / (dn + 2))
     var = F.when(
         F.col("n") > 1,
-        F.col("r1") * F.col("r2") * F.col("c1") * (F.col("n") - F.col("c1"))
-        / (F.col("n") * F.col("n") * (F.col("n") - 1)),
+        (d1 / dn) * (d2 / dn) * (dc / (dn - 1)) * (dn - dc),
     ).otherwise(F.lit(0.0))
     half = F.ceil(F.lit(width_sd) * F.sqrt(var)) + F.lit(width_min)
     t = t.withColumn("__lo", F.greatest(lo, mode - half).cast("long")).withColumn(

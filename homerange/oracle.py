@@ -47,13 +47,6 @@ def sql(select: str, *needs: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
-def _self_contained(name: str, template: str, source: str) -> None:
-    """A CTE whose body embeds the whole statement for ``source``: DuckDB
-    expands dynamic PIVOT/UNPIVOT while binding, where other CTEs of the
-    statement are not visible."""
-    _cte(name, (), template.format(src=f"({sql(f'SELECT * FROM {source}', source)})"))
-
-
 def _round(expr: str, digits: int = DIGITS) -> str:
     """Round with the same IEEE steps as the Spark side (scale, round half
     away from zero, unscale), so equal doubles give equal results."""
@@ -99,12 +92,12 @@ FROM part""",
 _cte(
     "hits",
     (),
-    """SELECT o.o_custkey AS user_id, l.l_partkey AS business_id,
+    """SELECT o.o_custkey AS user_id,
+  CASE WHEN l.l_linenumber = 7 AND o.o_custkey % 3 = 0 THEN l.l_partkey
+       ELSE l.l_partkey - l.l_partkey % 4 + o.o_custkey % 4 END AS business_id,
   CASE WHEN l.l_returnflag = 'R' THEN 'tip' ELSE 'review' END AS kind,
   1 + CAST(l.l_quantity AS INTEGER) % 5 AS stars
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-WHERE l.l_partkey % 4 = o.o_custkey % 4
-   OR (l.l_linenumber = 7 AND o.o_custkey % 3 = 0)""",
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
 )
 _cte("tip", ("hits",), "SELECT user_id, business_id FROM hits WHERE kind = 'tip'")
 _cte("review", ("hits",), "SELECT user_id, business_id, stars FROM hits WHERE kind = 'review'")
@@ -254,7 +247,6 @@ _cte(
 FROM co_categories c CROSS JOIN category_vocabulary v
 GROUP BY ALL""",
 )
-_self_contained("category_flags", "PIVOT {src} ON name USING max(flag) GROUP BY business_id", "flag_long")
 
 # -------------------------------------------------------- features
 _cte(
@@ -264,27 +256,28 @@ _cte(
   konst AS attributes_konst, rare AS attributes_rare, mostly AS attributes_mostly
 FROM business""",
 )
+# The wide frames have columns that follow from the data, so they are checked in
+# long form: one row per business and column, values as text.
 _cte(
-    "feature_frame",
-    ("highly_liked", "category_flags", "business_features"),
-    """SELECT h.business_id, h.Highly_Liked, f.* EXCLUDE (business_id), b.* EXCLUDE (business_id)
-FROM highly_liked h
-LEFT JOIN category_flags f ON h.business_id = f.business_id
-LEFT JOIN business_features b ON h.business_id = b.business_id""",
+    "feature_long",
+    ("highly_liked", "flag_long", "business_features"),
+    """SELECT business_id, 'business_id' AS column_name, CAST(business_id AS VARCHAR) AS value FROM highly_liked
+UNION ALL SELECT business_id, 'Highly_Liked', Highly_Liked FROM highly_liked
+UNION ALL SELECT h.business_id, n.name, CAST(f.flag AS VARCHAR)
+  FROM highly_liked h CROSS JOIN (SELECT DISTINCT name FROM flag_long) n
+  LEFT JOIN flag_long f ON f.business_id = h.business_id AND f.name = n.name
+"""
+    + "\n".join(
+        f"UNION ALL SELECT h.business_id, '{c}', b.{c} FROM highly_liked h "
+        "LEFT JOIN business_features b ON h.business_id = b.business_id"
+        for c in ("hrs", *(f"attributes_{k}" for k in ("Wi_Fi", "Brand", "konst", "rare", "mostly")))
+    ),
 )
-_self_contained(
+_cte(
     "missing_profile",
-    """UNPIVOT (SELECT avg(CASE WHEN COLUMNS(*) IS NULL THEN 1.0 ELSE 0.0 END) FROM {src})
-ON COLUMNS(*) INTO NAME column_name VALUE na_share""",
-    "feature_frame",
-)
-# The pruned frames are rebuilt from a long (row id, column, text) form, so the
-# kept columns follow from the data; their values come back as text.
-_self_contained(
-    "feature_long",
-    """SELECT * FROM (SELECT business_id AS __id, COLUMNS(*)::VARCHAR FROM {src})
-UNPIVOT INCLUDE NULLS (value FOR column_name IN (COLUMNS(* EXCLUDE (__id))))""",
-    "feature_frame",
+    ("feature_long",),
+    """SELECT column_name, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS na_share
+FROM feature_long GROUP BY column_name""",
 )
 _cte(
     "sparse_long",
@@ -292,12 +285,6 @@ _cte(
     """SELECT * FROM feature_long
 WHERE column_name IN (SELECT column_name FROM missing_profile WHERE na_share <= 0.75)""",
 )
-_self_contained(
-    "drop_sparse",
-    """SELECT * EXCLUDE (__id) REPLACE (CAST(business_id AS BIGINT) AS business_id)
-FROM (PIVOT {src} ON column_name USING first(value) GROUP BY __id)""",
-    "sparse_long",
-)
 _cte(
     "value_counts",
     ("sparse_long",),
@@ -325,20 +312,14 @@ _cte(
     """SELECT * FROM sparse_long
 WHERE column_name IN (SELECT column_name FROM nzv_profile WHERE NOT nzv OR column_name = 'Highly_Liked')""",
 )
-_self_contained(
-    "drop_nzv",
-    """SELECT * EXCLUDE (__id) REPLACE (CAST(business_id AS BIGINT) AS business_id)
-FROM (PIVOT {src} ON column_name USING first(value) GROUP BY __id)""",
-    "nzv_long",
-)
-# At the check scale the pruned frame is (business_id, Highly_Liked, hrs,
-# attributes_Wi_Fi, attributes_Brand); imputation names them.
+# Imputation names the columns that are left after pruning at the check scale; the
+# long form of drop_nzv checks that these are the ones.
 _cte(
     "filled",
-    ("drop_nzv",),
-    """SELECT business_id, Highly_Liked, coalesce(hrs, '0') AS hrs,
+    ("highly_liked", "business_features"),
+    """SELECT h.business_id, h.Highly_Liked, coalesce(hrs, '0') AS hrs,
   coalesce(attributes_Wi_Fi, '0') AS attributes_Wi_Fi, coalesce(attributes_Brand, '0') AS attributes_Brand
-FROM drop_nzv""",
+FROM highly_liked h LEFT JOIN business_features b ON h.business_id = b.business_id""",
 )
 _cte(
     "imputed",
@@ -420,7 +401,7 @@ def queries() -> dict[str, str]:
     q["user_dispersion"] = sql(rounded("dispersion", DISPERSION_DOUBLES), "dispersion")
     q["visits_by_city"] = sql("SELECT * FROM visits_by_city", "visits_by_city")
     q["visits_by_city_quantiles"] = sql(_quantiles_sql("visits_by_city", "Counts", CITY_PROBS), "visits_by_city")
-    q["top_cities"] = sql("SELECT * FROM visits_by_city WHERE Counts > 1400", "visits_by_city")
+    q["top_cities"] = sql("SELECT * FROM visits_by_city WHERE Counts > 5000", "visits_by_city")
     q["businesses_by_city"] = sql(
         "SELECT city, state, count(state) AS Counts FROM business GROUP BY city, state", "business"
     )
@@ -447,13 +428,15 @@ FROM business_ratings""",
 FROM local_users""",
         "local_users",
     )
-    for name in ("category_edges", "restaurants", "co_categories", "category_vocabulary", "category_flags"):
+    for name in ("category_edges", "restaurants", "co_categories", "category_vocabulary"):
         q[name] = sql(f"SELECT * FROM {name}", name)
-    q["feature_frame"] = sql("SELECT * FROM feature_frame", "feature_frame")
+    q["category_flags"] = sql(
+        "SELECT business_id, name AS column_name, CAST(flag AS VARCHAR) AS value FROM flag_long", "flag_long"
+    )
+    for name, source in (("feature_frame", "feature_long"), ("drop_sparse", "sparse_long"), ("drop_nzv", "nzv_long")):
+        q[name] = sql(f"SELECT * FROM {source} WHERE column_name <> 'business_id'", source)
     q["missing_profile"] = sql(rounded("missing_profile", ["na_share"]), "missing_profile")
-    q["drop_sparse"] = sql("SELECT * FROM drop_sparse", "drop_sparse")
     q["nzv_profile"] = sql(rounded("nzv_profile", ["freqRatio", "percentUnique"]), "nzv_profile")
-    q["drop_nzv"] = sql("SELECT * FROM drop_nzv", "drop_nzv")
     q["imputed_hours"] = sql("SELECT * FROM imputed", "imputed")
     q["stratified_split"] = sql("SELECT * FROM split", "split")
     q["confusion_rates"] = sql(

@@ -2,9 +2,11 @@
 
 :class:`LocalMarket` wires the operators into the three questions of the
 analysis: who is local, what do locals like, which features go with being
-liked. Each attribute is a DataFrame (nothing runs until an action), so a
-caller pays only for the plan it uses; Spark reuses identical shuffle
-stages inside one plan.
+liked. Each attribute is a DataFrame built when it is first read. Most run
+nothing until an action; the narrow waists (``_keep``) are written when they
+are read, and the frames whose columns follow from the data (flags, pruned
+frames, model) run the jobs that find them. The tables go when the application
+ends.
 """
 
 from __future__ import annotations
@@ -23,10 +25,9 @@ from homerange.sources.reviews import flatten, sample_head
 
 @dataclass(frozen=True)
 class Params:
-    """Thresholds of the analysis. Defaults are the stand-in settings where
-    the original literals select nothing on the driver tables (see
-    FIXTURES.md): ``min_ratings`` 3 instead of 10, restaurants are the
-    category "ring", the funny-vote cut is 9000."""
+    """Thresholds of the analysis; the defaults are its own literals. The
+    registered queries pass the values that suit the driver tables (see
+    ``registry.PARAMS``)."""
 
     center: tuple[float, float] = (geo.CENTER_LON, geo.CENTER_LAT)
     radius_deg: float = geo.RADIUS_DEG
@@ -34,22 +35,22 @@ class Params:
     n_sd: float = 3.0
     min_businesses: int = 3
     max_businesses: int | None = None
-    top_city_min_count: int = 1400
-    min_ratings: int = 3
+    top_city_min_count: int = 25_000
+    min_ratings: int = 10
     liked_prob: float = 0.8
-    restaurant: str = "ring"
+    restaurant: str = "Restaurant"
     na_share: float = 0.75
     split_p: float = 0.6
     split_seed: int = 1900
     kmeans_k: int = 6
     kmeans_seed: int = 1986
     elbow_ks: tuple[int, ...] = tuple(range(2, 11))
-    min_funny: int = 9000
+    min_funny: int = 10_000
     names: tuple[str, ...] = field(default=())  # empty: no name filter
     split_rows: int = 1_000_000
     feature_columns: tuple[str, ...] = ("hours", "hrs", "attributes")
-    num_trees: int = 50
-    max_depth: int = 10
+    num_trees: int = model.NUM_TREES
+    max_depth: int = 30
     forest_seed: int = model.FOREST_SEED
     wifi_column: str = "attributes_Wi_Fi"
 

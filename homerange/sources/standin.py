@@ -69,11 +69,12 @@ def business(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
     """Every tip or review: (user_id, business_id, kind, stars).
 
-    A line item is a visit by the order's customer to the part; it is kept
-    when the part is in the customer's home region, or as an occasional trip
-    (line 7 of every third customer's orders). Returned items are tips, the
-    rest reviews; with ``kind`` only one of them is read, and that filter is
-    on a stored column, so it reaches the Parquet scan."""
+    Every line item is one visit by the order's customer: to the part of the
+    customer's home region next to the item's part (some of these ids are no
+    part, which exercises the NULL side of the location join), or, on line 7
+    of every third customer's orders, a trip to the item's own part. Returned
+    items are tips, the rest reviews; with ``kind`` only one of them is read,
+    and that filter is on a stored column, so it reaches the Parquet scan."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
     )
@@ -81,15 +82,14 @@ def hits(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame
     if kind == "tip":
         li = li.filter(is_tip)
     elif kind == "review":
-        li = li.filter(~F.coalesce(is_tip, F.lit(False)))
+        li = li.filter((F.col("l_returnflag") != "R") | F.col("l_returnflag").isNull())
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = li.join(od, li["l_orderkey"] == od["o_orderkey"])
-    keep = ((F.col("l_partkey") % 4) == (F.col("o_custkey") % 4)) | (
-        (F.col("l_linenumber") == 7) & ((F.col("o_custkey") % 3) == 0)
-    )
-    return joined.filter(keep).select(
+    trip = (F.col("l_linenumber") == 7) & ((F.col("o_custkey") % 3) == 0)
+    at_home = F.col("l_partkey") - F.col("l_partkey") % 4 + F.col("o_custkey") % 4
+    return joined.select(
         F.col("o_custkey").alias("user_id"),
-        F.col("l_partkey").alias("business_id"),
+        F.when(trip, F.col("l_partkey")).otherwise(at_home).alias("business_id"),
         F.when(is_tip, F.lit("tip")).otherwise(F.lit("review")).alias("kind"),
         (F.lit(1) + F.col("l_quantity").cast("int") % 5).alias("stars"),
     )

@@ -54,7 +54,8 @@ def check(spark, sf_dir: str, name: str, query, sql: str, con=None) -> tuple[boo
     sdf = query(spark, sf_dir)
     s_cols = sdf.columns
     s_rows = [tuple(_norm(x) for x in r) for r in sdf.collect()]
-    rel = con.sql(sql)
+    con.sql(f"CREATE OR REPLACE TEMP VIEW checked AS {sql}")  # as a driver may store it
+    rel = con.sql("SELECT * FROM checked")
     d_cols = rel.columns
     d_rows = [tuple(_norm(x) for x in r) for r in rel.fetchall()]
     if sorted(s_cols) != sorted(d_cols):

@@ -321,3 +321,20 @@ def test_column_modes_ties_lowest(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "y"), ("b", "y"), ("a", "x"), ("c", "x")], "p string, q string")
     m = features.column_modes(df, ["p", "q"]).first()
     assert (m.p, m.q) == ("a", "x")  # p: a and b tie at 2 -> lowest; q: x wins 3-2
+
+
+def test_fisher_exact_at_large_counts(spark):
+    from homerange.operators.stats import fisher_exact
+
+    rows = [(1, 30000, 20000, 290000, 26715), (2, 250_000_000, 250_000_100, 250_000_000, 250_000_000)]
+    table = spark.createDataFrame(rows, "g int, tl long, tr long, bl long, br long")
+    got = {r.g: r.p_value for r in fisher_exact(table, by=["g"]).collect()}
+    assert got[1] < 1e-12 and 0.9 < got[2] <= 1.0
+
+
+def test_split_leaves_out_rows_without_label(spark):
+    from homerange.operators.model import stratified_split
+
+    rows = [(k, None if k % 2 else "Y") for k in range(10)]
+    out = stratified_split(spark.createDataFrame(rows, "business_id long, Highly_Liked string"))
+    assert out.count() == 5 and out.filter("split = 'train'").count() == 3
