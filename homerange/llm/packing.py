@@ -30,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 4096
 #: Distinct chunks that a Python worker remembers (see Memo).
-MEMO = 180_000
+MEMO = 220_000
 
 # Text in which chunks between white space can be encoded one by one with the same
 # result as the whole text: no control characters that only one of the libraries
@@ -89,8 +89,11 @@ class Encoder:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        odd, plain, marks, letters = [], [], set(), set()
+        bare = [c for c in chunks if c.isalpha()]
+        odd, plain, marks, letters = [], [], set(), set(map(str.lower, bare))
         for c in chunks:
+            if c.isalpha():
+                continue
             word = c.strip(MARKS)
             if not word.isalpha():
                 odd.append(c)
@@ -106,11 +109,13 @@ class Encoder:
         known.update(zip(new, self._word_ids(new), strict=True))
         rest = [*odd, *marks]
         found = dict(zip(rest, self._ids(rest), strict=True))
+        self.chunks.now.update((c, known[c.lower()]) for c in bare)
         self.chunks.now.update((c, found[c]) for c in odd)
         self.chunks.now.update((c, found[x] + known[w] + found[y]) for c, x, w, y in plain)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.split() if t and PLAIN.fullmatch(t) else None for t in texts]
+        # the vocabulary ignores case, special tokens do not
+        cut = [(t if "<|" in t else t.lower()).split() if t and PLAIN.fullmatch(t) else None for t in texts]
         new = self.chunks.missing(set(chain.from_iterable(c for c in cut if c)))
         if new:
             self._learn(new)
