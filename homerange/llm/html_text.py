@@ -3,8 +3,11 @@
 A page is read once into blocks of text with the elements they stand in. Words score
 positive or negative by those elements, tags score negative; one linear scan finds
 the contiguous region of highest sum, which is the content. Menus, adverts, notices,
-forms, comments and other furniture, told by element, role or class, are taken out
-first: inside the region they cost little, so they do not cut an article in two.
+forms, comments and other furniture, told by element, role or a class that says nothing
+else, are taken out first: inside the region they cost little, so they do not cut an
+article in two. A class or id that only may name furniture gives its words a negative
+score; it never takes out an article, a main part, a heading or what holds most of the
+page's words.
 
 The weights of tags and of the words in them come from labelled pages: pages that
 mark their content themselves (``article``, ``main``, ``role="main"``,
@@ -55,10 +58,25 @@ NAMES = frozenset(
     "comment comments commentlist commentary disqus discussion reply replies respond responses feedback search "
     "searchform searchbox skip copyright legal disclaimer".split()
 )
+# those of them that are also used of content: they only lower the score of its words
+DOUBTFUL = frozenset(
+    "notice notices alert alerts discussion search navigation navi popular trending social legal disclaimer copyright "
+    "response responses respond feedback commentary reply replies skip register subscription promotion "
+    "recommendations rail".split()
+)
+# words of a class that say nothing about what the element holds
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons col column container content field form group icon icons inner item "
+    "items left link links list module outer panel right row section slot the top unit wrap wrapper".split()
+)
+# a class that begins so tells something about the element, not what it is
+STATES = frozenset("has no not with without is hide show category cat tag tagged".split())
 # these name furniture only outside the content: an article's own header holds its title
 OUTER_NAMES = frozenset("header head".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
+# elements that no class or id alone makes furniture
+SAFE = CONTENT | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 # what the start of one element ends
 CLOSES = {
     "p": {"p"},
@@ -86,7 +104,9 @@ HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 @dataclass
 class Block:
     """A run of text. ``tags``: names of the tags since the block before; ``inside``:
-    the elements it stands in; ``content``: inside an element that marks content."""
+    the elements it stands in; ``content``: inside an element that marks content.
+    ``doubt``: 1 inside an element whose name may be one of furniture, 2 if that element
+    holds most of the page's words."""
 
     text: str
     n_words: int
@@ -94,6 +114,7 @@ class Block:
     inside: tuple[str, ...]
     content: int
     furniture: bool
+    doubt: int = 0
 
 
 @dataclass(frozen=True)
@@ -110,36 +131,58 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
-def _names(value: str) -> set[str]:
-    return set(NAME_WORD.findall(HUMP.sub(" ", value).lower()))
+def _named(value: str, is_id: bool) -> int:
+    """2 if a class (or the id) names furniture and nothing else, 1 if it may, else 0."""
+    found = 0
+    for token in [value] if is_id else value.split():
+        words = NAME_WORD.findall(HUMP.sub(" ", token).lower())
+        telling = [x for x in words if x not in NEUTRAL]
+        if not telling or telling[-1] not in NAMES or words[0] in STATES and words[0] != telling[-1]:
+            continue
+        alone = all(x in NAMES for x in telling)
+        sure = telling[-1] not in DOUBTFUL or alone and not DOUBTFUL.issuperset(telling)
+        found = max(found, 2 if sure and (alone or not is_id) else 1)
+    return found
 
 
-def _kind(name: str, raw: str, in_content: bool) -> tuple[bool, int]:
-    """(furniture, content mark: 2 for an article, 1 for a wider main part) of an element."""
+def _kind(name: str, raw: str, in_content: bool) -> tuple[bool, int, int]:
+    """(furniture, content mark: 2 for an article, 1 for a wider main part, how sure its
+    class or id names furniture: 0 to 2) of an element."""
     a = _attributes(raw) if raw.strip() else {}
-    names = _names(f"{a.get('class', '')} {a.get('id', '')}") if a else set()
     role = a.get("role", "").lower()
     style = a.get("style", "").replace(" ", "").lower()
+    body = a.get("itemprop", "").lower() == "articlebody"
+    safe = name in SAFE or role == "main" or body
+    named = 0
+    if a and not safe:
+        named = max(_named(a.get("class", ""), False), _named(a.get("id", ""), True))
+        if not in_content and not named:
+            words = set(NAME_WORD.findall(HUMP.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower()))
+            named = int(bool(words & OUTER_NAMES))
+        if in_content and named == 1:
+            named = 0
     furniture = (
         name in FURNITURE
         or role in ROLES
-        or bool(names & NAMES) and name not in ("body", "html")
         or "hidden" in a
         or a.get("aria-hidden") == "true"
         or "display:none" in style
         or "visibility:hidden" in style
-        or (not in_content and (name == "header" or bool(names & OUTER_NAMES) and name not in ("body", "html")))
+        or (not in_content and name == "header")
     )
     content = 0
     if not furniture:
-        content = 2 if name == "article" or a.get("itemprop", "").lower() == "articlebody" else 1 if name == "main" or role == "main" else 0
-    return furniture, content
+        content = 2 if name == "article" or body else 1 if name == "main" or role == "main" else 0
+    return furniture, content, named
 
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, in furniture, content mark
+    # name, in furniture, content mark, named elements around it (places in ``named``)
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+    named: list[list[int]] = []  # how sure its name is one of furniture, its words
+    around: list[tuple[int, ...]] = []  # named elements around each block
     held: list[str] = []
     tags: list[str] = []
     page = page or ""
@@ -149,8 +192,12 @@ def blocks(page: str | None) -> list[Block]:
             words = html_lib.unescape("".join(held)).split()
             held.clear()
             if words:
-                top = stack[-1] if stack else ("", False, 0)
+                top = stack[-1] if stack else ("", False, 0, ())
                 out.append(Block(" ".join(words), len(words), tags.copy(), tuple(x[0] for x in stack), top[2], top[1]))
+                around.append(top[3])
+                if not top[1]:
+                    for k in top[3]:
+                        named[k][1] += len(words)
                 tags.clear()
 
     def pop_to(depth: int) -> None:
@@ -207,10 +254,23 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if m[3].rstrip().endswith("/") and not block:
             continue
-        _, in_furniture, mark = stack[-1] if stack else ("", False, 0)
-        furniture, content = (True, 0) if in_furniture else _kind(name, m[3], mark > 0)
-        stack.append((name, furniture, max(mark, content)))
+        _, in_furniture, mark, names = stack[-1] if stack else ("", False, 0, ())
+        furniture, content, sure = (True, 0, 0) if in_furniture else _kind(name, m[3], mark > 0)
+        if sure:
+            names = (*names, len(named))
+            named.append([sure, 0])
+        stack.append((name, furniture, max(mark, content), names))
     end_block()
+    half = sum(b.n_words for b in out if not b.furniture) / 2
+    for b, names in zip(out, around, strict=True):
+        for k in names:
+            sure, n_words = named[k]
+            if n_words > half:
+                b.doubt = max(b.doubt, 2)
+            elif sure == 2:
+                b.furniture = True
+            else:
+                b.doubt = max(b.doubt, 1)
     return out
 
 
@@ -267,16 +327,19 @@ def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 2000, ma
     return Weights(tags=tags, words=words)
 
 
-def scores(parts: list[Block], w: Weights) -> list[tuple[float, float]]:
+def scores(parts: list[Block], w: Weights, trusted: int = 0) -> list[tuple[float, float]]:
     """(tags before it, words) of each block. On a page that marks its content, words
     outside it count against a region; elsewhere the weight of a word is the least of
-    those of the elements it stands in."""
+    those of the elements it stands in. Words of a doubt above ``trusted`` count against
+    a region."""
     mark = label(parts)
     out = []
     for b in parts:
         cost = sum(w.tags.get(t, w.tag) for t in b.tags)
         if b.furniture:
             out.append((max(cost, -2.0), 0.0))
+        elif b.doubt > trusted:
+            out.append((cost, -1.0 * b.n_words))
         elif mark:
             out.append((cost * 0.1, b.n_words * (2.0 if b.content >= mark else 0.2 if b.content else -2.0)))
         else:
@@ -304,7 +367,12 @@ def main_text(page: str | None, w: Weights) -> str:
     """The blocks of the best region, without furniture, two line ends between."""
     parts = blocks(page)
     mark = label(parts)
-    first, end = best_region(scores(parts, w))
+    total = sum(b.n_words for b in parts if not b.furniture)
+    first = end = 0
+    for trusted in (0, 2):  # names that leave less than a quarter of the words are not believed
+        first, end = best_region(scores(parts, w, trusted))
+        if 4 * sum(b.n_words for b in parts[first:end] if not b.furniture) >= total or not any(b.doubt for b in parts):
+            break
     if mark:  # all of the marked content, and what leads to it within a wider main part
         wanted = [b.content >= mark or (first <= i < end and b.content > 0) for i, b in enumerate(parts)]
     else:

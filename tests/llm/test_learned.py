@@ -61,6 +61,24 @@ def test_main_text():
         assert html_text.main_text(odd, html_text.Weights()) in ("", "<p")
 
 
+def test_a_class_alone_does_not_void_the_story():
+    def got(page):
+        return html_text.main_text(page, html_text.Weights())
+
+    for wrapper in (
+        '<div class="layout has-sidebar">%s</div>',
+        '<div class="widget">%s</div>',
+        '<main class="no-sidebar">%s</main>',
+        '<article class="post comments-open category-social">%s</article>',
+        '<div role="main" id="discussion">%s</div>',
+    ):
+        assert got(PAGE % (wrapper % BODY)) == TEXT
+    inner = '<section id="discussion"><h2 id="related-work">Others</h2><p class="legal">Courts agree on this.</p></section>'
+    assert got(PAGE % f"<article>{BODY}{inner}</article>") == TEXT + "\n\nOthers\n\nCourts agree on this."
+    beside = '<div class="sidebar">Read these</div><div id="comments"><p>First of all.</p></div><p class="site-footer">Us</p>'
+    assert got(PAGE % f'<div class="content">{BODY}</div>{beside}') == TEXT
+
+
 def test_pages_of_the_table(spark):
     rows = entry.queries()["op9_html_text"](spark, SF).collect()
     pages = dict(duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall())
