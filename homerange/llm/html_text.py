@@ -11,7 +11,9 @@ page's words.
 
 The weights of tags and of the words in them come from labelled pages: pages that
 mark their content themselves (``article``, ``main``, ``role="main"``,
-``itemprop="articleBody"``) label each of their words and tags. ``sample_pages``
+``itemprop="articleBody"``) label each of their words and tags. A mark is believed only
+where a marked element holds twice the words of the best region outside; else it is a
+small bonus, so a page's longest story wins over marked teasers. ``sample_pages``
 pages at most, drawn by a hash of the html, are used; without any, tags cost 1 and
 words score 1.
 
@@ -38,7 +40,14 @@ from homerange.llm.common import append_columns, read
 
 # Elements by the way they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object video audio canvas xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg video audio canvas xmp annotation".split())
+# those that reach to the end of the page if they are not closed
+ENDLESS = frozenset("script style textarea title".split())
+# parts of formulas and embedded objects: neither costs anything
+FREE = frozenset(
+    "math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mtable mtr mtd mstyle mspace munder mover "
+    "munderover mpadded mphantom menclose mmultiscripts mprescripts semantics object param annotation".split()
+)
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option optgroup p pre section select "
@@ -77,6 +86,8 @@ CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 # elements that no class or id alone makes furniture
 SAFE = CONTENT | frozenset("html body h1 h2 h3 h4 h5 h6".split())
+# from so many words on, text outside marked content may be a story
+MANY_WORDS = 50
 # what the start of one element ends
 CLOSES = {
     "p": {"p"},
@@ -106,7 +117,8 @@ class Block:
     """A run of text. ``tags``: names of the tags since the block before; ``inside``:
     the elements it stands in; ``content``: inside an element that marks content.
     ``doubt``: 1 inside an element whose name may be one of furniture, 2 if that element
-    holds most of the page's words."""
+    holds most of the page's words. ``marked``: number of the outermost element of each
+    content mark (1 and 2) around it, 0 for none."""
 
     text: str
     n_words: int
@@ -115,6 +127,7 @@ class Block:
     content: int
     furniture: bool
     doubt: int = 0
+    marked: tuple[int, int] = (0, 0)
 
 
 @dataclass(frozen=True)
@@ -179,8 +192,11 @@ def _kind(name: str, raw: str, in_content: bool) -> tuple[bool, int, int]:
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
-    # name, in furniture, content mark, named elements around it (places in ``named``)
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+    # name, in furniture, content mark, named elements around it (places in ``named``),
+    # outermost marked elements
+    stack: list[tuple[str, bool, int, tuple[int, ...], tuple[int, int]]] = []
+    n_marked = 0
+    unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
     named: list[list[int]] = []  # how sure its name is one of furniture, its words
     around: list[tuple[int, ...]] = []  # named elements around each block
     held: list[str] = []
@@ -192,8 +208,8 @@ def blocks(page: str | None) -> list[Block]:
             words = html_lib.unescape("".join(held)).split()
             held.clear()
             if words:
-                top = stack[-1] if stack else ("", False, 0, ())
-                out.append(Block(" ".join(words), len(words), tags.copy(), tuple(x[0] for x in stack), top[2], top[1]))
+                top = stack[-1] if stack else ("", False, 0, (), (0, 0))
+                out.append(Block(" ".join(words), len(words), tags.copy(), tuple(x[0] for x in stack), top[2], top[1], 0, top[4]))
                 around.append(top[3])
                 if not top[1]:
                     for k in top[3]:
@@ -222,7 +238,8 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] == name:
                     if block or any(x[0] in BLOCK for x in stack[k:]):
                         end_block()
-                    tags.append(name)
+                    if name not in FREE:
+                        tags.append(name)
                     pop_to(k)
                     break
                 if stack[k][0] in SCOPE and name not in SCOPE:
@@ -232,15 +249,19 @@ def blocks(page: str | None) -> list[Block]:
                     held.append(" ")
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             held.append(" ")
-            at = close.end() if close else size
+            if close or name in ENDLESS:
+                at = close.end() if close else size
+            else:
+                unclosed.add(name)
             continue
         if block:
             end_block()
         elif name == "br":
             held.append(" ")
-        tags.append(name)
+        if name not in FREE:
+            tags.append(name)
         if name in VOID:
             continue
         # elements that this start tag ends
@@ -254,12 +275,15 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if m[3].rstrip().endswith("/") and not block:
             continue
-        _, in_furniture, mark, names = stack[-1] if stack else ("", False, 0, ())
+        _, in_furniture, mark, names, marked = stack[-1] if stack else ("", False, 0, (), (0, 0))
         furniture, content, sure = (True, 0, 0) if in_furniture else _kind(name, m[3], mark > 0)
         if sure:
             names = (*names, len(named))
             named.append([sure, 0])
-        stack.append((name, furniture, max(mark, content), names))
+        if content > mark:
+            n_marked += 1
+            marked = (marked[0] or n_marked, n_marked if content == 2 else 0)
+        stack.append((name, furniture, max(mark, content), names, marked))
     end_block()
     half = sum(b.n_words for b in out if not b.furniture) / 2
     for b, names in zip(out, around, strict=True):
@@ -274,16 +298,46 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def label(parts: list[Block]) -> int:
-    """The strongest content mark of a page (0: none, so the page has no labels)."""
-    return max((b.content for b in parts if not b.furniture), default=0)
+def plain(parts: list[Block], w: Weights, trusted: int = 0, bonus: float = 0.25) -> list[tuple[float, float]]:
+    """(tags before it, words) of each block, by the elements it stands in: the weight of
+    a word is the least of theirs, and more by ``bonus`` where the page marks content.
+    Words of a doubt above ``trusted`` count against a region."""
+    out = []
+    for b in parts:
+        cost = sum(w.tags.get(t, w.tag) for t in b.tags)
+        if b.furniture:
+            out.append((max(cost, -2.0), 0.0))
+        elif b.doubt > trusted:
+            out.append((cost, -0.5 * b.n_words))
+        else:
+            each = min((w.words[e] for e in b.inside if e in w.words and e not in ("html", "body", "div")), default=w.word)
+            out.append((cost, b.n_words * (each + bonus if b.content else each)))
+    return out
+
+
+def label(parts: list[Block], w: Weights, trusted: int = 0) -> int:
+    """The strongest content mark that a page can be believed in: one of its elements
+    holds at least twice the words of the best region without such a mark (a teaser card
+    beside the story does not). 0: none, so the page has no labels."""
+    for mark in (2, 1):
+        held: dict[int, int] = {}
+        for b in parts:
+            if b.content >= mark and not b.furniture:
+                held[b.marked[mark - 1]] = held.get(b.marked[mark - 1], 0) + b.n_words
+        if not held:
+            continue
+        values = [(-math.inf, 0.0) if b.content >= mark else v for b, v in zip(parts, plain(parts, w, trusted, 0.0), strict=True)]
+        first, end = best_region(values)
+        if max(held.values()) >= 2 * sum(b.n_words for b in parts[first:end] if not b.furniture):
+            return mark
+    return 0
 
 
 def counts(page: str | None) -> list[tuple[str, int, int]]:
     """(feature, inside content, outside) of one labelled page: ``t:`` a tag, ``w:``
     words in an element; nothing for a page without labels."""
     parts = blocks(page)
-    mark = label(parts)
+    mark = label(parts, Weights())
     got: dict[str, list[int]] = {}
     if mark:
         for b in parts:
@@ -327,24 +381,14 @@ def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 2000, ma
     return Weights(tags=tags, words=words)
 
 
-def scores(parts: list[Block], w: Weights, trusted: int = 0) -> list[tuple[float, float]]:
-    """(tags before it, words) of each block. On a page that marks its content, words
-    outside it count against a region; elsewhere the weight of a word is the least of
-    those of the elements it stands in. Words of a doubt above ``trusted`` count against
-    a region."""
-    mark = label(parts)
-    out = []
-    for b in parts:
-        cost = sum(w.tags.get(t, w.tag) for t in b.tags)
-        if b.furniture:
-            out.append((max(cost, -2.0), 0.0))
-        elif b.doubt > trusted:
-            out.append((cost, -1.0 * b.n_words))
-        elif mark:
-            out.append((cost * 0.1, b.n_words * (2.0 if b.content >= mark else 0.2 if b.content else -2.0)))
-        else:
-            each = min((w.words[e] for e in b.inside if e in w.words and e not in ("html", "body", "div")), default=w.word)
-            out.append((cost, b.n_words * each))
+def scores(parts: list[Block], w: Weights, mark: int, trusted: int = 0) -> list[tuple[float, float]]:
+    """(tags before it, words) of each block. On a page whose content mark is believed,
+    words outside it count against a region; elsewhere see :func:`plain`."""
+    out = plain(parts, w, trusted)
+    if mark:
+        for i, b in enumerate(parts):
+            if not b.furniture and b.doubt <= trusted:
+                out[i] = (out[i][0] * 0.1, b.n_words * (2.0 if b.content >= mark else 0.2 if b.content else -2.0))
     return out
 
 
@@ -366,15 +410,19 @@ def best_region(values: list[tuple[float, float]]) -> tuple[int, int]:
 def main_text(page: str | None, w: Weights) -> str:
     """The blocks of the best region, without furniture, two line ends between."""
     parts = blocks(page)
-    mark = label(parts)
     total = sum(b.n_words for b in parts if not b.furniture)
-    first = end = 0
-    for trusted in (0, 2):  # names that leave less than a quarter of the words are not believed
-        first, end = best_region(scores(parts, w, trusted))
-        if 4 * sum(b.n_words for b in parts[first:end] if not b.furniture) >= total or not any(b.doubt for b in parts):
+    doubted = sum(b.n_words for b in parts if b.doubt and not b.furniture)
+    mark = first = end = 0
+    for trusted in (0, 2):
+        mark = label(parts, w, trusted)
+        first, end = best_region(scores(parts, w, mark, trusted))
+        # names that leave less than a quarter of the words are not believed, unless they
+        # are a few words beside marked content
+        found = sum(b.n_words for b in parts[first:end] if not b.furniture)
+        if 4 * found >= total or not doubted or (mark and found and doubted < MANY_WORDS):
             break
-    if mark:  # all of the marked content, and what leads to it within a wider main part
-        wanted = [b.content >= mark or (first <= i < end and b.content > 0) for i, b in enumerate(parts)]
+    if mark:  # all of the marked content, and what the region holds between and before
+        wanted = [b.content >= mark or first <= i < end for i, b in enumerate(parts)]
     else:
         # a heading of few words may not earn its tags; right before the region it is its title
         while 0 < first < end and not parts[first - 1].furniture and HEADINGS & set(parts[first - 1].inside):

@@ -79,6 +79,24 @@ def test_a_class_alone_does_not_void_the_story():
     assert got(PAGE % f'<div class="content">{BODY}</div>{beside}') == TEXT
 
 
+def test_marks_do_not_hide_the_story():
+    def got(page):
+        return html_text.main_text(page, html_text.Weights())
+
+    card = "<article><h3>Next</h3><p>Short card.</p></article>"
+    rest = "</div>".join(["<div class=grid>" + "<hr>" * 20, card, card])
+    assert got(PAGE % f'<div class="post">{BODY}</div>{rest}') == TEXT
+    inside = got(PAGE % f"<main><div>{BODY}</div>{'<hr>' * 80}{card}{card}</main>")
+    assert inside.startswith(TEXT) and inside.count("Short card.") == 2
+    for open_tag in ("<audio src=x>", "<video>", "<canvas>", "<svg viewBox=x>", "<iframe src=x>", "<object data=x>", "<math>"):
+        assert got(PAGE % f"<article>{open_tag}{BODY}</article>") == TEXT
+    kept = got(PAGE % f"<article>{BODY}<p>So <math><mi>e</mi><mo>=</mo><mn>2</mn></math> holds <object>truly</object>.</p></article>")
+    assert kept == TEXT + "\n\nSo e=2 holds truly."
+    for open_tag in ("<script>", "<style>", "<textarea>", "<title>"):
+        page = f"<article>{BODY}</article><p>{open_tag} x y"
+        assert got(page) == TEXT
+
+
 def test_pages_of_the_table(spark):
     rows = entry.queries()["op9_html_text"](spark, SF).collect()
     pages = dict(duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall())
