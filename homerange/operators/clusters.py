@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 from pyspark.ml.clustering import KMeans
@@ -38,10 +39,13 @@ def total_sse(users: DataFrame, cols=POINT) -> DataFrame:
     return users.agg((F.lit(1)).alias("k"), ((n - 1) * var_sum).alias("wss"))
 
 
-def elbow(users: DataFrame, ks: Iterable[int] = range(2, 51), seed: int = SEED, max_iter: int = 20, cols=POINT) -> DataFrame:
+def elbow(
+    users: DataFrame, ks: Iterable[int] = range(2, 51), seed: int = SEED, max_iter: int = MAX_ITER, cols=POINT
+) -> DataFrame:
     """Within-cluster sum of squares for each k (k = 1 from
     :func:`total_sse`, Spark's k-means needs k >= 2). Each k is one model
-    fit on the executors; only the (k, cost) pairs come back."""
+    fit on the executors; only the (k, cost) pairs come back. A fit that has not
+    converged after ``max_iter`` rounds gives a warning."""
     pts = _points(users, cols).select("__xy").persist()
     rows = []
     try:
@@ -49,6 +53,8 @@ def elbow(users: DataFrame, ks: Iterable[int] = range(2, 51), seed: int = SEED,
             if k < 2:
                 continue
             model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__xy").fit(pts)
+            if model.summary.numIter >= max_iter:
+                warnings.warn(f"k-means with k = {k} has not converged in {max_iter} rounds", stacklevel=2)
             rows.append((int(k), float(model.summary.trainingCost)))
     finally:
         pts.unpersist()

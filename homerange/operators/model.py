@@ -7,16 +7,21 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homerange.session import materialize
+
 # Fixed values of the analysis: 60 % of each class for training, the seeds
 # of the split and of the forest, and the forest size.
 SPLIT_P = 0.6
 SPLIT_SEED = 1900
 FOREST_SEED = 1950
 NUM_TREES = 5000
+#: Trees grown at a time by :func:`grow_and_score`: the driver holds no more.
+BATCH_TREES = 500
 
 _BUCKET_HEX = 5  # 16**5 = 1,048,576 hash buckets per class
 #: Most values that a text feature may have.
@@ -110,8 +115,8 @@ def forest_estimator(
     return Pipeline(stages=stages)
 
 
-def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineModel:
-    """Fit :func:`forest_estimator`. The indexers are fitted first (one job for
+def _prepare(train: DataFrame, label: str, **kw) -> tuple[PipelineModel, VectorAssembler, RandomForestClassifier]:
+    """Fitted indexers, assembler and unfitted forest of :func:`forest_estimator`. The indexers are fitted first (one job for
     the features, one for the label) so that ``maxBins`` can be set above the
     widest categorical feature. A text column of more than ``MAX_CATEGORIES``
     values is no category; it is an error, found before any value is gathered."""
@@ -127,10 +132,50 @@ def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineM
     indexers = Pipeline(stages=stages[:-2]).fit(train)
     widest = max((len(labels) + 1 for m in indexers.stages for labels in m.labelsArray), default=2)
     forest = stages[-1].copy().setMaxBins(max(kw.get("max_bins", 32), widest))
-    rest = Pipeline(stages=[stages[-2], forest]).fit(indexers.transform(train))
+    return indexers, stages[-2], forest
+
+
+def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineModel:
+    """Fit :func:`forest_estimator` in one piece (see :func:`_prepare`)."""
+    indexers, assembler, forest = _prepare(train, label, **kw)
+    rest = Pipeline(stages=[assembler, forest]).fit(indexers.transform(train))
     return PipelineModel(stages=list(indexers.stages) + list(rest.stages))
 
 
+def grow_and_score(
+    train: DataFrame,
+    test: DataFrame,
+    label: str = "Highly_Liked",
+    key: str = "business_id",
+    num_trees: int = NUM_TREES,
+    seed: int = FOREST_SEED,
+    batch_trees: int = BATCH_TREES,
+    **kw,
+) -> DataFrame:
+    """Predicted label per held-out row by a forest of ``num_trees`` trees, grown
+    ``batch_trees`` at a time (batch i with seed ``seed + i``). Each batch leaves its
+    votes per row and class, whose sums over the batches are the whole forest's; so
+    memory does not follow the number of trees. ``key`` must be unique."""
+    indexers, assembler, forest = _prepare(train, label, seed=seed, **kw)
+    labels = next(m for m in indexers.stages if m.isSet(m.outputCol) and m.getOutputCol() == "__label").labels
+    known = assembler.transform(indexers.transform(train)).select("__label", "__features")
+    # the label is no input of the prediction: rows with a label never seen in training stay
+    unseen = assembler.transform(PipelineModel(stages=[m for m in indexers.stages if not m.isSet(m.outputCol)]).transform(test))
+    unseen = unseen.select(key, label, "__features")
+    votes = None
+    for i, start in enumerate(range(0, num_trees, batch_trees)):
+        grown = forest.copy().setNumTrees(min(batch_trees, num_trees - start)).setSeed(seed + i).fit(known)
+        scored = grown.transform(unseen).select(key, label, vector_to_array("rawPrediction").alias("__v"))
+        scored = materialize(scored, "forest_votes")
+        votes = scored if votes is None else votes.unionByName(scored)
+    sums = [F.sum(F.get("__v", F.lit(c))).alias(f"__{c}") for c in range(len(labels))]
+    total = votes.groupBy(key, label).agg(*sums)
+    best = F.greatest(*[F.col(f"__{c}") for c in range(len(labels))]) if len(labels) > 1 else F.col("__0")
+    # of equal sums the first label, as in the forest's own prediction
+    prediction = F.coalesce(*[F.when(F.col(f"__{c}") == best, F.lit(x)) for c, x in enumerate(labels)])
+    return total.select(key, label, prediction.alias("prediction"))
+
+
 def score(model: PipelineModel, test: DataFrame, label: str = "Highly_Liked", key: str = "business_id") -> DataFrame:
     """Predicted label per held-out row (``prediction`` as the label
     text)."""

@@ -44,7 +44,7 @@ class Params:
     split_seed: int = 1900
     kmeans_k: int = 6
     kmeans_seed: int = 1986
-    elbow_ks: tuple[int, ...] = tuple(range(2, 11))
+    elbow_ks: tuple[int, ...] = tuple(range(2, 51))
     min_funny: int = 10_000
     names: tuple[str, ...] = field(default=())  # empty: no name filter
     split_rows: int = 1_000_000
@@ -256,10 +256,9 @@ class LocalMarket:
         split = self.stratified_split
         train = split.filter(F.col("split") == "train").drop("split")
         test = split.filter(F.col("split") == "test").drop("split")
-        fitted = model.fit_forest(
-            train, num_trees=self.p.num_trees, max_depth=self.p.max_depth, seed=self.p.forest_seed
+        return model.grow_and_score(
+            train, test, num_trees=self.p.num_trees, max_depth=self.p.max_depth, seed=self.p.forest_seed
         )
-        return model.score(fitted, test)
 
     @cached_property
     def confusion(self) -> DataFrame:

@@ -24,8 +24,6 @@ PARAMS = Params(
     min_ratings=3,
     restaurant="ring",
     min_funny=9000,
-    num_trees=50,
-    max_depth=10,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

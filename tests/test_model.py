@@ -44,3 +44,21 @@ def test_forest_scores(spark):
     assert sum(r.n for r in conf.collect()) == test.count()
     r = model.confusion_rates(scored, positive="N").first()
     assert r.accuracy == pytest.approx(1.0)
+
+
+def test_forest_in_batches_and_whole_registered_jobs(spark):
+    from homerange import registry
+
+    p = registry.PARAMS
+    assert p.elbow_ks == tuple(range(2, 51))
+    assert (p.num_trees, p.max_depth) == (model.NUM_TREES, 30)
+    data = [(i, "Y" if i % 3 == 0 else "N", float(i % 3), "a" if i % 3 == 0 else "b") for i in range(60)]
+    df = spark.createDataFrame(data, "business_id long, Highly_Liked string, x double, t string")
+    scored = model.grow_and_score(df, df, num_trees=7, max_depth=4, seed=3, batch_trees=3)
+    got = {r.business_id: r.prediction for r in scored.collect()}
+    assert got == {i: y for i, y, _, _ in data}
+
+
+def test_elbow_warns_of_a_fit_that_has_not_converged(spark, points):
+    with pytest.warns(UserWarning, match="k = 5"):
+        clusters.elbow(points, ks=[5], max_iter=1)
