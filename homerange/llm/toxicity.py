@@ -47,7 +47,8 @@ class Settings:
     from. ``cost``: what a token without evidence takes off the
     running score. ``max_evidence``: what one segment can add, so that one word said
     over and over does not decide alone; for the same reason a token's occurrences
-    after the first ``max_repeats`` count as tokens without evidence."""
+    after the first ``max_repeats`` add nothing to a passage (they cost nothing either).
+    What stands before a passage does not count for that."""
 
     max_labelled: int = 40_000
     max_features: int = 20_000
@@ -97,6 +98,39 @@ def maximal_segments(positions: list[int], scores: list[float], cost: float) ->
     return [(int(f), int(e), r - l) for f, e, l, r in found]
 
 
+def damped_segments(
+    words: list[str], positions: list[int], scores: list[float], cost: float, most: int
+) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """(scores that count, segments). Inside each maximal segment, occurrences of a
+    token after the first ``most`` add and cost nothing; counting starts anew where the
+    running score has come down to zero, so that nothing before a passage, nor another
+    passage, takes its tokens away."""
+    counted, found, k = [], [], 0
+    for _, last, _ in maximal_segments(positions, scores, cost):
+        at, total, skipped, before, seen = [], 0.0, 0, -1, {}
+        own, kept = {}, []
+        while k < len(positions) and positions[k] <= last:
+            x = positions[k] - skipped  # the place without the tokens passed over
+            total -= cost * (x - before - 1)
+            if total <= 0:
+                total, seen = 0.0, {}
+            w = words[positions[k]]
+            seen[w] = n = seen.get(w, 0) + 1
+            if n <= most:
+                total += scores[k]
+                before = x
+                own[x] = positions[k]
+                at.append(x)
+                kept.append(scores[k])
+            else:
+                skipped += 1
+                before = x - 1
+            k += 1
+        counted += kept
+        found += [(own[a], own[b], s) for a, b, s in maximal_segments(at, kept, cost)]
+    return counted, found
+
+
 class Scorer:
     """``scan(text)`` -> (number of tokens, scores of the positive ones, segments)."""
 
@@ -116,14 +150,10 @@ class Scorer:
         memo = self.memo.now
         memo.update((w, self.token(w)) for w in new)
         scores = list(map(memo.__getitem__, words))
-        positions, seen = [], {}
-        for i, s in enumerate(scores):
-            if s > 0:
-                seen[words[i]] = n = seen.get(words[i], 0) + 1
-                if n <= self.model.settings.max_repeats:
-                    positions.append(i)
+        positions = [i for i, s in enumerate(scores) if s > 0]
         hits = [scores[i] for i in positions]
-        return len(words), hits, maximal_segments(positions, hits, self.model.cost)
+        cost, most = self.model.cost, self.model.settings.max_repeats
+        return len(words), *damped_segments(words, positions, hits, cost, most)
 
     def evidence(self, n: int, segments: list[float]) -> float:
         """Sum of the segments' normalised scores, largest first, as long as they

@@ -45,6 +45,24 @@ def test_maximal_segments_hold_the_best_one():
         assert all(sum(plain[k : b + 1]) > 0 for k in range(a, b + 1))
 
 
+def test_early_hits_do_not_hide_a_late_passage():
+    bad = ["vile", "scum", "filth", "rot", "dung"]
+    scorer = toxicity.Scorer(toxicity.Model(scores=tuple((w, 5.0) for w in sorted(bad)), cost=2.0))
+    calm = ["calm"] * 60
+    early = [x for w in bad for _ in range(4) for x in [w, *calm]]
+    dense = [*bad, *bad]
+    text = " ".join([*early, *dense, *calm, *dense, *calm, *dense])
+    n, _, segments = scorer.scan(text)
+    full = [(a, b) for a, b, s in segments if s == 50.0]
+    start = len(early)
+    assert full == [(start + k * 70, start + k * 70 + 9) for k in range(3)] and n == start + 150
+    # one word over and over adds no more than twice within a passage
+    assert [s for _, _, s in scorer.scan("vile " * 50)[2]] == [10.0]
+    # two passages so close that the running score stays above zero
+    near = " ".join([*dense, *["calm"] * 20, *bad])
+    assert [s for _, _, s in scorer.scan(near)[2]] == [50.0, 25.0]
+
+
 PAGE = """<html><head><title>No</title></head><body><div class="top menu"><a href=x>Home</a> <a>About</a></div>
 <div class="cookie-notice"><p>We use cookies</p></div>%s<div id="sidebar">Side words here</div>
 <div class="comments"><p>First!</p></div><footer><p>&copy; us</p></footer><script>var x="</p><p>bad";</script></body>"""
