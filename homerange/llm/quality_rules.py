@@ -27,6 +27,7 @@ BOILERPLATE = (
     "all rights reserved",
     "copyright",
     "cookie",
+    "cookies",
     "click here",
     "enable javascript",
     "javascript is disabled",
@@ -42,12 +43,19 @@ BOILERPLATE = (
 )
 
 
+def _phrases(n_words: int) -> str:
+    """A pattern of the phrases of ``n_words`` words, not inside a longer word."""
+    phrases = [p for p in BOILERPLATE if len(p.split()) == n_words]
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(phrases) + r")(?![\p{L}\p{N}])"
+
+
 @dataclass(frozen=True)
 class Rules:
     """Thresholds. A document fails the base with fewer than ``min_words`` words
     or more than ``max_repeat_pct`` percent of them in repeated 8-word windows;
     it is rejected when the kept lines hold under ``min_kept_share`` of the
-    characters."""
+    characters. A line of up to ``boilerplate_words`` words is boilerplate if phrases
+    make up ``min_phrase_share`` of its words, so a sentence that holds one is not."""
 
     min_words: int = 20
     max_repeat_pct: int = 30
@@ -58,6 +66,7 @@ class Rules:
     min_distinct_share: float = 0.35
     menu_words: int = 3
     boilerplate_words: int = 30
+    min_phrase_share: float = 0.25
 
 
 def line_fails(line: Column, has_phrase: Column, r: Rules) -> Column:
@@ -69,9 +78,9 @@ def line_fails(line: Column, has_phrase: Column, r: Rules) -> Column:
     n = F.regexp_count(line, F.lit(WORD))
     separators = F.regexp_count(line, F.lit("[|»›•·>]"))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>{}\[\]=_~^\\]"))
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.lower(line).contains(p)
+    phrase = F.lit(0)
+    for k in sorted({len(p.split()) for p in BOILERPLATE}):
+        phrase = phrase + k * F.regexp_count(F.lower(line), F.lit(_phrases(k)))
     parts = F.split(line, " ", -1)
     capitals = (F.upper(line) == line) & (F.lower(line) != line)
     return (
@@ -79,7 +88,7 @@ def line_fails(line: Column, has_phrase: Column, r: Rules) -> Column:
         | ((symbols >= 3) & (symbols >= r.max_symbol_share * F.length(line)))
         | (capitals & (F.regexp_count(line, F.lit(r"\p{L}")) >= r.min_capitals))
         | ((F.size(parts) >= 10) & (F.size(F.array_distinct(parts)) < r.min_distinct_share * F.size(parts)))
-        | (has_phrase & phrase & (n <= r.boilerplate_words))
+        | (has_phrase & (n <= r.boilerplate_words) & (phrase > 0) & (phrase >= r.min_phrase_share * n))
         | (~line.rlike(r"[.!?…:;。！？][\"'”’»)\]*_\s]*$") & n.between(1, r.menu_words))
     )
 

@@ -92,3 +92,19 @@ def test_one_row_of_each_class_stays(spark):
     assert kept.filter("doc_id is null").count() == 1
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert sorted(ids) == sorted({v for v in found.values() if v is not None})
+
+
+def test_boilerplate_phrases_fill_their_line(spark):
+    clean = [
+        "The new design in the old hall was shown to all guests on a bright spring morning last year.",
+        "\n".join(["We bake ten cookies for every child in the village school.", "Her book treats copyright law since the first printed maps."] * 2),
+        "They design up to nine boats and spread more butter on the warm bread while they wait for rain to stop.",
+    ]
+    junk = ["Sign in", "Copyright 2020 Example Inc. All rights reserved.", "Click here to read more", "Cookie Policy | Terms of use"]
+    docs = spark.createDataFrame(
+        [(i, t) for i, t in enumerate(clean)] + [(9, "\n".join([clean[0], *junk, clean[2]]))], "doc_id long, text string"
+    )
+    got = {r.doc_id: r for r in quality_rules.judge(docs, rules=quality_rules.Rules(min_words=10)).collect()}
+    assert all(got[i].clean_text == t for i, t in enumerate(clean))
+    assert got[9].clean_text == "\n".join([clean[0], clean[2]])
+    assert got[0].kept and got[2].kept
