@@ -66,15 +66,18 @@ def learn(training: DataFrame, text_col: str, lang_col: str, s: Settings | None
     rows = training.select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")
     ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # distinct texts, so that copies of one do not crowd the others out (the estimate's
+    # error of some percent is far below the factor 2)
+    distinct = F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct).collect()}
     if not sizes:
         return {}
-    # a share of each language that gives some more than the wanted rows, chosen by
+    # a share of each language that gives some more than the wanted texts, chosen by
     # a hash of the text
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     wanted = F.lit(False)
     for lang, n in sizes.items():
-        share = min(1.0, 2.0 * s.sample_docs / n)
+        share = min(1.0, 2.0 * s.sample_docs / max(n, 1))
         wanted = wanted | ((F.col("lang") == lang) & (place <= int(share * (1 << 30))))
     drawn = rows.filter(wanted).select("lang", F.substring("text", 1, 2 * s.sample_chars).alias("text"))
     by_lang: dict[str, set[str]] = {lang: set() for lang in sizes}

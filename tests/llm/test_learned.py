@@ -18,6 +18,18 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_copies_do_not_crowd_out_training_texts(spark):
+    from homerange.llm import language_id
+
+    word = ["ka", "lo", "mi", "re", "su"]
+    texts = [" ".join(word[(i // 5**k) % 5] for k in range(4)) for i in range(40)]
+    data = [("xx", t) for t in texts] + [("xx", "the same line")] * 4000
+    model = language_id.learn(
+        spark.createDataFrame(data, "lang string, text string"), "text", "lang", language_id.Settings(sample_docs=30)
+    )
+    assert len(model["xx"].split(b"\n")) == 30
+
+
 def test_toxicity_ranks_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables hold six toxic held-out documents
     toxic = dict(duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall())
