@@ -292,11 +292,20 @@ def keep_one(
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     prints = materialize(fingerprints(frame, "text", shingle_words, keep=["id"]), "simhash")
     found = classes(prints, "id", max_distance)
-    first = prints.join(found, "simhash").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    stays = materialize(first.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("root")), "kept")
-    kept = docs.join(stays.filter("id is not null").select(F.col("id").alias(id_col)), id_col, "left_semi")
-    if stays.filter("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
+    placed = prints.join(found, "simhash").withColumn("first", F.col("id").eqNullSafe(F.col("component_id")))
+    # n: all rows of the id, so that one that comes more than once is settled row by row
+    per_id = placed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first"))
+    stays = materialize(per_id.filter("first").select("id", "n"), "kept")
+    once = stays.filter("id is not null and n = 1").select(F.col("id").alias(id_col))
+    kept = docs.join(once, id_col, "left_semi")
+    again = stays.filter("id is not null and n > 1").select(F.col("id").alias(id_col))
+    if again.limit(1).count():
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        rows = docs.join(again, id_col, "left_semi").select(whole)
+        rows = rows.select("row", F.col("row")[text_col].alias("text"))
+        rows = fingerprints(rows, "text", shingle_words, keep=["row"]).join(found, "simhash")
+        rows = rows.withColumn("id", F.col("row")[id_col]).filter(F.col("id") == F.col("component_id"))
+        kept = kept.unionByName(rows.dropDuplicates(["id", "root"]).select("row.*"))
     nameless = stays.filter("id is null").limit(1).count()
     if nameless:
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

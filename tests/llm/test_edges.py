@@ -108,3 +108,12 @@ def test_boilerplate_phrases_fill_their_line(spark):
     assert all(got[i].clean_text == t for i, t in enumerate(clean))
     assert got[9].clean_text == "\n".join([clean[0], clean[2]])
     assert got[0].kept and got[2].kept
+
+
+def test_repeated_ids_with_other_texts_keep_one_row_a_class(spark):
+    a = " ".join(f"alpha{i}" for i in range(60))
+    b = " ".join(f"beta{i}" for i in range(60))
+    c = " ".join(f"gamma{i}" for i in range(60))
+    data = [(1, a), (1, b), (1, a), (2, c), (3, a), (3, c), (4, b), (3, "some words of its own stand here")]
+    kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted([data[0], data[1], data[3], data[7]])
