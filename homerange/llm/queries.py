@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from homerange.llm import embedding_dedup, html_text, language_id, packing, quality_rules, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity
+from homerange.llm import (
+    conversation_repair,
+    embedding_dedup,
+    html_text,
+    language_id,
+    packing,
+    quality_rules,
+    sentence_pieces,
+    simhash,
+    subword_quality,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +42,11 @@ def queries() -> dict[str, Query]:
         "op8_sentence_pieces": sentence_pieces.query,
         "op9_html_text": html_text.query,
         "op10_token_counts": token_counts.query,
+        "op11_conversation_repair": conversation_repair.query,
+        "op12_subword_quality": subword_quality.query,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_conversation_repair": conversation_repair.ORACLE_SQL}
