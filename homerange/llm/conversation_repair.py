@@ -10,8 +10,10 @@ The search reads a conversation row by row. After each row at most four survivor
 left, one per state of the pattern: nothing yet, after s, after u, after a. They are the
 leaves of a tree of backpointers that counts references: a node nobody refers to goes,
 and as soon as all survivors share an ancestor, the edits up to it are certain and are
-emitted. So a task holds the unresolved rows of one conversation only, however long the
-conversation is.
+emitted. A survivor that another one can follow through to the end for less (or for the
+same and with an audit that sorts before) can never win and is dropped at once; without
+that, "nothing yet" would stay to the end as a path of deletions. So a task holds the
+unresolved rows of one conversation only, however long the conversation is.
 
 Ties are settled by the complete unresolved audits. Two survivors of one row have read
 the same number of rows, so neither audit is the beginning of the other, and they differ
@@ -57,6 +59,15 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 #: state -> {initial of the next role: next state}
 NEXT = {START: {"s": SYSTEM, "u": USER}, SYSTEM: {"u": USER}, USER: {"a": ASSISTANT}, ASSISTANT: {"u": USER}}
 ROLES = {"u": "user", "a": "assistant"}
+#: MIMIC[q][p]: whatever follows state p can follow state q at so much more at most: after
+#: an assistant the same rows may follow as at the start (a kept s is deleted instead) or
+#: after s; other states get there by inserting what is missing.
+MIMIC = {
+    START: {SYSTEM: 0, USER: INSERT, ASSISTANT: 0},
+    SYSTEM: {START: 2 * INSERT + DELETE, USER: INSERT, ASSISTANT: 2 * INSERT},
+    USER: {START: INSERT + DELETE, SYSTEM: INSERT, ASSISTANT: INSERT},
+    ASSISTANT: {START: DELETE, SYSTEM: 0, USER: INSERT},
+}
 LEGAL = {"su", "ua", "au"}
 
 
@@ -129,6 +140,13 @@ class Repair:
             if after not in best or key < best[after][0]:
                 best[after] = (key, held[2], edits, roles)
         order = sorted(best, key=lambda state: best[state][0][1:])
+        # (cost, rank) of what another survivor would end with in this one's place
+        worth = {state: (best[state][0][0], rank) for rank, state in enumerate(order)}
+        order = [
+            p
+            for p in order
+            if not any(q != p and (worth[q][0] + MIMIC[q][p], worth[q][1]) < worth[p] for q in order)
+        ]
         old = [leaf for _, _, leaf in self.survivors.values()]
         self.survivors = {}
         for rank, state in enumerate(order):

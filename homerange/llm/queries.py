@@ -12,6 +12,7 @@ from homerange.llm import (
     html_text,
     language_id,
     packing,
+    prefix_trie,
     quality_rules,
     sentence_pieces,
     simhash,
@@ -44,9 +45,13 @@ def queries() -> dict[str, Query]:
         "op10_token_counts": token_counts.query,
         "op11_conversation_repair": conversation_repair.query,
         "op12_subword_quality": subword_quality.query,
+        "op13_prefix_trie": prefix_trie.query,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_conversation_repair": conversation_repair.ORACLE_SQL}
+    return {
+        "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+        "op13_prefix_trie": prefix_trie.ORACLE_SQL,
+    }
