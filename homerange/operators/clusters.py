@@ -1,34 +1,169 @@
-"""Area clusters of local users."""
+"""Area clusters of local users (K13): k-means of many k at once, as a fixed point.
+
+The centres of all k are one small table (k, cluster, x, y): for k = 2..50 it has 1274
+rows, whatever the number of users. A round is one scan of the points for all k
+together: a task takes its points in Arrow batches, finds the nearest centre of each k
+and leaves one partial sum per centre, and the partial sums of all tasks make the next
+table. A k drops out when none of its centres has moved.
+
+Every step is defined to the last bit, so a plain SQL version gives the same centres:
+
+* starts: the distinct points in the order of the smallest md5(key, seed) that holds
+  them; k starts from the first k (all, if there are fewer);
+* distance: (x - cx)^2 + (y - cy)^2 in doubles; of equally near centres the first wins;
+* new centre: coordinates are summed exactly in units of 1e-10 degrees, so the result
+  depends neither on partitions nor on the order in which sums arrive;
+* a centre that no point is near to stays where it is.
+
+Points without both coordinates belong to no cluster.
+"""
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from homerange.session import ship
+
 # Fixed values of the analysis: six clusters, seed 1986, up to 1000 rounds.
 K = 6
 SEED = 1986
 MAX_ITER = 1000
 
 POINT = ("longitude_Centroid", "latitude_Centroid")
+#: Whole units of a coordinate, as in :func:`homerange.functions.exact_mean`.
+UNITS = 1e10
+#: Points between two partial sums of a task: 180 degrees in units, a million times, fit
+#: a 64-bit integer.
+SUM_ROWS = 1_000_000
+
+#: k -> coordinates of its centres, one row each.
+Centres = dict[int, np.ndarray]
+
+
+def _points(users: DataFrame, cols, key: str) -> DataFrame:
+    x, y = (F.col(f"`{c}`").cast("double") for c in cols)
+    points = users.select(F.col(f"`{key}`").alias("id"), x.alias("x"), y.alias("y"))
+    return points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+
+
+def starts(points: DataFrame, ks: Iterable[int], seed: int) -> Centres:
+    """The first centres of every k; at most the largest k of rows reach the driver."""
+    draw = F.md5(F.concat_ws("#", F.col("id").cast("string"), F.lit(str(seed))))
+    drawn = points.groupBy("x", "y").agg(F.min(draw).alias("draw")).orderBy("draw", "x", "y").limit(max(ks))
+    held = np.array([(r["x"], r["y"]) for r in drawn.collect()], dtype=np.float64).reshape(-1, 2)
+    return {k: held[:k] for k in ks}
+
 
+def _nearest(x: np.ndarray, y: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each point's nearest centre (the first of equals) and the squared distance."""
+    best = np.full(len(x), np.inf)
+    which = np.zeros(len(x), np.int64)
+    for c, (cx, cy) in enumerate(centres):
+        dx, dy = x - cx, y - cy
+        d = dx * dx + dy * dy
+        nearer = d < best
+        best[nearer] = d[nearer]
+        which[nearer] = c
+    return which, best
 
-def _points(users: DataFrame, cols=POINT) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="__xy", handleInvalid="skip").transform(users)
 
+def _round(points: DataFrame, centres: Centres) -> list:
+    """Rows (k, cluster, n, sx, sy, cost) over all points: one scan for all k."""
 
-def cluster_users(users: DataFrame, k: int = K, seed: int = SEED, max_iter: int = MAX_ITER, cols=POINT) -> DataFrame:
-    """K-means on the user centroids; each user with its cluster id.
-    The model is fitted by Spark ML (distributed Lloyd iterations, k-means||
-    start) and applied with ``transform``, which keeps the user id."""
-    pts = _points(users, cols)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__xy", predictionCol="cluster").fit(pts)
-    return model.transform(pts).select("user_id", *cols, "cluster")
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fresh() -> dict:
+            return {k: [np.zeros((len(c), 3), np.int64), np.zeros(len(c))] for k, c in centres.items()}
+
+        def pack(sums: dict) -> pa.RecordBatch:
+            k = np.concatenate([np.full(len(c), k, np.int32) for k, c in centres.items()])
+            cluster = np.concatenate([np.arange(len(c), dtype=np.int32) for c in centres.values()])
+            whole = np.concatenate([s for s, _ in sums.values()])
+            cost = np.concatenate([c for _, c in sums.values()])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in (k, cluster, whole[:, 0], whole[:, 1], whole[:, 2], cost)],
+                names=["k", "cluster", "n", "sx", "sy", "cost"],
+            )
+
+        sums, rows = fresh(), 0
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            # half away from zero, as Spark and SQL round
+            ux, uy = (np.copysign(np.floor(np.abs(v * UNITS) + 0.5), v).astype(np.int64) for v in (x, y))
+            for k, c in centres.items():
+                which, best = _nearest(x, y, c)
+                whole, cost = sums[k]
+                whole[:, 0] += np.bincount(which, minlength=len(c))
+                np.add.at(whole[:, 1], which, ux)
+                np.add.at(whole[:, 2], which, uy)
+                cost += np.bincount(which, best, minlength=len(c))
+            rows += len(x)
+            if rows >= SUM_ROWS:
+                yield pack(sums)
+                sums, rows = fresh(), 0
+        if rows:
+            yield pack(sums)
+
+    parts = points.select("x", "y").mapInArrow(partial, "k int, cluster int, n long, sx long, sy long, cost double")
+    exact = "decimal(38,0)"
+    sums = [F.sum(F.col(c).cast(exact)).alias(c) for c in ("n", "sx", "sy")]
+    return parts.groupBy("k", "cluster").agg(*sums, F.sum("cost").alias("cost")).collect()
+
+
+def fixed_point(points: DataFrame, ks: Iterable[int], seed: int, max_iter: int) -> tuple[Centres, dict[int, float]]:
+    """Centres and cost of every k after at most ``max_iter`` rounds. Centres only (their
+    number is the sum of the k) pass through the driver. A k that still moves after the
+    last round gives a warning."""
+    ship(points.sparkSession)
+    ks = sorted(set(ks))
+    moving, done, cost = starts(points, ks, seed), {}, {}
+    if not moving or not len(moving[ks[0]]):
+        return {k: np.zeros((0, 2)) for k in ks}, {}
+    for turn in range(max_iter + 1):
+        after = {k: c.copy() for k, c in moving.items()}
+        total = dict.fromkeys(moving, 0.0)
+        for r in _round(points, moving):
+            total[r["k"]] += r["cost"]
+            if r["n"]:
+                n = float(r["n"])
+                after[r["k"]][r["cluster"]] = (float(r["sx"]) / UNITS / n, float(r["sy"]) / UNITS / n)
+        cost |= total
+        still = {k for k, c in after.items() if not np.array_equal(c, moving[k])}
+        done |= {k: c for k, c in moving.items() if k not in still or turn == max_iter}
+        if turn == max_iter:
+            for k in sorted(still):
+                warnings.warn(f"k-means with k = {k} has not converged in {max_iter} rounds", stacklevel=3)
+        moving = {k: after[k] for k in sorted(still)}
+        if not moving or turn == max_iter:
+            break
+    return done, cost
+
+
+def cluster_users(
+    users: DataFrame, k: int = K, seed: int = SEED, max_iter: int = MAX_ITER, cols=POINT, key: str = "user_id"
+) -> DataFrame:
+    """Each user with its centroid and its cluster, 0 to k - 1 in the order of the
+    starts. The assignment is one expression over the k centres."""
+    points = _points(users, cols, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centres, _ = fixed_point(points, [k], seed, max_iter)
+    finally:
+        points.unpersist()
+    x, y = (F.col(f"`{c}`").cast("double") for c in cols)
+    placed = users.filter(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    far = [
+        F.struct(((x - F.lit(cx)) * (x - F.lit(cx)) + (y - F.lit(cy)) * (y - F.lit(cy))).alias("d"), F.lit(c).alias("c"))
+        for c, (cx, cy) in enumerate(centres[k].tolist())
+    ]
+    nearest = F.array_min(F.array(*far))["c"] if far else F.lit(None).cast("int")
+    return placed.select(key, *cols, nearest.alias("cluster"))
 
 
 def total_sse(users: DataFrame, cols=POINT) -> DataFrame:
@@ -40,24 +175,20 @@ def total_sse(users: DataFrame, cols=POINT) -> DataFrame:
 
 
 def elbow(
-    users: DataFrame, ks: Iterable[int] = range(2, 51), seed: int = SEED, max_iter: int = MAX_ITER, cols=POINT
+    users: DataFrame,
+    ks: Iterable[int] = range(2, 51),
+    seed: int = SEED,
+    max_iter: int = MAX_ITER,
+    cols=POINT,
+    key: str = "user_id",
 ) -> DataFrame:
-    """Within-cluster sum of squares for each k (k = 1 from
-    :func:`total_sse`, Spark's k-means needs k >= 2). Each k is one model
-    fit on the executors; only the (k, cost) pairs come back. A fit that has not
-    converged after ``max_iter`` rounds gives a warning."""
-    pts = _points(users, cols).select("__xy").persist()
-    rows = []
+    """Within-cluster sum of squares for each k (k = 1 from :func:`total_sse`). All k
+    share each scan of the points; only centres and costs come back."""
+    points = _points(users, cols, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for k in ks:
-            if k < 2:
-                continue
-            model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__xy").fit(pts)
-            if model.summary.numIter >= max_iter:
-                warnings.warn(f"k-means with k = {k} has not converged in {max_iter} rounds", stacklevel=2)
-            rows.append((int(k), float(model.summary.trainingCost)))
+        _, cost = fixed_point(points, [k for k in ks if k >= 2], seed, max_iter)
     finally:
-        pts.unpersist()
+        points.unpersist()
     spark = SparkSession.getActiveSession() or users.sparkSession
-    fitted = spark.createDataFrame(rows, "k int, wss double")
+    fitted = spark.createDataFrame(sorted(cost.items()), "k int, wss double")
     return total_sse(users, cols).unionByName(fitted)

@@ -31,7 +31,7 @@ def _order(names) -> list[str]:
         if n in out:
             return
         for d in _CTE[n][0]:
-            visit(d)
+            visit(d)  # a recursive one names itself in its body only
         out.append(n)
 
     for n in names:
@@ -44,7 +44,7 @@ def sql(select: str, *needs: str) -> str:
     if not names:
         return select
     ctes = ",\n".join(f"{n} AS (\n{_CTE[n][1]}\n)" for n in names)
-    return f"WITH {ctes}\n{select}"
+    return f"WITH RECURSIVE {ctes}\n{select}"
 
 
 def _round(expr: str, digits: int = DIGITS) -> str:
@@ -351,6 +351,51 @@ FROM (SELECT Highly_Liked, CASE WHEN attributes_Wi_Fi = 'free' THEN 'Y' ELSE 'N'
       FROM split WHERE split = 'test')""",
 )
 
+# ------------------------------------------------------------- clusters
+# k-means of all k as one recursion: a k is carried on while one of its centres moves.
+_cte(
+    "km_points",
+    ("local_users",),
+    """SELECT user_id, longitude_Centroid AS x, latitude_Centroid AS y,
+  CAST(round(longitude_Centroid * 1e10::DOUBLE) AS BIGINT) AS ux,
+  CAST(round(latitude_Centroid * 1e10::DOUBLE) AS BIGINT) AS uy
+FROM local_users WHERE longitude_Centroid IS NOT NULL AND latitude_Centroid IS NOT NULL""",
+)
+_cte(
+    "km_starts",
+    ("km_points",),
+    """SELECT x, y, row_number() OVER (ORDER BY draw, x, y) - 1 AS c
+FROM (SELECT x, y, min(md5(CAST(user_id AS VARCHAR) || '#1986')) AS draw FROM km_points GROUP BY x, y)""",
+)
+_cte(
+    "km_rounds",
+    ("km_points", "km_starts"),
+    """SELECT k, c, x, y, 0 AS turn, TRUE AS moved
+FROM km_starts CROSS JOIN (SELECT unnest(range(2, 51)) AS k) WHERE c < k
+UNION ALL
+SELECT k, c, nx, ny, turn + 1, bool_or(nx <> x OR ny <> y) OVER (PARTITION BY k)
+FROM (
+  SELECT k, c, any_value(cx) AS x, any_value(cy) AS y, any_value(turn) AS turn,
+    CASE WHEN count_if(near) = 0 THEN any_value(cx)
+         ELSE CAST(sum(CASE WHEN near THEN ux END) AS DOUBLE) / 1e10::DOUBLE / count_if(near) END AS nx,
+    CASE WHEN count_if(near) = 0 THEN any_value(cy)
+         ELSE CAST(sum(CASE WHEN near THEN uy END) AS DOUBLE) / 1e10::DOUBLE / count_if(near) END AS ny
+  FROM (
+    SELECT s.k, s.c, s.x AS cx, s.y AS cy, s.turn, p.ux, p.uy,
+      row_number() OVER (PARTITION BY s.k, p.user_id
+        ORDER BY (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.c) = 1 AS near
+    FROM km_rounds s CROSS JOIN km_points p WHERE s.moved AND s.turn < 1000)
+  GROUP BY k, c)""",
+)
+_cte(
+    "km_nearest",
+    ("km_points", "km_rounds"),
+    """SELECT s.k, p.user_id, p.x, p.y, min((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d,
+  arg_min(s.c, {'d': (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), 'c': s.c})::INTEGER AS cluster
+FROM (SELECT * FROM km_rounds QUALIFY turn = max(turn) OVER (PARTITION BY k)) s CROSS JOIN km_points p
+GROUP BY ALL""",
+)
+
 # ----------------------------------------------------------- stats
 _cte(
     "cells",
@@ -428,6 +473,22 @@ FROM business_ratings""",
 FROM local_users""",
         "local_users",
     )
+    q["elbow_curve"] = sql(
+        f"""{q["elbow_k1"][q["elbow_k1"].rindex("SELECT 1 AS k"):]}
+UNION ALL
+SELECT CAST(k AS INTEGER) AS k, {_round("sum(d)")} AS wss FROM km_nearest GROUP BY k""",
+        "km_nearest",
+    )
+    q["user_clusters"] = sql(
+        f"""SELECT user_id, {_round("x")} AS "longitude_Centroid", {_round("y")} AS "latitude_Centroid", cluster
+FROM km_nearest WHERE k = 6""",
+        "km_nearest",
+    )
+    q["local_reviews_clustered"] = sql(
+        "SELECT r.*, n.cluster FROM local_reviews r LEFT JOIN km_nearest n ON n.user_id = r.user_id AND n.k = 6",
+        "local_reviews",
+        "km_nearest",
+    )
     for name in ("category_edges", "restaurants", "co_categories", "category_vocabulary"):
         q[name] = sql(f"SELECT * FROM {name}", name)
     q["category_flags"] = sql(
