@@ -8,8 +8,10 @@ table. A k drops out when none of its centres has moved.
 
 Every step is defined to the last bit, so a plain SQL version gives the same centres:
 
-* starts: the distinct points in the order of the smallest md5(key, seed) that holds
-  them; k starts from the first k (all, if there are fewer);
+* starts: distinct points are drawn in the order of the smallest md5(key, seed) that holds
+  them, :data:`START_POINTS` at most; the first one drawn is the first start, and the next
+  is always the one farthest from those before (of equals the first drawn). k starts from
+  the first k of these (all, if there are fewer);
 * distance: (x - cx)^2 + (y - cy)^2 in doubles; of equally near centres the first wins;
 * new centre: coordinates are summed exactly in units of 1e-10 degrees, so the result
   depends neither on partitions nor on the order in which sums arrive;
@@ -37,6 +39,8 @@ SEED = 1986
 MAX_ITER = 1000
 
 POINT = ("longitude_Centroid", "latitude_Centroid")
+#: Drawn points that starts are picked from.
+START_POINTS = 1000
 #: Whole units of a coordinate, as in :func:`homerange.functions.exact_mean`.
 UNITS = 1e10
 #: Points between two partial sums of a task: 180 degrees in units, a million times, fit
@@ -54,11 +58,16 @@ def _points(users: DataFrame, cols, key: str) -> DataFrame:
 
 
 def starts(points: DataFrame, ks: Iterable[int], seed: int) -> Centres:
-    """The first centres of every k; at most the largest k of rows reach the driver."""
+    """The first centres of every k; the drawn points only reach the driver."""
     draw = F.md5(F.concat_ws("#", F.col("id").cast("string"), F.lit(str(seed))))
-    drawn = points.groupBy("x", "y").agg(F.min(draw).alias("draw")).orderBy("draw", "x", "y").limit(max(ks))
+    drawn = points.groupBy("x", "y").agg(F.min(draw).alias("draw")).orderBy("draw", "x", "y").limit(START_POINTS)
     held = np.array([(r["x"], r["y"]) for r in drawn.collect()], dtype=np.float64).reshape(-1, 2)
-    return {k: held[:k] for k in ks}
+    picked, far = [], np.full(len(held), np.inf)
+    while len(picked) < max(ks) and len(held) and far.max() > 0:
+        picked.append(int(np.argmax(far)))
+        dx, dy = held[:, 0] - held[picked[-1], 0], held[:, 1] - held[picked[-1], 1]
+        far = np.minimum(far, dx * dx + dy * dy)
+    return {k: held[picked[:k]] for k in ks}
 
 
 def _nearest(x: np.ndarray, y: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

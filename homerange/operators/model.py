@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+import re
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark import StorageLevel
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homerange.operators import dictionary
 from homerange.session import materialize
 
 # Fixed values of the analysis: 60 % of each class for training, the seeds
@@ -22,10 +26,12 @@ FOREST_SEED = 1950
 NUM_TREES = 5000
 #: Trees grown at a time by :func:`grow_and_score`: the driver holds no more.
 BATCH_TREES = 500
+#: Batches grown side by side: while one waits for its driver, another has the executors.
+BATCHES_AT_ONCE = 2
 
 _BUCKET_HEX = 5  # 16**5 = 1,048,576 hash buckets per class
-#: Most values that a text feature may have.
-MAX_CATEGORIES = 10_000
+#: Widest text feature that trees split by sets of values; wider ones are ordered by label share.
+NOMINAL_VALUES = 1000
 
 
 def split_hash(key: str, seed: int) -> F.Column:
@@ -77,69 +83,158 @@ def stratified_split(
     return j.select(*out_cols, F.when(train, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
-def forest_estimator(
-    df: DataFrame,
+@dataclass(frozen=True)
+class Encoder:
+    """How rows become feature vectors: text columns through their dictionary (a table, see
+    :mod:`homerange.operators.dictionary`), numbers as they are, 0 where missing."""
+
+    features: tuple[str, ...]
+    codes: DataFrame | None
+    sizes: dict[str, int]
+    nominal: frozenset[str]
+    labels: tuple[str, ...]
+
+    def transform(self, df: DataFrame, *keep: str) -> DataFrame:
+        """The columns ``keep`` and ``__features``."""
+        out = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *self.features])])
+        if self.codes is not None:
+            out = dictionary.encode(out, self.codes, self.sizes, "__idx_")
+        inputs = []
+        for c in self.features:
+            name = f"__idx_{c}" if c in self.sizes else c
+            # a missing number is 0, as the analysis fills its frame
+            value = F.coalesce(F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(0.0)), F.lit(0.0))
+            if c in self.nominal:
+                # one more value than the dictionary has: values not seen in training
+                attribute = {"ml_attr": {"type": "nominal", "num_vals": self.sizes[c] + 1, "name": name}}
+                out = out.withColumn(name, value.alias(name, metadata=attribute))
+            else:
+                out = out.withColumn(name, value)
+            inputs.append(name)
+        vectors = VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="keep").transform(out)
+        return vectors.select(*keep, "__features")
+
+    def widest(self) -> int:
+        return max((self.sizes[c] + 1 for c in self.nominal), default=2)
+
+
+def fit_encoder(
+    train: DataFrame,
     label: str = "Highly_Liked",
     exclude=("business_id", "split"),
+    nominal_values: int = NOMINAL_VALUES,
+) -> Encoder:
+    """Dictionaries of the text features, and the classes (their number, not the data's,
+    bounds what reaches the driver). A column of up to ``nominal_values`` values is nominal: a
+    tree may send any set of them left. A forest needs a bin per nominal value, so a wider
+    column is coded in the order of its values' share of the last class, and the trees cut that
+    order; for two classes the best cut of a node's values is one of the order by share."""
+    features = tuple(f.name for f in train.schema.fields if f.name not in exclude and f.name != label)
+    text = [f.name for f in train.schema.fields if f.name in features and isinstance(f.dataType, T.StringType)]
+    labels = tuple(r[0] for r in train.select(label).distinct().filter(F.col(label).isNotNull()).orderBy(label).collect())
+    if not text:
+        return Encoder(features, None, {}, frozenset(), labels)
+    codes = dictionary.dictionary_codes(train, text)
+    sizes = dict.fromkeys(text, 0) | {r["column_name"]: r["size"] for r in dictionary.sizes(codes).collect()}
+    wide = [c for c in text if sizes[c] > nominal_values]
+    if wide:
+        last = F.col(label) == F.lit(labels[-1]) if labels else F.lit(False)
+        ordered = dictionary.dictionary_codes(train, wide, share_of=last)
+        codes = codes.filter(~F.col("column_name").isin(wide)).unionByName(ordered)
+    return Encoder(features, codes, sizes, frozenset(text) - frozenset(wide), labels)
+
+
+def _histogram_mb(spark: SparkSession) -> int:
+    """Memory for a round of split statistics: an eighth of the smaller of the driver's and an
+    executor's, 256 to 2048 MB."""
+
+    def size(key: str) -> float:
+        m = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(key, "1g").lower())
+        return int(m[1]) * {"k": 2**-10, "": 2**-20, "m": 1, "g": 2**10, "t": 2**20}[m[2]] if m else 1024
+
+    local = spark.sparkContext.master.startswith("local")
+    held = size("spark.driver.memory")
+    return int(min(2048, max(256, (held if local else min(held, size("spark.executor.memory"))) / 8)))
+
+
+def forest_estimator(
+    encoder: Encoder,
     num_trees: int = NUM_TREES,
     max_depth: int = 30,
     seed: int = FOREST_SEED,
     features_per_split: str | None = None,
     max_bins: int = 32,
-) -> Pipeline:
-    """Index text features and the label, assemble, fit a forest. Text
-    columns are categorical (string indexed, unseen values kept); numbers
-    are used as they are. ``max_depth`` 30 is Spark's cap (the analysis grows
-    trees fully); ``max_bins`` must exceed the largest number of categories."""
-    feats = [f for f in df.schema.fields if f.name not in exclude and f.name != label]
-    stages = []
-    text = [f.name for f in feats if isinstance(f.dataType, T.StringType)]
-    if text:  # one job for all text columns
-        indexed = [f"__idx_{c}" for c in text]
-        stages.append(StringIndexer(inputCols=text, outputCols=indexed, handleInvalid="keep"))
-    inputs = [f"__idx_{f.name}" if f.name in text else f.name for f in feats]
-    stages.append(StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc"))
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="keep"))
-    stages.append(
-        RandomForestClassifier(
-            labelCol="__label",
-            featuresCol="__features",
-            numTrees=num_trees,
-            maxDepth=max_depth,
-            maxBins=max_bins,
-            # the whole part of the square root, at least 1 (Spark's "sqrt" rounds up)
-            featureSubsetStrategy=features_per_split or str(max(1, math.isqrt(len(feats)))),
-            seed=seed,
-        )
+    histogram_mb: int = 256,
+) -> RandomForestClassifier:
+    """The forest over encoded rows. ``max_depth`` 30 is Spark's cap (the analysis grows
+    trees fully). Node ids are kept per row, so a round does not walk the trees again."""
+    return RandomForestClassifier(
+        labelCol="__label",
+        featuresCol="__features",
+        numTrees=num_trees,
+        maxDepth=max_depth,
+        maxBins=max(max_bins, encoder.widest()),
+        # the whole part of the square root, at least 1 (Spark's "sqrt" rounds up)
+        featureSubsetStrategy=features_per_split or str(max(1, math.isqrt(max(1, len(encoder.features))))),
+        seed=seed,
+        maxMemoryInMB=histogram_mb,
+        cacheNodeIds=True,
     )
-    return Pipeline(stages=stages)
-
-
-def _prepare(train: DataFrame, label: str, **kw) -> tuple[PipelineModel, VectorAssembler, RandomForestClassifier]:
-    """Fitted indexers, assembler and unfitted forest of :func:`forest_estimator`. The indexers are fitted first (one job for
-    the features, one for the label) so that ``maxBins`` can be set above the
-    widest categorical feature. A text column of more than ``MAX_CATEGORIES``
-    values is no category; it is an error, found before any value is gathered."""
-    text = [f.name for f in train.schema.fields if isinstance(f.dataType, T.StringType) and f.name != label]
-    text = [c for c in text if c not in ("business_id", "split")]
-    if text:
-        sizes = train.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in text]).first().asDict()
-        wide = {c: n for c, n in sizes.items() if n > MAX_CATEGORIES}
-        if wide:
-            raise ValueError(f"too many categories for a forest feature: {wide}")
-    pipe = forest_estimator(train, label=label, **kw)
-    stages = pipe.getStages()
-    indexers = Pipeline(stages=stages[:-2]).fit(train)
-    widest = max((len(labels) + 1 for m in indexers.stages for labels in m.labelsArray), default=2)
-    forest = stages[-1].copy().setMaxBins(max(kw.get("max_bins", 32), widest))
-    return indexers, stages[-2], forest
-
-
-def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> PipelineModel:
-    """Fit :func:`forest_estimator` in one piece (see :func:`_prepare`)."""
-    indexers, assembler, forest = _prepare(train, label, **kw)
-    rest = Pipeline(stages=[assembler, forest]).fit(indexers.transform(train))
-    return PipelineModel(stages=list(indexers.stages) + list(rest.stages))
+
+
+def _training_rows(train: DataFrame, encoder: Encoder, label: str) -> DataFrame:
+    """Encoded labelled rows, prepared once for all trees: written, spread over the cores and
+    held in memory (a lost executor costs a re-read)."""
+    spark = train.sparkSession
+    number = F.array_position(F.array(*[F.lit(x) for x in encoder.labels]), F.col(label)) - 1
+    rows = encoder.transform(train.filter(F.col(label).isNotNull()), label)
+    rows = materialize(rows.select(number.cast("double").alias("__label"), "__features"), "forest_rows")
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+
+
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest with its encoder."""
+
+    encoder: Encoder
+    trees: RandomForestClassificationModel | None
+
+
+def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> Forest:
+    """Encode and fit in one piece (for forests whose trees fit the driver; see
+    :func:`grow_and_score`). With fewer than two classes there is nothing to fit."""
+    encoder = fit_encoder(train, label)
+    if len(encoder.labels) < 2:
+        return Forest(encoder, None)
+    rows = _training_rows(train, encoder, label)
+    try:
+        return Forest(encoder, forest_estimator(encoder, histogram_mb=_histogram_mb(train.sparkSession), **kw).fit(rows))
+    finally:
+        rows.unpersist()
+
+
+def _votes(forest: Forest, rows: DataFrame, *keep: str) -> DataFrame:
+    """Votes per class of encoded rows, as exact decimals so that sums do not depend on order."""
+    raw = vector_to_array("rawPrediction")
+    return forest.trees.transform(rows).select(*keep, F.transform(raw, lambda v: v.cast("decimal(28,12)")).alias("__v"))
+
+
+def _winner(encoder: Encoder, votes: Column) -> Column:
+    """Of equal votes the first label, as in the forest's own prediction."""
+    place = F.array_position(votes, F.array_max(votes))
+    return F.element_at(F.array(*[F.lit(x) for x in encoder.labels]), place.cast("int"))
+
+
+def score(forest: Forest, test: DataFrame, label: str = "Highly_Liked", key: str = "business_id") -> DataFrame:
+    """Predicted label per held-out row (``prediction`` as the label text; the only label
+    there is, or NULL, where nothing was fitted). The true label is no input."""
+    if forest.trees is None:
+        only = F.lit(forest.encoder.labels[0] if forest.encoder.labels else None).cast("string")
+        return test.select(key, label, only.alias("prediction"))
+    scored = _votes(forest, forest.encoder.transform(test, key, label), key, label)
+    return scored.select(key, label, _winner(forest.encoder, F.col("__v")).alias("prediction"))
 
 
 def grow_and_score(
@@ -150,40 +245,38 @@ def grow_and_score(
     num_trees: int = NUM_TREES,
     seed: int = FOREST_SEED,
     batch_trees: int = BATCH_TREES,
+    batches_at_once: int = BATCHES_AT_ONCE,
     **kw,
 ) -> DataFrame:
     """Predicted label per held-out row by a forest of ``num_trees`` trees, grown
-    ``batch_trees`` at a time (batch i with seed ``seed + i``). Each batch leaves its
-    votes per row and class, whose sums over the batches are the whole forest's; so
-    memory does not follow the number of trees. ``key`` must be unique."""
-    indexers, assembler, forest = _prepare(train, label, seed=seed, **kw)
-    labels = next(m for m in indexers.stages if m.isSet(m.outputCol) and m.getOutputCol() == "__label").labels
-    known = assembler.transform(indexers.transform(train)).select("__label", "__features")
-    # the label is no input of the prediction: rows with a label never seen in training stay
-    unseen = assembler.transform(PipelineModel(stages=[m for m in indexers.stages if not m.isSet(m.outputCol)]).transform(test))
-    unseen = unseen.select(key, label, "__features")
-    votes = None
-    for i, start in enumerate(range(0, num_trees, batch_trees)):
-        grown = forest.copy().setNumTrees(min(batch_trees, num_trees - start)).setSeed(seed + i).fit(known)
-        scored = grown.transform(unseen).select(key, label, vector_to_array("rawPrediction").alias("__v"))
-        scored = materialize(scored, "forest_votes")
-        votes = scored if votes is None else votes.unionByName(scored)
-    sums = [F.sum(F.get("__v", F.lit(c))).alias(f"__{c}") for c in range(len(labels))]
+    ``batch_trees`` at a time (batch i with seed ``seed + i``), ``batches_at_once`` batches side by
+    side. Rows are encoded once and held for all batches. Each batch leaves its votes per row and
+    class, whose sums over the batches are the whole forest's; so memory does not follow the number
+    of trees. ``key`` must be unique."""
+    encoder = fit_encoder(train, label)
+    if len(encoder.labels) < 2:
+        return score(Forest(encoder, None), test, label, key)
+    known = _training_rows(train, encoder, label)
+    unseen = materialize(encoder.transform(test, key, label), "forest_unseen")
+    histogram_mb = max(256, _histogram_mb(train.sparkSession) // batches_at_once)
+
+    def grow(i: int) -> DataFrame:
+        trees = min(batch_trees, num_trees - i * batch_trees)
+        estimator = forest_estimator(encoder, num_trees=trees, seed=seed + i, histogram_mb=histogram_mb, **kw)
+        return materialize(_votes(Forest(encoder, estimator.fit(known)), unseen, key, label), "forest_votes")
+
+    try:
+        with ThreadPoolExecutor(batches_at_once) as pool:
+            grown = list(pool.map(grow, range(-(-num_trees // batch_trees))))
+    finally:
+        known.unpersist()
+    votes = grown[0]
+    for more in grown[1:]:
+        votes = votes.unionByName(more)
+    sums = [F.sum(F.get("__v", F.lit(c))).alias(f"__{c}") for c in range(len(encoder.labels))]
     total = votes.groupBy(key, label).agg(*sums)
-    best = F.greatest(*[F.col(f"__{c}") for c in range(len(labels))]) if len(labels) > 1 else F.col("__0")
-    # of equal sums the first label, as in the forest's own prediction
-    prediction = F.coalesce(*[F.when(F.col(f"__{c}") == best, F.lit(x)) for c, x in enumerate(labels)])
-    return total.select(key, label, prediction.alias("prediction"))
-
-
-def score(model: PipelineModel, test: DataFrame, label: str = "Highly_Liked", key: str = "business_id") -> DataFrame:
-    """Predicted label per held-out row (``prediction`` as the label
-    text)."""
-    indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
-    label_model = next(s for s in indexers if s.isSet(s.outputCol) and s.getOutputCol() == "__label")
-    to_text = IndexToString(inputCol="prediction", outputCol="__pred", labels=label_model.labels)
-    scored = to_text.transform(model.transform(test))
-    return scored.select(key, label, F.col("__pred").alias("prediction"))
+    each = F.array(*[F.col(f"__{c}") for c in range(len(encoder.labels))])
+    return total.select(key, label, _winner(encoder, each).alias("prediction"))
 
 
 def confusion(scored: DataFrame, label: str = "Highly_Liked", prediction: str = "prediction") -> DataFrame:

@@ -362,11 +362,19 @@ _cte(
 FROM local_users WHERE longitude_Centroid IS NOT NULL AND latitude_Centroid IS NOT NULL""",
 )
 _cte(
-    "km_starts",
+    "km_picks",
     ("km_points",),
-    """SELECT x, y, row_number() OVER (ORDER BY draw, x, y) - 1 AS c
-FROM (SELECT x, y, min(md5(CAST(user_id AS VARCHAR) || '#1986')) AS draw FROM km_points GROUP BY x, y)""",
+    """SELECT o, x, y, 'Infinity'::DOUBLE AS far, 0 AS c, o = 1 AS pick
+FROM (SELECT x, y, row_number() OVER (ORDER BY draw, x, y) AS o
+      FROM (SELECT x, y, min(md5(CAST(user_id AS VARCHAR) || '#1986')) AS draw FROM km_points GROUP BY x, y))
+WHERE o <= 1000
+UNION ALL
+SELECT o, x, y, far, c + 1, far > 0 AND row_number() OVER (ORDER BY far DESC, o) = 1
+FROM (SELECT o, x, y, c, least(far, (x - px) * (x - px) + (y - py) * (y - py)) AS far
+      FROM (SELECT *, max(CASE WHEN pick THEN x END) OVER () AS px, max(CASE WHEN pick THEN y END) OVER () AS py
+            FROM km_picks WHERE c < 49))""",
 )
+_cte("km_starts", ("km_picks",), "SELECT x, y, c FROM km_picks WHERE pick")
 _cte(
     "km_rounds",
     ("km_points", "km_starts"),
@@ -500,6 +508,14 @@ FROM km_nearest WHERE k = 6""",
     q["nzv_profile"] = sql(rounded("nzv_profile", ["freqRatio", "percentUnique"]), "nzv_profile")
     q["imputed_hours"] = sql("SELECT * FROM imputed", "imputed")
     q["stratified_split"] = sql("SELECT * FROM split", "split")
+    q["dictionary_codes"] = sql(
+        """SELECT column_name, value, count(*) AS n,
+  row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) - 1 AS code
+FROM (SELECT 'attributes_Wi_Fi' AS column_name, attributes_Wi_Fi AS value FROM imputed
+      UNION ALL SELECT 'attributes_Brand', attributes_Brand FROM imputed)
+WHERE value IS NOT NULL GROUP BY column_name, value""",
+        "imputed",
+    )
     q["confusion_rates"] = sql(
         f"""SELECT tp + fn + fp + tn AS n, tp, fn, fp, tn,
   ((round((CASE WHEN tp + fn + fp + tn > 0 THEN (tp + tn) / (tp + fn + fp + tn) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS accuracy,

@@ -16,9 +16,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from homerange.session import materialize
-from homerange.operators import categories, clusters, features, geo, model, ratings, stats, visits
+from homerange.operators import categories, clusters, dictionary, features, geo, model, ratings, stats, visits
 from homerange.sources import standin
 from homerange.sources.reviews import flatten, sample_head
 
@@ -245,6 +246,12 @@ class LocalMarket:
         return features.impute_hours(self.drop_nzv)
 
     # ----------------------------------------------------- model
+    @cached_property
+    def dictionary_codes(self) -> DataFrame:
+        df = self.imputed_hours
+        text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != "Highly_Liked"]
+        return dictionary.dictionary_codes(df, text)
+
     @cached_property
     def stratified_split(self) -> DataFrame:
         return _keep(
@@ -256,14 +263,20 @@ class LocalMarket:
         split = self.stratified_split
         train = split.filter(F.col("split") == "train").drop("split")
         test = split.filter(F.col("split") == "test").drop("split")
-        return model.grow_and_score(
+        scored = model.grow_and_score(
             train, test, num_trees=self.p.num_trees, max_depth=self.p.max_depth, seed=self.p.forest_seed
         )
+        return _keep(scored, "forest_scores")
 
     @cached_property
     def confusion(self) -> DataFrame:
         return model.confusion(self.forest_scores)
 
+    @cached_property
+    def forest_rates(self) -> DataFrame:
+        """The analysis' accuracy, sensitivity and specificity: of the forest."""
+        return model.confusion_rates(self.forest_scores, positive="N")
+
     @cached_property
     def rule_scores(self) -> DataFrame:
         """A fixed rule (free Wi-Fi -> liked) on the held-out rows, so the

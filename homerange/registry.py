@@ -88,8 +88,10 @@ MARKET_QUERIES = [
     "drop_nzv",
     "imputed_hours",
     "stratified_split",
+    "dictionary_codes",
     "forest_scores",
     "confusion",
+    "forest_rates",
     "confusion_rates",
     "share_five_star",
     "wifi_values",
@@ -116,5 +118,27 @@ def _long(name: str) -> Query:
     return run
 
 
+# Three questions about one forest: it is grown once per session and scale.
+FOREST_QUERIES = ["forest_scores", "confusion", "forest_rates"]
+_grown: dict[tuple[str, str], LocalMarket] = {}
+
+
+def _forest(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in _grown:
+            _grown[key] = _market(spark, sf_dir)
+        return round_doubles(getattr(_grown[key], name))
+
+    run.__name__ = name
+    return run
+
+
+def _query(name: str) -> Query:
+    if name in FOREST_QUERIES:
+        return _forest(name)
+    return _long(name) if name in LONG_QUERIES else _attr(name)
+
+
 def queries() -> dict[str, Query]:
-    return {name: _long(name) if name in LONG_QUERIES else _attr(name) for name in MARKET_QUERIES}
+    return {name: _query(name) for name in MARKET_QUERIES}
