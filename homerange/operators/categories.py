@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homerange.functions import contains_ci, safe_name
+from homerange.operators import patterns
+from homerange.session import materialize
 
 # Fixed value of the analysis: the category text that marks a restaurant.
 RESTAURANT = "Restaurant"
@@ -48,50 +50,54 @@ def category_vocabulary(co: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary_terms(vocabulary: DataFrame, max_terms: int = 1000) -> list[str]:
-    """The vocabulary as a sorted list, to fix the columns of the flag frame.
-
-    This is the only place a result reaches the driver: a list of distinct
-    category names, bounded by ``max_terms`` (it becomes one column each; at
-    most ``max_terms + 1`` names are fetched)."""
-    rows = vocabulary.orderBy("category").limit(max_terms + 1).collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"more than {max_terms} categories; pass a vocabulary or raise max_terms")
-    return [r["category"] for r in rows]
-
-
 def flag_name(term: str, prefix: str = "category_") -> str:
     return safe_name(prefix + term)
 
 
-def category_flags(
-    co: DataFrame,
-    terms: list[str] | None = None,
-    exact: bool = False,
-    max_terms: int = 1000,
-) -> DataFrame:
-    """One row per business, one 0/1 column per vocabulary term: 1 when
-    any of the business' co-categories contains the term (ignoring case), or
-    equals it with ``exact=True``.
-
-    Substring matching is the analysis' rule: "food" also flags "Seafood"
-    and "Fast Food". One aggregate with map-side partial maxima; no join.
-    Terms whose column names coincide after :func:`safe_name` share a column.
-    """
+def _flag_column(term: Column, prefix: str = "category_") -> Column:
+    """:func:`flag_name` as an expression."""
+    return F.btrim(F.regexp_replace(F.concat(F.lit(prefix), term), "[^0-9A-Za-z]+", "_"), F.lit("_"))
+
+
+def _vocabulary(co: DataFrame, terms: list[str] | None) -> DataFrame:
     if terms is None:
-        terms = vocabulary_terms(category_vocabulary(co), max_terms)
-    by_name: dict[str, list[str]] = {}
-    for t in terms:
-        by_name.setdefault(flag_name(t), []).append(t)
-    cat = F.col("categories")
-    norm = F.lower(F.trim(cat))
-    aggs = []
-    for name, ts in sorted(by_name.items()):
-        hit = None
-        for t in ts:
-            h = (norm == F.lit(t.lower())) if exact else contains_ci(cat, t)
-            hit = h if hit is None else (hit | h)
-        aggs.append(F.max(F.when(hit, F.lit(1)).otherwise(F.lit(0))).alias(name))
-    if not aggs:
-        return co.select("business_id").distinct()
-    return co.groupBy("business_id").agg(*aggs)
+        return category_vocabulary(co)
+    spark = co.sparkSession
+    return spark.createDataFrame([(t.lower(),) for t in terms], "category string").distinct()
+
+
+def category_hits(co: DataFrame, vocabulary: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """K21 in long form: (business_id, column_name) for every vocabulary term that any of the
+    business' co-categories contains (ignoring case), or equals with ``exact=True``.
+
+    Substring matching is the analysis' rule: "food" also flags "Seafood" and "Fast Food". The
+    distinct categories meet the vocabulary through a q-gram index
+    (:mod:`homerange.operators.patterns`), so there is no bound on the number of terms, no
+    vocabulary on the driver and no nested loop. Terms whose column names coincide after
+    :func:`safe_name` share a column."""
+    terms = (category_vocabulary(co) if vocabulary is None else vocabulary).select("category")
+    if exact:
+        named = terms.select(F.col("category").alias("low"), _flag_column(F.col("category")).alias("column_name"))
+        edges = co.select("business_id", F.lower(F.trim("categories")).alias("low"))
+        return edges.join(named, "low").select("business_id", "column_name").distinct()
+    table = terms.select("category", patterns.containing(F.col("category")).alias("pattern"))
+    found = patterns.like_join(co, table, text_col="categories").join(table, "pattern")
+    named = found.select(F.col("text").alias("categories"), _flag_column(F.col("category")).alias("column_name")).distinct()
+    return co.select("business_id", "categories").join(named, "categories").select("business_id", "column_name").distinct()
+
+
+def category_flags(co: DataFrame, terms: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """One row per business, one 0/1 column per vocabulary term (see
+    :func:`category_hits`), for the model.
+
+    The names of the columns are the frame's schema; they are the only thing that reaches the
+    driver, here and nowhere before."""
+    vocabulary = materialize(_vocabulary(co, terms), "vocabulary")
+    hits = category_hits(co, vocabulary, exact)
+    names = sorted(r[0] for r in vocabulary.select(_flag_column(F.col("category"))).distinct().collect())
+    businesses = co.select("business_id").distinct()
+    if not names:
+        return businesses
+    wide = hits.groupBy("business_id").pivot("column_name", names).agg(F.first(F.lit(1)))
+    flags = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in names]
+    return businesses.join(wide, "business_id", "left").select("business_id", *flags)

@@ -499,6 +499,16 @@ FROM km_nearest WHERE k = 6""",
     )
     for name in ("category_edges", "restaurants", "co_categories", "category_vocabulary"):
         q[name] = sql(f"SELECT * FROM {name}", name)
+    q["category_hits"] = sql("SELECT business_id, name AS column_name FROM flag_long WHERE flag = 1", "flag_long")
+    q["category_patterns"] = sql(
+        """SELECT t.text, p.pattern
+FROM (SELECT DISTINCT categories AS text FROM category_edges WHERE categories IS NOT NULL) t
+JOIN (SELECT DISTINCT unnest(['%' || category || '%', left(category, 2) || '_' || substr(category, 4),
+                              left(category, 2) || '%', '%' || right(category, 1) || '_']) AS pattern
+      FROM category_vocabulary) p ON lower(t.text) LIKE p.pattern""",
+        "category_edges",
+        "category_vocabulary",
+    )
     q["category_flags"] = sql(
         "SELECT business_id, name AS column_name, CAST(flag AS VARCHAR) AS value FROM flag_long", "flag_long"
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homerange.session import materialize
-from homerange.operators import categories, clusters, dictionary, features, geo, model, ratings, stats, visits
+from homerange.operators import categories, clusters, dictionary, features, geo, model, patterns, ratings, stats, visits
 from homerange.sources import standin
 from homerange.sources.reviews import flatten, sample_head
 
@@ -213,6 +213,27 @@ class LocalMarket:
     def category_vocabulary(self) -> DataFrame:
         return categories.category_vocabulary(self.co_categories)
 
+    @cached_property
+    def category_hits(self) -> DataFrame:
+        return categories.category_hits(self.co_categories)
+
+    @cached_property
+    def pattern_table(self) -> DataFrame:
+        """Patterns of every kind made from the vocabulary: the term anywhere, its third letter
+        open, its first two letters, its last letter before one more character."""
+        v = F.col("category")
+        kinds = [
+            patterns.containing(v),
+            F.concat(F.substring(v, 1, 2), F.lit("_"), F.expr("substring(category, 4)")),
+            F.concat(F.substring(v, 1, 2), F.lit("%")),
+            F.concat(F.lit("%"), F.expr("right(category, 1)"), F.lit("_")),
+        ]
+        return self.category_vocabulary.select(F.explode(F.array(*kinds)).alias("pattern")).distinct()
+
+    @cached_property
+    def category_patterns(self) -> DataFrame:
+        return patterns.like_join(self.category_edges, self.pattern_table, text_col="categories")
+
     @cached_property
     def category_flags(self) -> DataFrame:
         return categories.category_flags(self.co_categories)

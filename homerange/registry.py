@@ -80,6 +80,8 @@ MARKET_QUERIES = [
     "restaurants",
     "co_categories",
     "category_vocabulary",
+    "category_hits",
+    "category_patterns",
     "category_flags",
     "feature_frame",
     "missing_profile",

@@ -56,3 +56,11 @@ def test_hot_user_path_matches_duckdb(spark, duck_small, name):
 
     ok, msg = check(spark, SF_SMALL, name, q, SQL[name], duck_small)
     assert ok, msg
+
+
+def test_missing_training_operators_leave_the_rest(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "homerange.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(E.queries()) == set(QUERIES) and set(E.oracle_sql()) == set(SQL)
