@@ -561,6 +561,47 @@ GROUP BY tl, tr, bl, br""",
     flat = f"""SELECT business_id, longitude, latitude, city, state, hrs, wifi AS "attributes.Wi-Fi",
   brand AS "attributes.Brand", konst AS "attributes.konst", rare AS "attributes.rare",
   mostly AS "attributes.mostly" FROM business"""
+    paths = ("business_id", "city", "categories", "hrs", *(f"attributes.{c}" for c in ("Wi-Fi", "Brand", "konst", "rare", "mostly")))
+    stored = {"attributes.Wi-Fi": "wifi"} | {f"attributes.{c}": c.lower() for c in ("Brand", "konst", "rare", "mostly")}
+    q["json_leaves"] = sql(
+        "\nUNION ALL ".join(
+            f"SELECT '{p}' AS path, count({stored.get(p, p)}) AS n FROM business WHERE business_id % 13 <> 0" for p in paths
+        ),
+        "business",
+    )
+    q["json_flat"] = sql(
+        "SELECT business_id, city, hrs, "
+        + ", ".join(f'{c} AS "{p}"' for p, c in stored.items())
+        + " FROM business WHERE business_id % 13 <> 0",
+        "business",
+    )
+    q["json_quarantine"] = sql("SELECT count(*) AS bad_lines FROM business WHERE business_id % 13 = 0", "business")
+    q["businesses_in_circles"] = sql(
+        f"""SELECT circle_id, business_id, {_round("distance")} AS distance
+FROM (SELECT c.circle_id, b.business_id, c.radius,
+        sqrt(pow(b.longitude - c.cx, 2) + pow(b.latitude - c.cy, 2)) AS distance
+      FROM business b CROSS JOIN (
+        SELECT city AS circle_id, {_mean("longitude")} AS cx, {_mean("latitude")} AS cy,
+          CASE WHEN CAST(string_split(city, '_')[2] AS INTEGER) % 2 = 0 THEN 0.3623188::DOUBLE ELSE 0.1630435::DOUBLE END AS radius
+        FROM business GROUP BY city) c)
+WHERE distance < radius""",
+        "business",
+    )
+    q["rating_quantiles_by_city"] = sql(
+        f"""SELECT city, prob, {_round("value")} AS value
+FROM (SELECT b.city, unnest([0.8, 0.85, 0.9, 0.95, 0.99]::DOUBLE[]) AS prob,
+        unnest(quantile_cont(r.AVG_stars, [0.8, 0.85, 0.9, 0.95, 0.99]::DOUBLE[])) AS value
+      FROM business_ratings r JOIN business b ON b.business_id = r.business_id GROUP BY b.city)""",
+        "business_ratings",
+        "business",
+    )
+    q["star_quantiles_by_user"] = sql(
+        f"""SELECT user_id, prob, {_round("value")} AS value
+FROM (SELECT user_id, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS prob,
+        unnest(quantile_cont(stars::DOUBLE, [0.25, 0.5, 0.75]::DOUBLE[])) AS value
+      FROM review GROUP BY user_id)""",
+        "review",
+    )
     q["flatten_nested"] = sql(rounded(f"({flat})", ["longitude", "latitude"]), "business")
     q["sample_head"] = sql(
         rounded(f"({flat} ORDER BY business_id LIMIT 10)", ["longitude", "latitude"]), "business"

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homerange.functions import exact_mean
 from homerange.session import materialize
-from homerange.operators import categories, clusters, dictionary, features, geo, model, patterns, ratings, stats, visits
-from homerange.sources import standin
+from homerange.operators import categories, circles, clusters, dictionary, features, geo, model, patterns, ratings, stats, visits
+from homerange.operators.quantiles import grouped_quantiles
+from homerange.sources import standin, variant
 from homerange.sources.reviews import flatten, sample_head
 
 
@@ -139,6 +141,21 @@ class LocalMarket:
     def businesses_in_radius(self) -> DataFrame:
         return geo.businesses_in_radius(self.business, **self._radius())
 
+    @cached_property
+    def city_circles(self) -> DataFrame:
+        """A circle around the centre of every city's businesses, wider where the city's number is
+        even."""
+        centre = [exact_mean("longitude").alias("cx"), exact_mean("latitude").alias("cy")]
+        cities = self.business.groupBy("city").agg(*centre)
+        even = F.substring_index("city", "_", -1).cast("int") % 2 == 0
+        radius = F.when(even, F.lit(self.p.radius_deg)).otherwise(F.lit(self.p.local_spread_deg))
+        return cities.select(F.col("city").alias("circle_id"), "cx", "cy", radius.alias("radius"))
+
+    @cached_property
+    def businesses_in_circles(self) -> DataFrame:
+        points = self.business.select("business_id", "longitude", "latitude")
+        return circles.within_circles(points, self.city_circles).select("circle_id", "business_id", "distance")
+
     @cached_property
     def tight_users(self) -> DataFrame:
         return visits.tight_users(self.users_in_radius, self.p.local_spread_deg, self.p.n_sd)
@@ -169,6 +186,17 @@ class LocalMarket:
     def rating_quantiles(self) -> DataFrame:
         return ratings.rating_summary(self.business_ratings)
 
+    @cached_property
+    def rating_quantiles_by_city(self) -> DataFrame:
+        """Quantiles of the businesses' mean ratings in every city."""
+        placed = self.business_ratings.join(self.business.select("business_id", "city"), "business_id")
+        return grouped_quantiles(placed, ["city"], "AVG_stars", ratings.RATING_QUANTILE_PROBS)
+
+    @cached_property
+    def star_quantiles_by_user(self) -> DataFrame:
+        """Quartiles of the stars that every reviewer gave."""
+        return grouped_quantiles(self.review, ["user_id"], "stars", (0.25, 0.5, 0.75))
+
     @cached_property
     def highly_liked(self) -> DataFrame:
         return _keep(ratings.flag_highly_liked(self.business_ratings, self.p.liked_prob), "highly_liked")
@@ -336,6 +364,30 @@ class LocalMarket:
     def flatten_nested(self) -> DataFrame:
         return flatten(self.business.drop("categories"))
 
+    @cached_property
+    def json_lines(self) -> DataFrame:
+        """Businesses as JSON text: missing attributes are left out, every 13th line is cut short."""
+        text = F.to_json(F.struct("business_id", "city", "categories", "hrs", "attributes"))
+        cut = F.col("business_id") % 13 == 0
+        lines = self.business.select(text.alias("line"), cut.alias("cut"))
+        return lines.select(F.expr("CASE WHEN cut THEN left(line, length(line) - 7) ELSE line END").alias("line"))
+
+    @cached_property
+    def json_records(self) -> DataFrame:
+        return variant.parse(self.json_lines)
+
+    @cached_property
+    def json_leaves(self) -> DataFrame:
+        return variant.leaf_counts(self.json_records)
+
+    @cached_property
+    def json_flat(self) -> DataFrame:
+        return variant.spread(self.json_records).drop("categories")
+
+    @cached_property
+    def json_quarantine(self) -> DataFrame:
+        return variant.quarantine(self.json_records).agg(F.count(F.lit(1)).alias("bad_lines"))
+
     @cached_property
     def sample_head(self) -> DataFrame:
         return sample_head(self.flatten_nested, "business_id", 10)

@@ -65,12 +65,15 @@ MARKET_QUERIES = [
     "businesses_by_city",
     "users_in_radius",
     "businesses_in_radius",
+    "businesses_in_circles",
     "tight_users",
     "unique_visits",
     "local_users",
     "local_reviews",
     "business_ratings",
     "rating_quantiles",
+    "rating_quantiles_by_city",
+    "star_quantiles_by_user",
     "highly_liked",
     "elbow_k1",
     "elbow_curve",
@@ -102,6 +105,9 @@ MARKET_QUERIES = [
     "association_2x2",
     "flatten_nested",
     "sample_head",
+    "json_leaves",
+    "json_flat",
+    "json_quarantine",
 ]
 
 
