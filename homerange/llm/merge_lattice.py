@@ -23,7 +23,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 NONE = np.int64(1 << 40)  # rank of a pair that never merges
 #: Longer words take the scalar pass.
 LONG = 48
-_SLOTS = 1 << 20
+_SLOTS = 1 << 21
+_PIECE_BITS, _PAIR_BITS = 17, 20
 
 
 class Lattice:
@@ -46,6 +47,7 @@ class Lattice:
         ids = np.fromiter(merges.values(), dtype=np.int64, count=len(merges))
         order = np.argsort(keys)
         self.pair_keys, self.pair_ids = keys[order], ids[order]
+        self.pair_seen = self._seen(self.pair_keys * BASE, _PAIR_BITS)
         self.by_symbols = {p: i for i, p in enumerate(pieces) if p}
         self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -60,6 +62,8 @@ class Lattice:
             if len(np.unique(h)) != len(h):
                 raise ValueError("two pieces share a hash")
         self.longest = max(self.lengths)
+        # most probes find nothing: a small table of hash beginnings turns them away
+        self.seen = {m: self._seen(keys, _PIECE_BITS) for m, (keys, _) in self.lengths.items()}
         powers = [1]
         for _ in range(self.longest + 1):
             powers.append(powers[-1] * int(BASE) % (1 << 64))
@@ -67,6 +71,12 @@ class Lattice:
         self.memo_key = np.full(_SLOTS, np.uint64(2**64 - 1), dtype=np.uint64)
         self.memo_ok = np.zeros(_SLOTS, dtype=bool)
 
+    @staticmethod
+    def _seen(hashes: np.ndarray, bits: int) -> np.ndarray:
+        table = np.zeros(1 << bits, dtype=bool)
+        table[hashes >> np.uint64(64 - bits)] = True
+        return table
+
     @staticmethod
     def _hashes(symbols: np.ndarray) -> np.ndarray:
         """Polynomial hashes of all prefixes of each row (modulo 2**64)."""
@@ -78,8 +88,12 @@ class Lattice:
     # ------------------------------------------------- which pairs stay apart
     def _merged_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.uint64) * self.n + b.astype(np.uint64)
+        out = np.full(len(key), NONE)
+        maybe = np.flatnonzero(self.pair_seen[(key * BASE) >> np.uint64(64 - _PAIR_BITS)])
+        key = key[maybe]
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.rank[self.pair_ids[at]], NONE)
+        out[maybe] = np.where(self.pair_keys[at] == key, self.rank[self.pair_ids[at]], NONE)
+        return out
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair: does no merge cross the border between the tokens?
@@ -110,14 +124,14 @@ class Lattice:
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """:meth:`_apart` through a direct-mapped memo of fixed size."""
         key = left.astype(np.uint64) * self.n + right.astype(np.uint64)
-        slot = ((key * BASE) >> np.uint64(44)).astype(np.int64)
+        slot = ((key * BASE) >> np.uint64(43)).astype(np.int64)
         ok = self.memo_ok[slot]
         miss = np.nonzero(self.memo_key[slot] != key)[0]
         if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
             got = self._apart((new // self.n).astype(np.int64), (new % self.n).astype(np.int64))
             ok[miss] = got[back]
-            at = ((new * BASE) >> np.uint64(44)).astype(np.int64)
+            at = ((new * BASE) >> np.uint64(43)).astype(np.int64)
             self.memo_key[at], self.memo_ok[at] = new, got
         return ok
 
@@ -136,12 +150,17 @@ class Lattice:
                     continue
                 keys, ids = self.lengths[m]
                 sub = h[open_rows, i] - h[open_rows, i - m] * self.powers[m]
+                maybe = np.flatnonzero(self.seen[m][sub >> np.uint64(64 - _PIECE_BITS)])
+                if not len(maybe):
+                    continue
+                sub = sub[maybe]
                 at = np.searchsorted(keys, sub)
                 at[at == len(keys)] = 0
-                hit = np.nonzero(keys[at] == sub)[0]
-                if not len(hit):
+                found = np.flatnonzero(keys[at] == sub)
+                if not len(found):
                     continue
-                rows, token = open_rows[hit], ids[at[hit]]
+                hit = maybe[found]
+                rows, token = open_rows[hit], ids[at[found]]
                 if i > m:
                     fits = self.apart(last[rows, i - m], token)
                     hit, rows, token = hit[fits], rows[fits], token[fits]
@@ -198,6 +217,23 @@ class Lattice:
                     out[k] = last[r], count[r]
         return out
 
+    def encode_rows(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of equal-length words, at the right end of each row, and the number of
+        tokens of each: all rows go back along their backpointers together."""
+        last, count = self.forward(symbols)
+        n, size = symbols.shape
+        out = np.zeros((n, size), dtype="<u4")
+        rows, at = np.arange(n), np.full(n, size)
+        column = size - 1
+        while len(rows):
+            token = last[rows, at]
+            out[rows, column] = token
+            at = at - sizes[token]
+            more = at > 0
+            rows, at = rows[more], at[more]
+            column -= 1
+        return out, count[:, size]
+
     def tokens(self, last: np.ndarray, sizes: np.ndarray) -> list[int]:
         """The token ids of a whole word, back along the backpointers."""
         at, found = len(last) - 1, []

@@ -15,6 +15,7 @@ lost task is repeated, since the pieces are made straight from the scan.
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -29,28 +30,26 @@ from homerange.llm.token_counts import vocabulary_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 4096
-#: Distinct chunks that a Python worker remembers (see Memo).
-MEMO = 220_000
+#: Distinct words that a Python worker remembers (see Memo).
+MEMO = 400_000
 
-# Text in which chunks between white space can be encoded one by one with the same
-# result as the whole text: no control characters that only one of the libraries
-# takes for white space, and no character from U+0300 on except general
-# punctuation, so that composition never crosses a chunk.
+# Text whose words can be found and encoded one by one with the same result as the whole
+# text: no control characters that only one of the libraries takes for white space, and no
+# character from U+0300 on except general punctuation, so that composition changes nothing.
 PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-˿‐-‧‰-⁞]*+")
-
-
-# Marks that may stand around a word without being part of one: no apostrophe, which
-# can begin a word of its own, and none of the special tokens' characters.
-MARKS = "\"#$%&()*+,-./:;=?@[\\]^_`{}~!"
+# The vocabulary's word pattern (an ending, a run of letters, one digit, a run
+# of anything else but white space), with letters, numbers and white space as far as PLAIN goes.
+_LETTERS, _NUMBERS, _WHITE = "a-zA-Zªµºß-öø-ˁˆ-ˑˠ-ˤˬˮÀ-ÖØ-Þ", "0-9²³¹¼½¾", " \t\n\x0b\x0c\r\xa0"
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
 #: Words that the library gets in one string.
 TOGETHER = 2000
 
 
 class Encoder:
-    """``encode(texts)``: little-endian 32-bit ids, as the library gives them. White
-    space only separates words in this vocabulary, so a text's ids are those of its
-    chunks; each distinct chunk is put together from its word of letters and the marks
-    around it, and each distinct word goes through the library once."""
+    """``encode(texts)``: little-endian 32-bit ids, as the library gives them. The
+    vocabulary cuts a text into words by a pattern before anything else, so a text's ids
+    are those of its words; each distinct word goes through the library once. Texts with
+    other characters, or with what could be a special token, go through it whole."""
 
     def __init__(self, path: str):
         # one thread: Spark gives each task its own core, and the library's threads
@@ -62,16 +61,14 @@ class Encoder:
         vocab = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks = Memo(MEMO)
-        self.words = Memo(MEMO // 2)
+        self.words = Memo(MEMO)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: many in one string, cut after the tokens that end a
-        word."""
+        """Ids of words: many in one string, cut after the tokens that end a word."""
         out: list[bytes] = []
         groups = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
         for group, e in zip(
@@ -88,41 +85,19 @@ class Encoder:
             out += [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        bare = [c for c in chunks if c.isalpha()]
-        odd, plain, marks, letters = [], [], set(), set(map(str.lower, bare))
-        for c in chunks:
-            if c.isalpha():
-                continue
-            word = c.strip(MARKS)
-            if not word.isalpha():
-                odd.append(c)
-                continue
-            at = c.index(word)
-            low = word.lower()
-            before, after = c[:at], c[at + len(word) :]
-            plain.append((c, before, low, after))
-            letters.add(low)
-            marks.update((before, after))
-        new = self.words.missing(letters)
-        known = self.words.now
-        known.update(zip(new, self._word_ids(new), strict=True))
-        rest = [*odd, *marks]
-        found = dict(zip(rest, self._ids(rest), strict=True))
-        self.chunks.now.update((c, known[c.lower()]) for c in bare)
-        self.chunks.now.update((c, found[c]) for c in odd)
-        self.chunks.now.update((c, found[x] + known[w] + found[y]) for c, x, w, y in plain)
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         # the vocabulary ignores case, special tokens do not
-        cut = [(t if "<|" in t else t.lower()).split() if t and PLAIN.fullmatch(t) else None for t in texts]
-        new = self.chunks.missing(set(chain.from_iterable(c for c in cut if c)))
+        cut = [
+            (WORDS.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None) if t else ()
+            for t in texts
+        ]
+        new = self.words.missing(set(chain.from_iterable(c for c in cut if c)))
         if new:
-            self._learn(new)
-        odd = [k for k, (t, cs) in enumerate(zip(texts, cut, strict=True)) if t and cs is None]
+            self.words.now.update(zip(new, self._word_ids(new), strict=True))
+        odd = [k for k, cs in enumerate(cut) if cs is None]
         whole = dict(zip(odd, self._ids([texts[k] for k in odd]), strict=True)) if odd else {}
-        get = self.chunks.now.__getitem__
-        return [whole[k] if k in whole else b"".join(map(get, cs or ())) for k, cs in enumerate(cut)]
+        get = self.words.now.__getitem__
+        return [whole[k] if cs is None else b"".join(map(get, cs)) for k, cs in enumerate(cut)]
 
 
 def worker_encoder(path: str) -> Encoder:

@@ -20,6 +20,7 @@ replaced). A U+2581 in the text decodes to a space, as the library does.
 
 from __future__ import annotations
 
+import codecs
 import re
 from functools import lru_cache
 from itertools import chain
@@ -30,14 +31,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homerange.llm.common import Memo, append_columns, read, worker_object
-from homerange.llm.merge_lattice import Lattice, build
+from homerange.llm.merge_lattice import LONG, Lattice, build
 from homerange.llm.token_counts import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct words that a Python worker remembers (see Memo).
-MEMO = 200_000
+MEMO = 350_000
+#: Words of one length that advance together at a time.
+STEP_WORDS = 100_000
+
+
+def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
+    """One replacement character for every byte that is part of no character."""
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+codecs.register_error("each byte", _each_byte)
 
 
 @lru_cache(maxsize=2)
@@ -81,25 +92,48 @@ class Codec:
     def __init__(self, path: str):
         self.lattice, self.symbol, self.pieces, self.byte_of, self.first_byte, self.sizes = piece_lattice(path)
         self.unknown_id = len(self.pieces)
-        self.table = np.array([p.replace(SPACE, " ") for p in self.pieces], dtype=object)
+        self.table = np.empty(len(self.pieces), dtype=object)
+        self.table[:] = [
+            bytes([b]) if b >= 0 else p.replace(SPACE, " ").encode()
+            for p, b in zip(self.pieces, self.byte_of.tolist(), strict=True)
+        ]
+        # symbol of every code point
+        self.symbol_of = np.full(0x110000, len(self.symbol), dtype=np.int32)
+        self.symbol_of[[ord(c) for c in self.symbol]] = list(self.symbol.values())
         self.words = Memo(MEMO)
 
     def _learn(self, words: list[str]) -> None:
-        get, unknown = self.symbol.get, len(self.symbol)
-        rows = [tuple([get(c, unknown) for c in w]) for w in words]
-        for w, (last, _) in zip(words, self.lattice.solve(rows), strict=True):
-            ids = self.lattice.tokens(last, self.sizes)
-            if self.unknown_id in ids:
-                full, at = [], 0
-                for i in ids:
-                    if i == self.unknown_id:
-                        full += [self.first_byte + b for b in w[at].encode("utf-8", "replace")]
-                        at += 1
-                    else:
-                        full.append(i)
-                        at += int(self.sizes[i])
-                ids = full
-            self.words.now[w] = np.array(ids, dtype="<u4").tobytes()
+        known = self.words.now
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for size, group in by_length.items():
+            if size > LONG:
+                for w in group:
+                    symbols = tuple(self.symbol_of[np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4")].tolist())
+                    known[w] = self._spell(w, self.lattice.tokens(self.lattice.forward_long(symbols)[0], self.sizes))
+                continue
+            for a in range(0, len(group), STEP_WORDS):
+                part = group[a : a + STEP_WORDS]
+                code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4")
+                ids, count = self.lattice.encode_rows(self.symbol_of[code].reshape(len(part), size), self.sizes)
+                raw, ends = ids.tobytes(), (4 * size * np.arange(1, len(part) + 1)).tolist()
+                starts = (4 * (size * np.arange(1, len(part) + 1) - count)).tolist()
+                known.update(zip(part, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
+                for r in np.flatnonzero((ids == self.unknown_id).any(axis=1)).tolist():
+                    known[part[r]] = self._spell(part[r], ids[r, size - count[r] :].tolist())
+
+    def _spell(self, word: str, ids: list[int]) -> bytes:
+        """Ids with the byte pieces of the characters that the vocabulary lacks."""
+        full, at = [], 0
+        for i in ids:
+            if i == self.unknown_id:
+                full += [self.first_byte + b for b in word[at].encode("utf-8", "replace")]
+                at += 1
+            else:
+                full.append(i)
+                at += int(self.sizes[i])
+        return np.array(full, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -110,34 +144,19 @@ class Codec:
         return [b"".join(map(self.words.now.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids: bytes) -> str:
-        """The text of little-endian ids: byte pieces in a row are read as UTF-8,
-        and the space put before the text is taken off."""
-        out, run = [], bytearray()
-        for i in np.frombuffer(ids, dtype="<u4").tolist():
-            if self.byte_of[i] >= 0:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.pieces[i])
-        out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        """The text of little-endian ids: all pieces in UTF-8, byte pieces as their byte, read
+        at once (a broken run of bytes ends where the next piece begins, since no piece begins
+        inside a character); the space put before the text is taken off."""
+        a = np.frombuffer(ids, dtype="<u4")
+        text = b"".join(self.table[a].tolist()).decode("utf-8", "each byte")
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        # a space that came as a byte piece belongs to the text
+        return text[1:] if text.startswith(" ") and self.byte_of[a[0]] < 0 else text
 
     def decode_words(self, ids: list[bytes]) -> list[str]:
-        """:meth:`decode` of many id sequences. Texts repeat their pieces, so the
-        pieces are joined from one table; only sequences with byte pieces go the
-        slow way."""
-        table, out = self.table, []
-        for b in ids:
-            a = np.frombuffer(b, dtype="<u4")
-            if (self.byte_of[a] >= 0).any():
-                out.append(self.decode(b))
-            else:
-                text = "".join(table[a].tolist())
-                out.append(text[1:] if text.startswith(" ") else text)
-        return out
+        """:meth:`decode` of many id sequences."""
+        return [self.decode(b) for b in ids]
 
 
 def worker_codec(path: str) -> Codec:
