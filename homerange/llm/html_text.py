@@ -112,10 +112,22 @@ NAME_WORD = re.compile(r"[a-z]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class Element:
+    """An open element: its name, the element around it, whether it is the outermost of its
+    name, and whether it is a heading or stands in one. Blocks share these links, so what a
+    block stands in costs nothing to keep, however deep it is."""
+
+    __slots__ = ("name", "parent", "outermost", "heading", "number")
+
+    def __init__(self, name: str, parent: Element | None, outermost: bool, number: int):
+        self.name, self.parent, self.outermost, self.number = name, parent, outermost, number
+        self.heading = name in HEADINGS or (parent is not None and parent.heading)
+
+
 @dataclass
 class Block:
     """A run of text. ``tags``: names of the tags since the block before; ``inside``:
-    the elements it stands in; ``content``: inside an element that marks content.
+    the innermost element it stands in; ``content``: inside an element that marks content.
     ``doubt``: 1 inside an element whose name may be one of furniture, 2 if that element
     holds most of the page's words. ``marked``: number of the outermost element of each
     content mark (1 and 2) around it, 0 for none."""
@@ -123,7 +135,7 @@ class Block:
     text: str
     n_words: int
     tags: list[str]
-    inside: tuple[str, ...]
+    inside: Element | None
     content: int
     furniture: bool
     doubt: int = 0
@@ -192,13 +204,18 @@ def _kind(name: str, raw: str, in_content: bool) -> tuple[bool, int, int]:
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
-    # name, in furniture, content mark, named elements around it (places in ``named``),
-    # outermost marked elements
-    stack: list[tuple[str, bool, int, tuple[int, ...], tuple[int, int]]] = []
-    n_marked = 0
+    # name, in furniture, content mark, innermost named element (its place in ``named``, or
+    # -1), outermost marked elements, element
+    stack: list[tuple[str, bool, int, int, tuple[int, int], Element | None]] = []
+    outside = ("", False, 0, -1, (0, 0), None)
+    # open elements by name: all, and those since each open SCOPE element (with its name)
+    count: dict[str, int] = {}
+    frames: list[tuple[str, dict[str, int]]] = [("", {})]
+    n_marked = n_elements = 0
     unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
-    named: list[list[int]] = []  # how sure its name is one of furniture, its words
-    around: list[tuple[int, ...]] = []  # named elements around each block
+    # named elements: how sure its name is one of furniture, its words, the named one around
+    named: list[list[int]] = []
+    around: list[int] = []  # innermost named element around each block
     held: list[str] = []
     tags: list[str] = []
     page = page or ""
@@ -208,16 +225,21 @@ def blocks(page: str | None) -> list[Block]:
             words = html_lib.unescape("".join(held)).split()
             held.clear()
             if words:
-                top = stack[-1] if stack else ("", False, 0, (), (0, 0))
-                out.append(Block(" ".join(words), len(words), tags.copy(), tuple(x[0] for x in stack), top[2], top[1], 0, top[4]))
+                top = stack[-1] if stack else outside
+                out.append(Block(" ".join(words), len(words), tags.copy(), top[5], top[2], top[1], 0, top[4]))
                 around.append(top[3])
-                if not top[1]:
-                    for k in top[3]:
-                        named[k][1] += len(words)
+                if not top[1] and top[3] >= 0:
+                    named[top[3]][1] += len(words)
                 tags.clear()
 
     def pop_to(depth: int) -> None:
-        del stack[depth:]
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            count[name] -= 1
+            if name in SCOPE:
+                frames.pop()
+            else:
+                frames[-1][1][name] -= 1
 
     at, size = 0, len(page)
     while at < size:
@@ -233,20 +255,18 @@ def blocks(page: str | None) -> list[Block]:
             continue
         name = name.lower()
         block = name in BLOCK
-        if m[1]:  # an end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if block or any(x[0] in BLOCK for x in stack[k:]):
-                        end_block()
-                    if name not in FREE:
-                        tags.append(name)
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPE and name not in SCOPE:
-                    break
-            else:
-                if name in ("p", "br"):
-                    held.append(" ")
+        if m[1]:  # an end tag: of an element since the last SCOPE element, or of one of those
+            if (count if name in SCOPE else frames[-1][1]).get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if block or any(x[0] in BLOCK for x in stack[k:]):
+                    end_block()
+                if name not in FREE:
+                    tags.append(name)
+                pop_to(k)
+            elif name in ("p", "br") and len(frames) == 1:
+                held.append(" ")
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
             close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
@@ -264,53 +284,112 @@ def blocks(page: str | None) -> list[Block]:
             tags.append(name)
         if name in VOID:
             continue
-        # elements that this start tag ends
+        # the element that this start tag ends
         ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPE or (name == "li" and stack[k][0] in ("ul", "ol")):
-                    break
+        if ends and (frames[-1][0] in ends or any(frames[-1][1].get(e) for e in ends)):
+            k = len(stack) - 1
+            while stack[k][0] not in ends:
+                k -= 1
+            pop_to(k)
         if m[3].rstrip().endswith("/") and not block:
             continue
-        _, in_furniture, mark, names, marked = stack[-1] if stack else ("", False, 0, (), (0, 0))
+        _, in_furniture, mark, inner, marked, parent = stack[-1] if stack else outside
         furniture, content, sure = (True, 0, 0) if in_furniture else _kind(name, m[3], mark > 0)
         if sure:
-            names = (*names, len(named))
-            named.append([sure, 0])
+            named.append([sure, 0, inner])
+            inner = len(named) - 1
         if content > mark:
             n_marked += 1
             marked = (marked[0] or n_marked, n_marked if content == 2 else 0)
-        stack.append((name, furniture, max(mark, content), names, marked))
+        element = Element(name, parent, not count.get(name), n_elements)
+        n_elements += 1
+        stack.append((name, furniture, max(mark, content), inner, marked, element))
+        count[name] = count.get(name, 0) + 1
+        if name in SCOPE:
+            frames.append((name, {}))
+        else:
+            frames[-1][1][name] = frames[-1][1].get(name, 0) + 1
     end_block()
     half = sum(b.n_words for b in out if not b.furniture) / 2
-    for b, names in zip(out, around, strict=True):
-        for k in names:
-            sure, n_words = named[k]
-            if n_words > half:
-                b.doubt = max(b.doubt, 2)
-            elif sure == 2:
-                b.furniture = True
-            else:
-                b.doubt = max(b.doubt, 1)
+    # an element comes after the one around it: words go up from the last, doubts down from the first
+    for _, n_words, outer in reversed(named):
+        if outer >= 0:
+            named[outer][1] += n_words
+    told: list[tuple[bool, int]] = []
+    for sure, n_words, outer in named:
+        furniture, doubt = told[outer] if outer >= 0 else (False, 0)
+        if n_words > half:
+            doubt = 2
+        elif sure == 2:
+            furniture = True
+        else:
+            doubt = max(doubt, 1)
+        told.append((furniture, doubt))
+    for b, inner in zip(out, around, strict=True):
+        if inner >= 0:
+            furniture, b.doubt = told[inner]
+            b.furniture = b.furniture or furniture
     return out
 
 
+def _least(parts: list[Block], weights: dict[str, float]) -> list[float | None]:
+    """Of each block the least weight of the elements around it; each element is looked at
+    once."""
+    known: dict[int, float | None] = {}
+    out = []
+    for b in parts:
+        path, e = [], b.inside
+        while e is not None and e.number not in known:
+            path.append(e)
+            e = e.parent
+        least = known[e.number] if e is not None else None
+        for e in reversed(path):
+            own = weights.get(e.name) if e.name not in ("html", "body", "div") else None
+            least = own if least is None else least if own is None else min(least, own)
+            known[e.number] = least
+        out.append(least)
+    return out
+
+
+def _words_inside(parts: list[tuple[int, Block]]) -> dict[str, list[int]]:
+    """{element name: words of the blocks in such elements, by side}; a block counts once for
+    every name around it, that is at the outermost element of the name."""
+    total: dict[int, list[int]] = {}
+    elements: dict[int, Element] = {}
+    for side, b in parts:
+        if b.inside is not None:
+            total.setdefault(b.inside.number, [0, 0])[side] += b.n_words
+            e = b.inside
+            while e is not None and e.number not in elements:
+                elements[e.number] = e
+                e = e.parent
+    got: dict[str, list[int]] = {}
+    for number in sorted(elements, reverse=True):  # an element's number is above its parent's
+        e, held = elements[number], total.get(number, [0, 0])
+        if e.outermost:
+            mine = got.setdefault(e.name, [0, 0])
+            mine[0] += held[0]
+            mine[1] += held[1]
+        if e.parent is not None:
+            up = total.setdefault(e.parent.number, [0, 0])
+            up[0] += held[0]
+            up[1] += held[1]
+    return got
+
+
 def plain(parts: list[Block], w: Weights, trusted: int = 0, bonus: float = 0.25) -> list[tuple[float, float]]:
     """(tags before it, words) of each block, by the elements it stands in: the weight of
     a word is the least of theirs, and more by ``bonus`` where the page marks content.
     Words of a doubt above ``trusted`` count against a region."""
     out = []
-    for b in parts:
+    for b, least in zip(parts, _least(parts, w.words), strict=True):
         cost = sum(w.tags.get(t, w.tag) for t in b.tags)
         if b.furniture:
             out.append((max(cost, -2.0), 0.0))
         elif b.doubt > trusted:
             out.append((cost, -0.5 * b.n_words))
         else:
-            each = min((w.words[e] for e in b.inside if e in w.words and e not in ("html", "body", "div")), default=w.word)
+            each = w.word if least is None else least
             out.append((cost, b.n_words * (each + bonus if b.content else each)))
     return out
 
@@ -340,13 +419,12 @@ def counts(page: str | None) -> list[tuple[str, int, int]]:
     mark = label(parts, Weights())
     got: dict[str, list[int]] = {}
     if mark:
-        for b in parts:
-            side = 0 if b.content >= mark and not b.furniture else 1
+        sides = [(0 if b.content >= mark and not b.furniture else 1, b) for b in parts]
+        for side, b in sides:
             for t in b.tags:
                 got.setdefault(f"t:{t}", [0, 0])[side] += 1
-            for e in set(b.inside) - CONTENT:
-                got.setdefault(f"w:{e}", [0, 0])[side] += b.n_words
             got.setdefault("w:", [0, 0])[side] += b.n_words
+        got |= {f"w:{e}": n for e, n in _words_inside(sides).items() if e not in CONTENT}
     return [(k, a, b) for k, (a, b) in got.items()]
 
 
@@ -425,7 +503,7 @@ def main_text(page: str | None, w: Weights) -> str:
         wanted = [b.content >= mark or first <= i < end for i, b in enumerate(parts)]
     else:
         # a heading of few words may not earn its tags; right before the region it is its title
-        while 0 < first < end and not parts[first - 1].furniture and HEADINGS & set(parts[first - 1].inside):
+        while 0 < first < end and not parts[first - 1].furniture and parts[first - 1].inside and parts[first - 1].inside.heading:
             first -= 1
         wanted = [first <= i < end for i in range(len(parts))]
     return "\n\n".join(b.text for b, yes in zip(parts, wanted, strict=True) if yes and not b.furniture)

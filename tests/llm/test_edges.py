@@ -117,3 +117,34 @@ def test_repeated_ids_with_other_texts_keep_one_row_a_class(spark):
     data = [(1, a), (1, b), (1, a), (2, c), (3, a), (3, c), (4, b), (3, "some words of its own stand here")]
     kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect())) == sorted([data[0], data[1], data[3], data[7]])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 100_000 + "</i>x" * 100_000,
+        "<div class=note>" * 100_000 + "some words " * 50,
+        "<li><ul>" + "<i>" * 100_000 + "<li>y</li>" * 100_000,
+        "".join(f"<x{k}>word " for k in range(100_000)),
+        "<p>" * 100_000 + "</div>" * 100_000,
+    ],
+    ids=["stray ends", "deep named", "list items", "distinct names", "paragraphs"],
+)
+def test_broken_pages_take_time_in_proportion(page):
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text(page, html_text.Weights())
+    html_text.counts(page)
+    assert time.perf_counter() - start < 40
+
+
+def test_page_without_any_content_mark():
+    story = " ".join(f"word{k} stands in the story." for k in range(40))
+    page = (
+        "<html><body><div class='nav'><a href=/>Home</a> <a href=/x>More</a></div>"
+        f"<div><h1>The title</h1><div>{story}</div><div>{story} Second part.</div></div>"
+        "<div class='footer'>Copyright of this site</div></body></html>"
+    )
+    got = html_text.main_text(page, html_text.Weights())
+    assert got == f"The title\n\n{story}\n\n{story} Second part."
