@@ -28,6 +28,8 @@ NUM_TREES = 5000
 BATCH_TREES = 500
 #: Batches grown side by side: while one waits for its driver, another has the executors.
 BATCHES_AT_ONCE = 2
+#: Trees of an out-of-bag estimate, and trees that share a bag.
+OOB_TREES, OOB_BAG_TREES = 500, 50
 
 _BUCKET_HEX = 5  # 16**5 = 1,048,576 hash buckets per class
 #: Widest text feature that trees split by sets of values; wider ones are ordered by label share.
@@ -182,16 +184,19 @@ def forest_estimator(
     )
 
 
-def _training_rows(train: DataFrame, encoder: Encoder, label: str) -> DataFrame:
-    """Encoded labelled rows, prepared once for all trees: written, spread over the cores and
-    held in memory (a lost executor costs a re-read)."""
-    spark = train.sparkSession
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over the cores by key, in key order, and held in memory. The deal is the same
+    every time (a forest's sampling goes by place), and a lost executor costs a re-read."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _training_rows(train: DataFrame, encoder: Encoder, label: str, key: str) -> DataFrame:
+    """Encoded labelled rows, prepared once for all trees."""
     number = F.array_position(F.array(*[F.lit(x) for x in encoder.labels]), F.col(label)) - 1
-    rows = encoder.transform(train.filter(F.col(label).isNotNull()), label)
-    rows = materialize(rows.select(number.cast("double").alias("__label"), "__features"), "forest_rows")
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    rows = encoder.transform(train.filter(F.col(label).isNotNull()), key, label)
+    rows = rows.select(key, number.cast("double").alias("__label"), "__features")
+    return _spread(materialize(rows, "forest_rows"), key)
 
 
 @dataclass(frozen=True)
@@ -202,13 +207,13 @@ class Forest:
     trees: RandomForestClassificationModel | None
 
 
-def fit_forest(train: DataFrame, label: str = "Highly_Liked", **kw) -> Forest:
+def fit_forest(train: DataFrame, label: str = "Highly_Liked", key: str = "business_id", **kw) -> Forest:
     """Encode and fit in one piece (for forests whose trees fit the driver; see
     :func:`grow_and_score`). With fewer than two classes there is nothing to fit."""
     encoder = fit_encoder(train, label)
     if len(encoder.labels) < 2:
         return Forest(encoder, None)
-    rows = _training_rows(train, encoder, label)
+    rows = _training_rows(train, encoder, label, key)
     try:
         return Forest(encoder, forest_estimator(encoder, histogram_mb=_histogram_mb(train.sparkSession), **kw).fit(rows))
     finally:
@@ -256,7 +261,7 @@ def grow_and_score(
     encoder = fit_encoder(train, label)
     if len(encoder.labels) < 2:
         return score(Forest(encoder, None), test, label, key)
-    known = _training_rows(train, encoder, label)
+    known = _training_rows(train, encoder, label, key)
     unseen = materialize(encoder.transform(test, key, label), "forest_unseen")
     histogram_mb = max(256, _histogram_mb(train.sparkSession) // batches_at_once)
 
@@ -279,6 +284,93 @@ def grow_and_score(
     return total.select(key, label, _winner(encoder, each).alias("prediction"))
 
 
+#: A row's number of draws in a bag: how many of these its 48-bit hash reaches. They are the
+#: cumulative chances of 0, 1, 2, ... draws when n rows are drawn n times (Poisson, mean 1).
+BAG_CUTS = tuple(
+    int(2**48 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(9)
+)
+
+
+def bag_weight(key: str, bag: int | Column, seed: int = FOREST_SEED) -> Column:
+    """How often the row ``key`` is drawn into a bag: a pure function of key, bag and seed. Nothing
+    is stored to know later which rows a bag never saw, and a bag that is built again after a lost
+    executor, or with other partitions, is the same bag."""
+    number = bag if isinstance(bag, Column) else F.lit(bag)
+    text = F.concat_ws("#", F.col(key).cast("string"), F.lit(str(seed)), number.cast("string"))
+    h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    return sum((F.when(h >= F.lit(cut), F.lit(1)).otherwise(F.lit(0)) for cut in BAG_CUTS[1:]), F.when(h >= F.lit(BAG_CUTS[0]), F.lit(1)).otherwise(F.lit(0)))
+
+
+def bag_sizes(rows: DataFrame, bags: int, key: str = "business_id", seed: int = FOREST_SEED) -> DataFrame:
+    """(bag, n_in, n_out, draws) of every bag over ``rows``."""
+    each = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag"))
+    w = bag_weight(key, F.col("bag"), seed)
+    each = each.select("bag", w.cast("long").alias("w"))
+    return each.groupBy("bag").agg(
+        F.count(F.when(F.col("w") > 0, 1)).alias("n_in"), F.count(F.when(F.col("w") == 0, 1)).alias("n_out"), F.sum("w").alias("draws")
+    )
+
+
+def out_of_bag(
+    train: DataFrame,
+    label: str = "Highly_Liked",
+    key: str = "business_id",
+    num_trees: int = OOB_TREES,
+    bag_trees: int = OOB_BAG_TREES,
+    seed: int = FOREST_SEED,
+    batches_at_once: int = BATCHES_AT_ONCE,
+    **kw,
+) -> DataFrame:
+    """(key, label, votes, prediction) of the labelled rows by the trees that never saw them.
+
+    Trees are grown in bags of ``bag_trees``; a bag's trees draw their samples from the rows with a
+    :func:`bag_weight` above 0, by weight, and vote on the rows with weight 0. ``votes`` is the
+    number of trees that voted on a row; without any its prediction is NULL. Bags do not depend on
+    each other: any may be grown again, or side by side. ``key`` must be unique."""
+    encoder = fit_encoder(train, label)
+    labelled = train.filter(F.col(label).isNotNull())
+    if len(encoder.labels) < 2:
+        return score(Forest(encoder, None), labelled, label, key).select(key, label, F.lit(0).cast("long").alias("votes"), "prediction")
+    number = F.array_position(F.array(*[F.lit(x) for x in encoder.labels]), F.col(label)) - 1
+    rows = encoder.transform(labelled, key, label).withColumn("__label", number.cast("double"))
+    rows = _spread(materialize(rows, "forest_rows"), key)
+    histogram_mb = max(256, _histogram_mb(train.sparkSession) // batches_at_once)
+
+    def grow(bag: int) -> DataFrame:
+        drawn = rows.withColumn("__weight", bag_weight(key, bag, seed).cast("double"))
+        estimator = forest_estimator(encoder, num_trees=bag_trees, seed=seed + bag, histogram_mb=histogram_mb, **kw)
+        trees = estimator.setWeightCol("__weight").fit(drawn.filter("__weight > 0"))
+        return materialize(_votes(Forest(encoder, trees), drawn.filter("__weight = 0"), key, label), "forest_votes")
+
+    try:
+        with ThreadPoolExecutor(batches_at_once) as pool:
+            grown = list(pool.map(grow, range(-(-num_trees // bag_trees))))
+    finally:
+        rows.unpersist()
+    votes = grown[0]
+    for more in grown[1:]:
+        votes = votes.unionByName(more)
+    classes = range(len(encoder.labels))
+    total = votes.groupBy(key).agg(
+        *[F.sum(F.get("__v", F.lit(c))).alias(f"__{c}") for c in classes], F.count(F.lit(1)).alias("bags")
+    )
+    each = F.array(*[F.col(f"__{c}") for c in classes])
+    told = total.select(key, (F.col("bags") * bag_trees).alias("votes"), _winner(encoder, each).alias("prediction"))
+    return labelled.select(key, label).join(told, key, "left").select(
+        key, label, F.coalesce("votes", F.lit(0)).cast("long").alias("votes"), "prediction"
+    )
+
+
+def out_of_bag_error(scored: DataFrame, label: str = "Highly_Liked") -> DataFrame:
+    """One row: rows, rows that trees voted on, wrong votes among these and their share."""
+    judged = F.col("prediction").isNotNull() & (F.col("votes") > 0)
+    wrong = judged & (F.col("prediction") != F.col(label))
+    counts = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(judged, 1)).alias("n_judged"), F.count(F.when(wrong, 1)).alias("n_wrong")
+    )
+    return counts.withColumn("error", F.when(F.col("n_judged") > 0, F.col("n_wrong") / F.col("n_judged")))
+
+
 def confusion(scored: DataFrame, label: str = "Highly_Liked", prediction: str = "prediction") -> DataFrame:
     """Counts per (truth, prediction)."""
     return scored.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,8 @@ order differ in the last bit).
 
 from __future__ import annotations
 
+from homerange.operators.model import BAG_CUTS, OOB_BAG_TREES, OOB_TREES
+
 DIGITS = 6
 
 # The names looked up by the user query on the driver tables.
@@ -526,6 +528,15 @@ FROM (SELECT 'attributes_Wi_Fi' AS column_name, attributes_Wi_Fi AS value FROM i
 WHERE value IS NOT NULL GROUP BY column_name, value""",
         "imputed",
     )
+    cuts = ", ".join(map(str, BAG_CUTS))
+    q["bag_sizes"] = sql(
+        f"""SELECT bag::INTEGER AS bag, count_if(w > 0)::BIGINT AS n_in, count_if(w = 0)::BIGINT AS n_out, sum(w)::BIGINT AS draws
+FROM (SELECT bag, len(list_filter([{cuts}]::BIGINT[], lambda c: h >= c)) AS w
+      FROM (SELECT bag, CAST('0x' || left(md5(business_id::VARCHAR || '#1950#' || bag::VARCHAR), 12) AS BIGINT) AS h
+            FROM split CROSS JOIN (SELECT unnest(range({OOB_TREES // OOB_BAG_TREES})) AS bag) WHERE split = 'train'))
+GROUP BY bag""",
+        "split",
+    )
     q["confusion_rates"] = sql(
         f"""SELECT tp + fn + fp + tn AS n, tp, fn, fp, tn,
   ((round((CASE WHEN tp + fn + fp + tn > 0 THEN (tp + tn) / (tp + fn + fp + tn) END) * 1e{DIGITS}::DOUBLE)) / 1e{DIGITS}::DOUBLE) AS accuracy,

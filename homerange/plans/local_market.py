@@ -326,6 +326,20 @@ class LocalMarket:
         """The analysis' accuracy, sensitivity and specificity: of the forest."""
         return model.confusion_rates(self.forest_scores, positive="N")
 
+    @cached_property
+    def training_rows(self) -> DataFrame:
+        return self.stratified_split.filter(F.col("split") == "train").drop("split")
+
+    @cached_property
+    def bag_sizes(self) -> DataFrame:
+        return model.bag_sizes(self.training_rows, model.OOB_TREES // model.OOB_BAG_TREES, seed=self.p.forest_seed)
+
+    @cached_property
+    def out_of_bag_error(self) -> DataFrame:
+        return model.out_of_bag_error(
+            model.out_of_bag(self.training_rows, max_depth=self.p.max_depth, seed=self.p.forest_seed)
+        )
+
     @cached_property
     def rule_scores(self) -> DataFrame:
         """A fixed rule (free Wi-Fi -> liked) on the held-out rows, so the

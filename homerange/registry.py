@@ -97,6 +97,8 @@ MARKET_QUERIES = [
     "forest_scores",
     "confusion",
     "forest_rates",
+    "bag_sizes",
+    "out_of_bag_error",
     "confusion_rates",
     "share_five_star",
     "wifi_values",

@@ -168,3 +168,45 @@ def test_forest_in_batches_and_whole_registered_jobs(spark):
 def test_elbow_warns_of_a_fit_that_has_not_converged(spark, points):
     with pytest.warns(UserWarning, match="k = 5"):
         clusters.elbow(points, ks=[5], max_iter=1)
+
+
+def test_out_of_bag_votes_match_plain_bags(spark):
+    rng = random.Random(12)
+    data = [(i, "Y" if (i % 4 == 0) ^ (rng.random() < 0.2) else "N", float(i % 4), rng.choice("abc")) for i in range(160)]
+    df = spark.createDataFrame(data, "business_id long, Highly_Liked string, x double, t string")
+    kw = {"num_trees": 24, "bag_trees": 4, "max_depth": 5, "seed": 7}
+    got = {r.business_id: (r.votes, r.prediction) for r in model.out_of_bag(df, **kw).collect()}
+
+    def draws(i, bag):
+        h = int(hashlib.md5(f"{i}#7#{bag}".encode()).hexdigest()[:12], 16)
+        return sum(h >= c for c in model.BAG_CUTS)
+
+    sizes = {r.bag: (r.n_in, r.n_out, r.draws) for r in model.bag_sizes(df, 6, seed=7).collect()}
+    for bag in range(6):
+        d = [draws(i, bag) for i in range(160)]
+        assert sizes[bag] == (sum(x > 0 for x in d), sum(x == 0 for x in d), sum(d))
+        assert 0.5 < sizes[bag][0] / 160 < 0.8
+    encoder = model.fit_encoder(df)
+    rows = encoder.transform(df, "business_id", "Highly_Liked")
+    rows = rows.withColumn("__label", (F.col("Highly_Liked") == "Y").cast("double"))
+    assert encoder.labels == ("N", "Y")
+    weight = F.udf(lambda i, b: float(draws(i, b)), "double")
+    votes = {i: np.zeros(2) for i in range(160)}
+    seen = dict.fromkeys(range(160), 0)
+    for bag in range(6):
+        bagged = rows.withColumn("__weight", weight("business_id", F.lit(bag))).repartition(8).persist()
+        trees = model.forest_estimator(encoder, num_trees=4, max_depth=5, seed=7 + bag).setWeightCol("__weight")
+        fitted = trees.fit(bagged.filter("__weight > 0"))
+        for r in fitted.transform(bagged.filter("__weight = 0")).collect():
+            votes[r.business_id] += r.rawPrediction.toArray()
+            seen[r.business_id] += 4
+    # each row is judged by the trees of the bags that never drew it, and by no other
+    assert {i: v for i, (v, _) in got.items()} == seen
+    sure = [i for i in votes if abs(votes[i][0] - votes[i][1]) > 0.5 * max(1, seen[i])]
+    same = sum(got[i][1] == ("Y" if votes[i][1] > votes[i][0] else "N") for i in sure)
+    assert len(sure) > 60 and same >= 0.95 * len(sure)
+    e = model.out_of_bag_error(model.out_of_bag(df, **kw)).first()
+    assert (e.n, e.n_judged) == (160, sum(v > 0 for v in seen.values()))
+    wrong = sum(p is not None and p != data[i][1] for i, (_, p) in got.items())
+    assert e.n_wrong == wrong and e.error == pytest.approx(wrong / e.n_judged)
+    assert e.error < 0.45
