@@ -50,13 +50,16 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     sample; an empty cell takes the row that fits its own centre worst."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = sample @ centres.T
-        cell = near.argmax(axis=1)
+        cell, fit = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for a in range(0, len(sample), PRODUCT_ROWS):
+            near = sample[a : a + PRODUCT_ROWS] @ centres.T
+            cell[a : a + PRODUCT_ROWS] = near.argmax(axis=1)
+            fit[a : a + PRODUCT_ROWS] = near.max(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, cell, sample)
         empty = np.flatnonzero(np.bincount(cell, minlength=k) == 0)
         if len(empty):
-            worst = np.argsort(near[np.arange(len(sample)), cell])[: len(empty)]
+            worst = np.argsort(fit)[: len(empty)]
             sums[empty[: len(worst)]] = sample[worst]
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
@@ -76,15 +79,23 @@ class Cells:
 
     def __init__(self, centres: np.ndarray, min_cosine: float):
         self.centres = centres
-        between = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
-        self.margin = 0.5 * np.sqrt(2 - 2 * (min_cosine - SLACK)) * between + SLACK
+        self.reach = 0.5 * np.sqrt(2 - 2 * (min_cosine - SLACK))
 
-    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(home cell, whether each cell is visited), one row per vector."""
-        near = unit @ self.centres.T
-        home = near.argmax(axis=1)
-        gap = near[np.arange(len(unit)), home][:, None] - near
-        return home, gap <= self.margin[home]
+    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(home cell, cells visited) of each vector. The distance of two centres comes from
+        their product, so only rows in hand meet all centres; its rounding error (below 1e-7)
+        goes into the margin."""
+        home, visited = np.empty(len(unit), np.int64), []
+        for a in range(0, len(unit), PRODUCT_ROWS):
+            near = unit[a : a + PRODUCT_ROWS] @ self.centres.T
+            mine = near.argmax(axis=1)
+            home[a : a + PRODUCT_ROWS] = mine
+            length = (self.centres * self.centres).sum(axis=1)
+            apart = length[mine][:, None] + length - 2 * (self.centres[mine] @ self.centres.T)
+            margin = self.reach * np.sqrt(np.maximum(apart, 0)) + 1e-7
+            inside = near[np.arange(len(near)), mine][:, None] - near <= margin
+            visited += [np.flatnonzero(row) for row in inside]
+        return home, visited
 
 
 @lru_cache(maxsize=1)
@@ -105,33 +116,42 @@ def _meet(group: pa.Table, width: int, min_cosine: float) -> pa.Table:
     unit = _unit(cols["vector"], width)
     left = np.flatnonzero(side == 0)
     right = left if itself else np.flatnonzero(side == 1)
-    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
-    for a in range(0, len(right), PRODUCT_ROWS):
-        part = right[a : a + PRODUCT_ROWS]
-        close = unit[left] @ unit[part].T
-        r, c = np.nonzero(close >= min_cosine - SLACK)
-        found.append((left[r], part[c], close[r, c]))
-    x, y, value = (np.concatenate(f) for f in zip(*found, strict=True))
-    border = np.flatnonzero(np.abs(value - min_cosine) <= SLACK)
-    if len(border):
-        value[border] = np.einsum("ij,ij->i", unit[x[border]], unit[y[border]])
-    ok = value >= min_cosine
-    if itself:
-        ok &= node[x] < node[y]
-    else:
-        # a guest's pair is left to the guest's own cell if that comes first and the
-        # host visits it
-        guest = home[y] != cell
-        early = np.flatnonzero(ok & guest & (home[y] < cell))
-        if len(early):
-            visits = cols["visits"]
-            there = [home[b] in set(visits[int(a)].as_py()) for a, b in zip(x[early], y[early], strict=True)]
-            ok[early[np.array(there, dtype=bool)]] = False
-    x, y = x[ok], y[ok]
-    links = np.bincount(x, weights=weight[y], minlength=len(node)) + np.bincount(
-        y, weights=weight[x], minlength=len(node)
-    )
-    label = forest(len(node), iter([(x, y)])) if len(x) else np.arange(len(node))
+    links = np.zeros(len(node))
+    # (row, cell) of all visits, as sorted numbers
+    offsets = cols["visits"].offsets.to_numpy()
+    cells = cols["visits"].values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+    wide = max(int(cells.max(initial=0)), int(home.max(initial=0))) + 1
+    visits = np.sort(np.repeat(np.arange(len(node)), np.diff(offsets)) * wide + cells)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked pairs, one product at a time."""
+        for a in range(0, len(right), PRODUCT_ROWS):
+            part = right[a : a + PRODUCT_ROWS]
+            close = unit[left] @ unit[part].T
+            r, c = np.nonzero(close >= min_cosine - SLACK)
+            x, y, value = left[r], part[c], close[r, c]
+            border = np.flatnonzero(np.abs(value - min_cosine) <= SLACK)
+            if len(border):
+                value[border] = np.einsum("ij,ij->i", unit[x[border]], unit[y[border]])
+            ok = value >= min_cosine
+            if itself:
+                ok &= node[x] < node[y]
+            else:
+                # a guest's pair is left to the guest's own cell if that comes first and the
+                # host visits it
+                early = np.flatnonzero(ok & (home[y] != cell) & (home[y] < cell))
+                if len(early):
+                    key = x[early] * wide + home[y[early]]
+                    at = np.minimum(np.searchsorted(visits, key), len(visits) - 1)
+                    ok[early[visits[at] == key]] = False
+            x, y = x[ok], y[ok]
+            nonlocal links
+            links += np.bincount(x, weights=weight[y], minlength=len(node))
+            links += np.bincount(y, weights=weight[x], minlength=len(node))
+            if len(x):
+                yield x, y
+
+    label = forest(len(node), pairs())
     with_links = np.flatnonzero(links > 0)
     return pa.table(
         {
@@ -148,7 +168,7 @@ def near_duplicates(
     vector_col: str = "embedding",
     min_cosine: float = MIN_COSINE,
     cell_rows: int = 2048,
-    max_cells: int = 1024,
+    max_cells: int = 4096,
     sample_rows: int = 8192,
     block_rows: int = 2048,
 ) -> DataFrame:
@@ -245,7 +265,7 @@ def _search(
             if not b.num_rows:
                 continue
             home, visited = cells.visits(_unit(b.column(2), width))
-            lists = pa.array([np.flatnonzero(r).astype(np.int32) for r in visited], type=pa.list_(pa.int32()))
+            lists = pa.array([r.astype(np.int32) for r in visited], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(home.astype(np.int32)), lists], names=schema.names
             )
