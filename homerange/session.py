@@ -82,6 +82,13 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the folder removed when the application ends; it need not exist yet."""
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+
+
 def materialize(df, name: str):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     return it read back.
