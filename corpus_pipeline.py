@@ -5,9 +5,11 @@ again as the next one's input.
 2. quality: documents that fail the quality rules go; the others keep their text;
 3. near_dedup: of each SimHash class the document with the smallest id stays;
 4. passages: repeated passages go from the texts of later documents;
-5. packing: the remaining texts as pieces of power-of-two lengths.
+5. packing: the remaining texts as pieces of power-of-two lengths, with their token ids
+   (little-endian unsigned 32-bit) and the bucket of equal lengths they belong to.
 
-All but the last return the columns of ``documents``. Null, empty and repeated rows
+All but the last return the columns of ``documents``. The folders of the stages go when the
+application ends; write the result elsewhere to keep it (``packing.write_buckets``). Null, empty and repeated rows
 are treated as the operators' docstrings say; an empty table passes through.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from homerange.llm import packing, quality_rules, simhash, suffix_dedup, toxicity
 from homerange.llm.common import read
-from homerange.session import checkpoint_dir
+from homerange.session import checkpoint_dir, remove_at_exit
 
 
 def _as_struct(docs: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(docs))
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
@@ -69,6 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, over the whole of ``documents``."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/corpus_pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, base)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{base}/{name}"
