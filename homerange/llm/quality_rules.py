@@ -195,3 +195,59 @@ def query(spark, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+def _sql(r: Rules) -> str:
+    """The same measures and verdict in DuckDB. Its patterns know no look-around, so borders
+    are doubled first and each phrase takes one on either side; its upper case keeps the
+    sharp s, which has none of one letter."""
+    word = "'[^\\x20\\x09-\\x0D]+'"
+
+    def chars(text: str, which: str) -> str:
+        return f"(length({text}) - length(translate({text}, '{which}', '')))"
+
+    phrase = []
+    for k in sorted({len(p.split()) for p in BOILERPLATE}):
+        some = "|".join(p.replace(" ", "  ") for p in BOILERPLATE if len(p.split()) == k)
+        phrase.append(f"{k} * len(regexp_extract_all(bordered, '(?:^|[^\\p{{L}}\\p{{N}}])(?:{some})(?:$|[^\\p{{L}}\\p{{N}}])'))")
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+worded AS (SELECT row, regexp_extract_all(text, {word}) AS words FROM docs),
+places AS (SELECT row, words, unnest(range(len(words) - {WINDOW - 1})) AS i FROM worded WHERE len(words) >= {WINDOW}),
+windows AS (SELECT row, i, list_slice(words, i + 1, i + {WINDOW}) AS w FROM places),
+twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, w) > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT unnest(range({WINDOW})) AS k) GROUP BY row),
+lines AS (
+  SELECT row, j, line, lower(line) AS low,
+    len(regexp_extract_all(line, {word})) AS n,
+    {chars("line", "|»›•·>")} AS separators,
+    {chars("line", "#*$%&|<>{}[]=_~^" + chr(92))} AS symbols,
+    regexp_replace(lower(line), '([^\\p{{L}}\\p{{N}}])', '\\1\\1', 'g') AS bordered,
+    string_split(line, ' ') AS parts
+  FROM (SELECT row, generate_subscripts(l, 1) AS j, unnest(l) AS line FROM (SELECT row, string_split(text, chr(10)) AS l FROM docs))),
+judged AS (
+  SELECT row, j, line, n,
+    (separators >= 2 AND separators >= {r.max_separators_per_word} * n)
+    OR (symbols >= 3 AND symbols >= {r.max_symbol_share} * length(line))
+    OR (upper(line) = line AND low <> line AND NOT contains(line, 'ß')
+        AND len(regexp_extract_all(line, '\\p{{L}}')) >= {r.min_capitals})
+    OR (len(parts) >= 10 AND len(list_distinct(parts)) < {r.min_distinct_share} * len(parts))
+    OR (n <= {r.boilerplate_words} AND phrases > 0 AND phrases >= {r.min_phrase_share} * n)
+    OR (n BETWEEN 1 AND {r.menu_words}
+        AND NOT regexp_matches(line, '[.!?…:;。！？]["''”’»)\\]*_ \\t\\n\\x0B\\f\\r]*$')) AS fails
+  FROM (SELECT *, {" + ".join(phrase)} AS phrases FROM lines)),
+cleaned AS (
+  SELECT row, coalesce(sum(length(line)) FILTER (WHERE NOT fails) + count(*) FILTER (WHERE NOT fails) - 1, 0) AS chars,
+    count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines
+  FROM judged GROUP BY row),
+measured AS (
+  SELECT d.doc_id, len(w.words)::BIGINT AS n_words, length(array_to_string(w.words, ''))::BIGINT AS word_chars,
+    {chars("d.text", "#*$%&|<>")}::BIGINT AS n_symbols, c.n_dup_lines::BIGINT AS n_dup_lines,
+    coalesce(v.n, 0)::BIGINT AS n_repeat_words, c.chars >= {r.min_kept_share} * length(d.text) AS enough
+  FROM docs d JOIN worded w ON w.row = d.row JOIN cleaned c ON c.row = d.row LEFT JOIN covered v ON v.row = d.row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_pct} * n_words AS base_failed,
+  NOT (n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_pct} * n_words) AND enough AS kept
+FROM measured"""
+
+
+ORACLE_SQL = _sql(Rules())

@@ -52,6 +52,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_quality_rules": quality_rules.ORACLE_SQL,
         "op11_conversation_repair": conversation_repair.ORACLE_SQL,
         "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }

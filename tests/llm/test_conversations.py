@@ -145,7 +145,7 @@ def test_damage_and_empty(spark):
     assert [tuple(r) for r in lost] == [(0, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
 
 
-@pytest.mark.parametrize("name", ["op11_conversation_repair", "op13_prefix_trie"])
+@pytest.mark.parametrize("name", ["op7_quality_rules", "op11_conversation_repair", "op13_prefix_trie"])
 def test_matches_duckdb(spark, duck_small, name):
     ok, msg = check(spark, SF_SMALL, name, queries()[name], oracle_sql()[name], duck_small)
     assert ok, msg
