@@ -1,6 +1,8 @@
 """Held-out accuracy, extraction fixtures, the scan, the pipeline."""
 
 import duckdb
+import numpy as np
+import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -65,14 +67,71 @@ def test_early_hits_do_not_hide_a_late_passage():
     dense = [*bad, *bad]
     text = " ".join([*early, *dense, *calm, *dense, *calm, *dense])
     n, _, segments = scorer.scan(text)
-    full = [(a, b) for a, b, s in segments if s == 50.0]
+    # the second occurrence of a word in a passage counts half
+    full = [(a, b) for a, b, s in segments if s == 37.5]
     start = len(early)
     assert full == [(start + k * 70, start + k * 70 + 9) for k in range(3)] and n == start + 150
-    # one word over and over adds no more than twice within a passage
-    assert [s for _, _, s in scorer.scan("vile " * 50)[2]] == [10.0]
+    # one word over and over adds ever less within a passage
+    assert [s for _, _, s in scorer.scan("vile " * 50)[2]] == [pytest.approx(sum(5.0 / k for k in range(1, 51)))]
     # two passages so close that the running score stays above zero
     near = " ".join([*dense, *["calm"] * 20, *bad])
-    assert [s for _, _, s in scorer.scan(near)[2]] == [50.0, 25.0]
+    assert [s for _, _, s in scorer.scan(near)[2]] == [37.5, 25.0]
+
+
+def plain_segments(scores):
+    """By definition: the best run, no longer than need be, then the same on either side."""
+    runs = [(sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    top = max(runs, key=lambda r: (r[0], r[1] - r[2], -r[1]), default=(0,))
+    if top[0] <= 0:
+        return []
+    _, a, b = top
+    right = [(b + x, b + y, s) for x, y, s in plain_segments(scores[b:])]
+    return [*plain_segments(scores[:a]), (a, b - 1, top[0]), *right]
+
+
+def test_toxicity_scores_against_brute_force():
+    import math
+    import random
+
+    rng = random.Random(5)
+    odds = {"vile": 5.25, "scum": 4.0, "rotten": 2.5, "dear": -3.5, "kind": -2.75}
+    model = toxicity.Model(scores=tuple(sorted(odds.items())), cost=1.5, lam=0.8, k=0.3, a=-2.0, b=0.5)
+    scorer = toxicity.Scorer(model)
+    for _ in range(200):
+        words = rng.choices([*odds, "calm", "sea"], weights=[2, 2, 2, 1, 1, 6, 6], k=rng.randrange(40))
+        found = []
+        for first, last, _ in plain_segments([odds.get(w, -1.5) for w in words]):
+            run, at, seen, total = words[first : last + 1], [], {}, 0.0
+            for w in run:
+                plain = odds.get(w, -1.5)
+                if plain > 0:
+                    if total <= 0:
+                        seen = {}
+                    seen[w] = seen.get(w, 0) + 1
+                    plain /= seen[w]
+                else:
+                    seen = seen if total + plain > 0 else {}
+                total = max(total, 0.0) + plain
+                at.append(plain)
+            found += [(first + x, first + y, s) for x, y, s in plain_segments(at)]
+        n = len(words)
+        above = [0.8 * s - math.log(0.3 * max(n, 1) + 1) for _, _, s in found]
+        x = max([max(above, default=-math.log(0.3 * max(n, 1) + 1)), sum(v for v in above if v > 0)])
+        p, count, passages = scorer.score(" ".join(words))
+        assert count == n and p == pytest.approx(1 / (1 + math.exp(2 - 0.5 * x)))
+        want = [(a, b) for (a, b, _), v in zip(found, above, strict=True) if v >= math.log(20)]
+        assert [(q["first"], q["last"]) for q in passages] == want
+
+
+def test_wrong_labels_do_not_flatten_the_toxicity_curve():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(-4, 1, 900), rng.normal(8, 2, 100)])
+    y = np.concatenate([np.zeros(900), np.ones(100)])
+    y[:15], y[900:905] = 1, 0
+    a, b = toxicity._fit_noisy_curve(x, y)
+    assert b > 0 and -2 < -a / b < 5  # between the two heaps
+    steep, flat = b, toxicity._fit_curve(x, y)[1]
+    assert steep > 1.5 * flat
 
 
 PAGE = """<html><head><title>No</title></head><body><div class="top menu"><a href=x>Home</a> <a>About</a></div>
