@@ -41,9 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homerange.llm.common import append_columns, read, ship
+from homerange.operators.skew import join_per_key
 from homerange.session import materialize
 
 MIN_BYTES = 50
+#: Rows of one chunk or window that a join leaves in one task; more are split.
+SPLIT_ROWS = 20_000
 #: Bytes of an anchor, and one chunk in how many positions ends (a power of two).
 ANCHOR, CHUNK = 24, 256
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -222,8 +225,10 @@ def _dead_chunks(frame: DataFrame, min_bytes: int) -> DataFrame:
     rows = rows.select(*_KEY, "bounds", F.posexplode("digests").alias("k", "digest"))
     start, end = F.get("bounds", F.col("k")), F.get("bounds", F.col("k") + 1)
     chunks = materialize(rows.select(*_KEY, start.alias("start"), end.alias("end"), "digest"), "chunks")
-    first = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    dead = chunks.join(first, "digest").filter(F.col("id") > F.col("first"))
+    n = F.count(F.lit(1)).alias("n")
+    first = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), n).filter("first < last")
+    first = materialize(first.select("digest", "first", "n"), "first_chunks")
+    dead = join_per_key(chunks, first, "digest", "n", "inner", SPLIT_ROWS).filter(F.col("id") > F.col("first"))
     return materialize(dead.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("dead")), "dead_chunks")
 
 
@@ -416,8 +421,10 @@ def _hot_windows(places: DataFrame, min_bytes: int) -> DataFrame:
         .filter(F.octet_length("window") == min_bytes)
         .select(*_KEY, "at", "j", "window")
     )
-    low = each.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    hit = each.join(low, "window").filter(F.col("id") > F.col("low"))
+    n = F.count(F.lit(1)).alias("n")
+    low = each.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high"), n).filter("low < high")
+    low = materialize(low.select("window", "low", "n"), "hot_windows")
+    hit = join_per_key(each, low, "window", "n", "inner", SPLIT_ROWS).filter(F.col("id") > F.col("low"))
     bit = F.expr("shiftleft(1L, j)")
     return hit.groupBy(*_KEY, "at").agg(F.bit_or(bit).alias("removed"))
 
