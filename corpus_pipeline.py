@@ -2,7 +2,7 @@
 again as the next one's input.
 
 1. toxicity: documents scored 0.5 or higher go;
-2. quality: documents that fail the quality rules go; the others keep their text;
+2. quality: documents that fail the quality rules go; the others lose their failing lines;
 3. near_dedup: of each SimHash class the document with the smallest id stays;
 4. passages: repeated passages go from the texts of later documents;
 5. packing: the remaining texts as pieces of power-of-two lengths, with their token ids
@@ -39,7 +39,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_as_struct(docs).select("row", "text")).filter("kept").select("row.*")
+    kept = quality_rules.judge(_as_struct(docs).select("row", "text")).filter("kept")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
