@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,10 +254,18 @@ def _fit_noisy_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _often(rows: DataFrame, column: str, bins: float = 100.0) -> list[tuple[float, int]]:
-    """(number, how often) over the lists of a column, in steps of 1 / ``bins``: the
-    scores are bounded, so are the rows that reach the driver."""
-    each = rows.select(F.explode(F.transform(column, lambda x: F.round(x * bins).cast("long"))).alias("bin"))
-    return [(r["bin"] / bins, r["n"]) for r in each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()]
+    """(number, how often) over the lists of a column, in steps of 1 / ``bins``. Every
+    batch is counted where it is; the scores are bounded, so are the rows that reach the
+    driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            found, n = np.unique(np.round(numbers * bins).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["bin", "n"])
+
+    each = rows.select(column).mapInArrow(count, "bin long, n long")
+    return [(r["bin"] / bins, r["n"]) for r in each.groupBy("bin").agg(F.sum("n").alias("n")).collect()]
 
 
 def learn(labelled: DataFrame, text_col: str, label_col: str, s: Settings | None = None) -> Model:

@@ -96,13 +96,14 @@ def test_hot_buckets_are_sliced_without_loss(spark):
     assert [got.get(p, p) for p in prints] == [prints[k] for k in want]
 
 
-def test_passages(spark):
+def test_passages(spark, monkeypatch):
     docs = documents()[:80] + [(500 + k, t) for k, t in enumerate(cases.texts())] + [(700, "\0" * 80), (701, "\0" * 60)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     want = cases.passages(docs)
     for kw in ({}, {"batch_bytes": 20_000, "hot_places": 3}):
         got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removals(frame, **kw).collect()}
         assert got == want
+        monkeypatch.setattr(suffix_dedup, "SPLIT_ROWS", 2)  # the second time with split keys
 
 
 def test_vectors(spark):
