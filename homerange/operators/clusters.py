@@ -6,6 +6,12 @@ together: a task takes its points in Arrow batches, finds the nearest centre of
 and leaves one partial sum per centre, and the partial sums of all tasks make the next
 table. A k drops out when none of its centres has moved.
 
+Points are dealt over the tasks along a Z-order curve, and a task takes :data:`BLOCK` of
+them at a time. No point of a block is nearer to a centre than the block's box, nor farther
+than its far corner (rounding keeps the order, so this holds to the last bit); most boxes
+leave one centre possible, and the block's sums go there whole. Only points of the other
+blocks are held against centres, and only against the possible ones.
+
 Every step is defined to the last bit, so a plain SQL version gives the same centres:
 
 * starts: distinct points are drawn in the order of the smallest md5(key, seed) that holds
@@ -31,6 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from homerange.operators.circles import z_order
 from homerange.session import ship
 
 # Fixed values of the analysis: six clusters, seed 1986, up to 1000 rounds.
@@ -46,6 +53,8 @@ UNITS = 1e10
 #: Points between two partial sums of a task: 180 degrees in units, a million times, fit
 #: a 64-bit integer.
 SUM_ROWS = 1_000_000
+#: Points that share a box, and points that a task looks at together.
+BLOCK, HELD_ROWS = 32, 64_000
 
 #: k -> coordinates of its centres, one row each.
 Centres = dict[int, np.ndarray]
@@ -70,60 +79,126 @@ def starts(points: DataFrame, ks: Iterable[int], seed: int) -> Centres:
     return {k: held[picked[:k]] for k in ks}
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each point's nearest centre (the first of equals) and the squared distance."""
-    best = np.full(len(x), np.inf)
-    which = np.zeros(len(x), np.int64)
-    for c, (cx, cy) in enumerate(centres):
-        dx, dy = x - cx, y - cy
-        d = dx * dx + dy * dy
-        nearer = d < best
-        best[nearer] = d[nearer]
-        which[nearer] = c
-    return which, best
+def _dealt(points: DataFrame) -> DataFrame:
+    """Points dealt over the cores, near ones together, and held in memory."""
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, points.rdd.getNumPartitions())
+    order = [z_order(F.col("x"), F.col("y"), 30), F.col("id")]
+    return points.repartitionByRange(parts, *order).sortWithinPartitions(*order).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class _Blocks:
+    """Points in rows of :data:`BLOCK`, the last row filled up with its last point."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.rows = len(x)
+        wide = -(-self.rows // BLOCK) * BLOCK
+        self.x, self.y = (np.concatenate([v, np.full(wide - self.rows, v[-1])]).reshape(-1, BLOCK) for v in (x, y))
+        self.low, self.high = (np.stack([f(v, axis=1) for v in (self.x, self.y)]) for f in (np.min, np.max))
+        self.real = (np.arange(wide) < self.rows).reshape(-1, BLOCK)
+
+    def nearest(self, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The only possible centre of each block, or -1; the numbers of the other blocks; for their
+        points the nearest centre (the first of equals) and the squared distance."""
+        near = far = 0.0
+        for a in (0, 1):
+            c = centres[:, a]
+            below, above = self.low[a][:, None] - c, c - self.high[a][:, None]
+            gap, reach = np.maximum(np.maximum(below, above), 0.0), np.maximum(np.abs(below), np.abs(above))
+            near, far = near + gap * gap, far + reach * reach
+        possible = near <= far.min(axis=1)[:, None]
+        many = possible.sum(axis=1)
+        whole = np.where(many == 1, possible.argmax(axis=1), -1)
+        mixed = np.flatnonzero(many > 1)
+        of, c = np.nonzero(possible[mixed])
+        rank = np.arange(len(of)) - np.searchsorted(of, np.arange(len(mixed)))[of]
+        best = np.full((len(mixed), BLOCK), np.inf)
+        which = np.zeros((len(mixed), BLOCK), np.int64)
+        for r in range(int(many.max()) if len(mixed) else 0):
+            at, to = of[rank == r], c[rank == r]
+            dx = self.x[mixed[at]] - centres[to, 0][:, None]
+            dy = self.y[mixed[at]] - centres[to, 1][:, None]
+            d = dx * dx + dy * dy
+            nearer = d < best[at]
+            best[at] = np.where(nearer, d, best[at])
+            which[at] = np.where(nearer, to[:, None], which[at])
+        return whole, mixed, which, best
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[_Blocks]:
+    """The points of a task, up to :data:`HELD_ROWS` and a batch at a time."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some += [batch] if batch.num_rows else []
+        if sum(b.num_rows for b in some) >= HELD_ROWS:
+            yield _Blocks(*(np.concatenate([b.column(a).to_numpy(zero_copy_only=False) for b in some]) for a in (0, 1)))
+            some = []
+    if some:
+        yield _Blocks(*(np.concatenate([b.column(a).to_numpy(zero_copy_only=False) for b in some]) for a in (0, 1)))
+
+
+def _names(centres: Centres) -> tuple[np.ndarray, np.ndarray]:
+    """k and cluster of every centre, in order."""
+    k = np.concatenate([np.full(len(c), k, np.int32) for k, c in centres.items()])
+    return k, np.concatenate([np.arange(len(c), dtype=np.int32) for c in centres.values()])
 
 
 def _round(points: DataFrame, centres: Centres) -> list:
-    """Rows (k, cluster, n, sx, sy, cost) over all points: one scan for all k."""
+    """Rows (k, cluster, n, sx, sy) over all points: one scan for all k."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh() -> dict:
-            return {k: [np.zeros((len(c), 3), np.int64), np.zeros(len(c))] for k, c in centres.items()}
+            return {k: [np.zeros(len(c), np.int64) for _ in range(3)] for k, c in centres.items()}
 
         def pack(sums: dict) -> pa.RecordBatch:
-            k = np.concatenate([np.full(len(c), k, np.int32) for k, c in centres.items()])
-            cluster = np.concatenate([np.arange(len(c), dtype=np.int32) for c in centres.values()])
-            whole = np.concatenate([s for s, _ in sums.values()])
-            cost = np.concatenate([c for _, c in sums.values()])
+            whole = [np.concatenate([s[i] for s in sums.values()]) for i in range(3)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(v) for v in (k, cluster, whole[:, 0], whole[:, 1], whole[:, 2], cost)],
-                names=["k", "cluster", "n", "sx", "sy", "cost"],
+                [pa.array(v) for v in (*_names(centres), *whole)], names=["k", "cluster", "n", "sx", "sy"]
             )
 
         sums, rows = fresh(), 0
-        for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+        for blocks in _held(batches):
             # half away from zero, as Spark and SQL round
-            ux, uy = (np.copysign(np.floor(np.abs(v * UNITS) + 0.5), v).astype(np.int64) for v in (x, y))
+            units = [
+                np.where(blocks.real, np.copysign(np.floor(np.abs(v * UNITS) + 0.5), v), 0.0).astype(np.int64)
+                for v in (blocks.x, blocks.y)
+            ]
+            each = [blocks.real.astype(np.int64), *units]
+            total = [v.sum(axis=1) for v in each]
             for k, c in centres.items():
-                which, best = _nearest(x, y, c)
-                whole, cost = sums[k]
-                whole[:, 0] += np.bincount(which, minlength=len(c))
-                np.add.at(whole[:, 1], which, ux)
-                np.add.at(whole[:, 2], which, uy)
-                cost += np.bincount(which, best, minlength=len(c))
-            rows += len(x)
+                whole, mixed, which, _ = blocks.nearest(c)
+                sure = np.flatnonzero(whole >= 0)
+                for s, of_points, of_blocks in zip(sums[k], each, total):
+                    np.add.at(s, whole[sure], of_blocks[sure])
+                    np.add.at(s, which.ravel(), of_points[mixed].ravel())
+            rows += blocks.rows
             if rows >= SUM_ROWS:
                 yield pack(sums)
                 sums, rows = fresh(), 0
         if rows:
             yield pack(sums)
 
-    parts = points.select("x", "y").mapInArrow(partial, "k int, cluster int, n long, sx long, sy long, cost double")
+    parts = points.select("x", "y").mapInArrow(partial, "k int, cluster int, n long, sx long, sy long")
     exact = "decimal(38,0)"
-    sums = [F.sum(F.col(c).cast(exact)).alias(c) for c in ("n", "sx", "sy")]
-    return parts.groupBy("k", "cluster").agg(*sums, F.sum("cost").alias("cost")).collect()
+    return parts.groupBy("k", "cluster").agg(*[F.sum(F.col(c).cast(exact)).alias(c) for c in ("n", "sx", "sy")]).collect()
+
+
+def _costs(points: DataFrame, centres: Centres) -> dict[int, float]:
+    """Sum of the squared distances to the nearest centres, per k: one scan for all k."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _held(batches):
+            cost = []
+            for c in centres.values():
+                whole, mixed, _, best = blocks.nearest(c)
+                sure = np.flatnonzero(whole >= 0)
+                dx = blocks.x[sure] - c[whole[sure], 0][:, None]
+                dy = blocks.y[sure] - c[whole[sure], 1][:, None]
+                cost.append((dx * dx + dy * dy)[blocks.real[sure]].sum() + best[blocks.real[mixed]].sum())
+            ks = pa.array(np.array(list(centres), np.int32))
+            yield pa.RecordBatch.from_arrays([ks, pa.array(np.array(cost, np.float64))], names=["k", "cost"])
+
+    parts = points.select("x", "y").mapInArrow(partial, "k int, cost double")
+    return {r["k"]: r["cost"] for r in parts.groupBy("k").agg(F.sum("cost").alias("cost")).collect()}
 
 
 def fixed_point(points: DataFrame, ks: Iterable[int], seed: int, max_iter: int) -> tuple[Centres, dict[int, float]]:
@@ -132,18 +207,15 @@ def fixed_point(points: DataFrame, ks: Iterable[int], seed: int, max_iter: int)
     last round gives a warning."""
     ship(points.sparkSession)
     ks = sorted(set(ks))
-    moving, done, cost = starts(points, ks, seed), {}, {}
+    moving, done = starts(points, ks, seed), {}
     if not moving or not len(moving[ks[0]]):
         return {k: np.zeros((0, 2)) for k in ks}, {}
     for turn in range(max_iter + 1):
         after = {k: c.copy() for k, c in moving.items()}
-        total = dict.fromkeys(moving, 0.0)
         for r in _round(points, moving):
-            total[r["k"]] += r["cost"]
             if r["n"]:
                 n = float(r["n"])
                 after[r["k"]][r["cluster"]] = (float(r["sx"]) / UNITS / n, float(r["sy"]) / UNITS / n)
-        cost |= total
         still = {k for k, c in after.items() if not np.array_equal(c, moving[k])}
         done |= {k: c for k, c in moving.items() if k not in still or turn == max_iter}
         if turn == max_iter:
@@ -152,7 +224,7 @@ def fixed_point(points: DataFrame, ks: Iterable[int], seed: int, max_iter: int)
         moving = {k: after[k] for k in sorted(still)}
         if not moving or turn == max_iter:
             break
-    return done, cost
+    return done, _costs(points, done)
 
 
 def cluster_users(
@@ -160,7 +232,7 @@ def cluster_users(
 ) -> DataFrame:
     """Each user with its centroid and its cluster, 0 to k - 1 in the order of the
     starts. The assignment is one expression over the k centres."""
-    points = _points(users, cols, key).persist(StorageLevel.MEMORY_AND_DISK)
+    points = _dealt(_points(users, cols, key))
     try:
         centres, _ = fixed_point(points, [k], seed, max_iter)
     finally:
@@ -193,7 +265,7 @@ def elbow(
 ) -> DataFrame:
     """Within-cluster sum of squares for each k (k = 1 from :func:`total_sse`). All k
     share each scan of the points; only centres and costs come back."""
-    points = _points(users, cols, key).persist(StorageLevel.MEMORY_AND_DISK)
+    points = _dealt(_points(users, cols, key))
     try:
         _, cost = fixed_point(points, [k for k in ks if k >= 2], seed, max_iter)
     finally:
